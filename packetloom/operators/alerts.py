@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions.rounding import round_ratio
+
 # Throttle defaults, listed sources, channel kinds.
 COOLDOWN_SECONDS = 60.0
 MIN_ATTACKS = 5
@@ -154,9 +156,11 @@ def alert_message() -> Column:
         F.col("n_sources") > LISTED_SOURCES,
         F.concat(F.lit(" (+"), (F.col("n_sources") - LISTED_SOURCES).cast("string"), F.lit(" more)")),
     ).otherwise("")
+    # Scores have four places; halves go to the even digit of the binary value.
+    two_places = round_ratio(F.round(F.col("worst_score") * 10_000), F.lit(10_000), 2)
     worst = F.when(
         F.col("worst_src") != "",
-        F.format_string(" (worst: %s score %.2f)", F.col("worst_src"), F.col("worst_score")),
+        F.format_string(" (worst: %s score %.2f)", F.col("worst_src"), two_places),
     ).otherwise("")
     text = F.concat_ws(
         "; ",
