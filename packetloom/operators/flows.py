@@ -239,7 +239,7 @@ def _entry_states(hot_rows: DataFrame) -> DataFrame:
     marked = marked.withColumn("near", near)
     telling = F.col("near") | F.coalesce(F.lag("near").over(in_block), F.lit(False))
     columns = [*group, "us", "seq", "ord", "up", "syn", "fin", "rst", "starts"]
-    few = marked.where(telling).select(*columns)
+    few = marked.withColumn("telling", telling).where("telling").select(*columns)
     first = F.row_number().over(Window.partitionBy(*TUPLE).orderBy("us", "seq")) == 1
     few = few.withColumn("head", first).withColumn("entry", F.lit(None).cast(STATE_TYPE))
     walked = _run_walk(few, TUPLE, state_out=True)
