@@ -370,8 +370,8 @@ def flow_features() -> dict[str, Column]:
         "tot_bwd_bytes": F.col("bwd_bytes"),
         "flow_bytes_per_s": F.coalesce(size / seconds, F.lit(0.0)),
         "flow_pkts_per_s": F.coalesce(packets / seconds, F.lit(0.0)),
-        "fwd_iat_mean": ratio(F.col("fwd_span"), F.col("fwd_pkts") - 1),
-        "bwd_iat_mean": ratio(F.col("bwd_span"), F.col("bwd_pkts") - 1),
+        "fwd_iat_mean": ratio(F.col("fwd_span"), F.greatest(F.col("fwd_pkts") - 1, F.lit(0))),
+        "bwd_iat_mean": ratio(F.col("bwd_span"), F.greatest(F.col("bwd_pkts") - 1, F.lit(0))),
         "fin_flag_cnt": F.col("n_f"),
         "syn_flag_cnt": F.col("n_s"),
         "rst_flag_cnt": F.col("n_r"),
