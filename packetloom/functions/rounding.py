@@ -48,6 +48,23 @@ def _binary_tie_sign(value: Column, whole: Column, scale: int) -> Column:
     return F.sign((left.cast(wide) - right.cast(wide)).cast("double"))
 
 
+def round_share(k: Column, n: Column, digits: int = 2) -> Column:
+    """``round_ratio`` for shares (``k <= n``) and up to two digits.
+
+    There are only ``10**digits`` ties below 1, so their results come from a
+    small literal array; the expression stays small enough to compile where a
+    projection holds many of them.
+    """
+    scale = 10**digits
+    ties = F.array(*[F.lit(round((2 * q + 1) / (2 * scale), digits)) for q in range(scale)])
+    k, n = k.cast("bigint") * scale, F.nullif(n.cast("bigint"), F.lit(0).cast("bigint"))
+    whole = F.call_function("div", k, n)
+    twice_rest = (k - whole * n) * 2
+    up = (twice_rest > n).cast("int")
+    rounded = F.when(twice_rest == n, F.get(ties, whole.cast("int"))).otherwise((whole + up).cast("double") / float(scale))
+    return F.coalesce(rounded, F.lit(0.0))
+
+
 def ratio(k: Column, n: Column) -> Column:
     """Unrounded ``k / n`` with 0.0 for an empty denominator."""
     return F.coalesce(F.try_divide(k.cast("double"), n.cast("double")), F.lit(0.0))

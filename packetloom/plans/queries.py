@@ -36,6 +36,7 @@ from packetloom.plans.views import (
     table,
 )
 from packetloom.schemas import CONNECTION_FEATURES, FLOW_FEATURES, WINDOW_FEATURES
+from packetloom.session import materialize
 from packetloom.sources import datasets, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,9 +436,10 @@ def gbt_predict(spark, sf):
 
 
 def labelled_features(spark, sf) -> DataFrame:
+    """The feature table that training jobs read: written once."""
     rows = connection_view(spark, sf)
     features = rolling.connection_features(rows)
-    return features.join(rows.select("seq", "label"), "seq")
+    return materialize(features.join(rows.select("seq", "label"), "seq"), "features")
 
 
 SMALL_SIZES = {"trees": 10, "rounds": 3, "depth": 8, "boost_depth": 3}
@@ -451,7 +453,7 @@ def model_metrics(spark, sf):
 
 @query
 def predict_batch(spark, sf):
-    rows = labelled_features(spark, sf).cache()
+    rows = labelled_features(spark, sf)
     encoder = encode.connection_encoder().fit(rows)
     target = models.labelled(rows, "nsl", "multiclass")
     fitted = models.make_classifier("dt", "multiclass", depth=8).fit(encoder.transform(target))
