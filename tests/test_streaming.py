@@ -1,0 +1,127 @@
+"""Streams give what the batch operators give."""
+
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from packetloom.operators import alerts, flows, iforest, windows
+from packetloom.operators.encode import FeatureEncoder
+from packetloom.operators.models import make_classifier
+from packetloom.plans import queries
+from packetloom.plans.views import connection_view, packet_view
+from packetloom.schemas import FLOW_FEATURES, PACKET_SCHEMA
+from packetloom.sources.logs import read_baseline
+from packetloom.streaming.alerts import SIGNAL_SCHEMA, stream_throttle
+from packetloom.streaming.flows import stream_connections
+from packetloom.streaming.scoring import score_live
+from packetloom.streaming.sources import live_records, packet_stream
+from packetloom.streaming.windows import capture_windows, record_meta
+
+ONCE = {"availableNow": True}
+
+
+def folder():
+    return tempfile.mkdtemp(prefix="packetloom-stream-")
+
+
+def write_parts(df, order, parts, path, fmt="parquet"):
+    """``parts`` files in ``order``, written one after the other."""
+    top = df.agg(F.max(order)).first()[0] + 1
+    for i in range(parts):
+        lo, hi = top * i // parts, top * (i + 1) // parts
+        part = df.where(F.col(order).between(lo, hi - 1))
+        part.coalesce(1).sortWithinPartitions(order).write.mode("append").format(fmt).save(path)
+
+
+def test_stream_connections_equal_batch(spark, small):
+    packets = packet_view(spark, small).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKET_SCHEMA.fields]
+    )
+    path, out = folder(), folder()
+    write_parts(packets, "seq", 4, path)
+    # A last packet far ahead lets the watermark pass every open connection.
+    last = packets.limit(1).withColumn("us", F.lit(10**13)).withColumn("seq", F.lit(10**9)).withColumn("proto", F.lit("end"))
+    last.select(*PACKET_SCHEMA.names).coalesce(1).write.mode("append").parquet(path)
+    stream = stream_connections(packet_stream(spark, path, max_files=1))
+    query = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder())
+        .trigger(**ONCE).start()
+    )
+    query.awaitTermination(300)
+    got = spark.read.parquet(out).orderBy("conn_id").collect()
+    expected = flows.connections(packets).orderBy("conn_id").collect()
+    assert [r.conn_id for r in got] == [r.conn_id for r in expected]
+    for a, b in zip(got, expected):
+        a, b = a.asDict(True), b.asDict(True)
+        assert a.pop("features") == pytest.approx(b.pop("features"), rel=1e-6, abs=1e-3)
+        assert a == b
+
+
+def test_stream_windows_and_scores(spark, medium):
+    conns = connection_view(spark, medium).select("seq", "ts_us", "src_ip", "dst_ip", "dst_port", "flag", "bytes")
+    path, base, scored = folder(), folder(), folder()
+    write_parts(conns, "seq", 4, path)
+    expected = windows.source_windows(conns).withColumn("window_id", F.xxhash64("src_ip", "window_start_us"))
+    model = iforest.WindowAnomalyModel.fit(expected, trees=20)
+    raw = spark.readStream.schema(conns.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = raw.withColumn("ts", F.timestamp_micros("ts_us"))
+    query = capture_windows(stream, folder(), base, scored, model, trigger=ONCE)
+    query.awaitTermination(300)
+    end = conns.agg(F.max("ts_us")).first()[0]
+    closed = windows.closed_windows(expected, end)
+    names = ["src_ip", "window_start_us", "flow_count", "distinct_dst_ports", "distinct_dst_hosts", "failed_ratio", "mean_bytes"]
+    got = spark.read.parquet(scored)
+    as_set = lambda df: {tuple(r) for r in df.select(*names).collect()}
+    assert as_set(got) == as_set(closed) and closed.count() < expected.count()
+    assert read_baseline(spark, base).count() == got.count()
+    assert got.where("is_anomaly").count() > 0
+
+
+def test_score_live_writes_events_and_log(spark, small):
+    rows = queries.flow_features32(spark, small).withColumn("label", (F.col("tot_fwd_pkts") > 1).cast("int")).cache()
+    encoder = FeatureEncoder(FLOW_FEATURES).fit(rows)
+    model = make_classifier("dt", "binary", depth=4).fit(encoder.transform(rows))
+    records = rows.select(
+        *FLOW_FEATURES,
+        F.lit("tcp").alias("protocol_type"),
+        F.lit("http").alias("service"),
+        F.lit("SF").alias("flag"),
+        F.struct(
+            F.lit("10.0.0.1").alias("src_ip"), F.lit("h").alias("dst_ip"), F.col("dst_port").cast("int").alias("dst_port"),
+            F.lit("SF").alias("flag"), F.lit(1).cast("long").alias("bytes"),
+        ).alias("meta"),
+        F.timestamp_micros(F.col("conn_id") * 1_000_000).alias("ts"),
+        F.col("conn_id").alias("seq"),
+        F.lit("junk").alias("extra"),
+    )
+    path, events, log, counts = folder(), folder(), folder(), folder()
+    records.repartition(3).write.mode("append").json(path)
+    source = live_records(spark, path, "cic", max_files=1)
+    query = score_live(source, encoder, model, folder(), events, log, counts, "cic", ONCE)
+    query.awaitTermination(300)
+    got = spark.read.parquet(events)
+    assert got.count() == rows.count()
+    assert spark.read.parquet(log).count() == got.where("is_attack").count() == rows.where("label = 1").count() > 0
+    assert got.where("hot is not null or has_file_activity").count() == 0
+    total = spark.read.parquet(counts).agg(F.sum("count"), F.sum("attacks")).first()
+    assert total[0] == got.count() and total[1] == got.where("is_attack").count()
+    meta = record_meta(live_records(spark, path, "cic"))
+    assert meta.isStreaming and "src_ip" in meta.columns
+
+
+def test_stream_throttle_equals_batch(spark, medium):
+    events = queries.alert_events(spark, medium)
+    scored = queries.scored_windows(spark, medium).where("is_anomaly")
+    batches = alerts.alert_batches(alerts.attack_inputs(events), alerts.anomaly_inputs(scored))
+    batches = batches.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SIGNAL_SCHEMA.fields]).cache()
+    path, out = folder(), folder()
+    write_parts(batches, "batch_id", 3, path)
+    raw = spark.readStream.schema(SIGNAL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    query = (
+        stream_throttle(raw).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", folder()).trigger(**ONCE).start()
+    )
+    query.awaitTermination(300)
+    key = lambda df: sorted((r.tenant, r.batch_id, r.alert_no, r.emits) for r in df.collect())
+    assert key(spark.read.parquet(out)) == key(alerts.throttle(batches))
