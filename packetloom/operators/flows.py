@@ -33,6 +33,9 @@ IDLE_US = {"tcp": 30_000_000, "udp": 10_000_000, "icmp": 5_000_000}
 GRACE_US = 2_000_000
 
 TUPLE = ["proto", "lo_ip", "lo_port", "hi_ip", "hi_port"]
+PACKET_COLUMNS = [
+    "us", "seq", "up", "payload_len", "ip_len", "tcp_flags", "tcp_window", "icmp_type", "icmp_code", "is_fragment",
+]
 ORDER_BITS = 36
 
 
@@ -62,6 +65,11 @@ def _timeout(idle_us: dict[str, int]) -> Column:
     return limit.otherwise(idle_us["icmp"])
 
 
+def _group(hot: DataFrame | None) -> list[str]:
+    """Keys of an ordered group; without hot tuples there is one block per tuple."""
+    return TUPLE if hot is None else [*TUPLE, "block"]
+
+
 def with_idle_sessions(
     packets: DataFrame, idle_us: dict[str, int] = IDLE_US, max_rows: int = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -72,10 +80,10 @@ def with_idle_sessions(
     rows and the hot tuples, if any.
     """
     placed, hot = split_hot_keys(canonical_tuple(packets), TUPLE, "us", max_rows)
-    group = [*TUPLE, "block"]
+    group = _group(hot)
     in_block = Window.partitionBy(*group).orderBy("us", "seq")
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = placed.repartition(*group).select(
+    rows = placed.select(
         "*",
         F.lag("us").over(in_block).alias("prev_us"),
         # Rises with (us, seq) inside a tuple.
@@ -203,7 +211,7 @@ def _run_walk(rows: DataFrame, group: list[str], state_out: bool) -> DataFrame:
 
 def _tcp_flows(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Add ``flow_us``, ``flow_seq``, ``flow_up`` to TCP rows; null on absorbed packets."""
-    group = [*TUPLE, "block"]
+    group = _group(hot)
     in_block = Window.partitionBy(*group).orderBy("us", "seq")
     marked = rows.select(
         "*",
@@ -257,6 +265,8 @@ def assign_flows(
     Packets absorbed after a close carry nulls there.
     """
     rows, hot = with_idle_sessions(packets, idle_us, max_rows)
+    # The addresses live on in the tuple and ``up``; fewer columns pass the walk.
+    rows = rows.select(*TUPLE, *PACKET_COLUMNS, "block", "prev_us", "ord", "starts", "sess_us", "sess_seq", "sess_up")
     whole = {"flow_us": F.col("sess_us"), "flow_seq": F.col("sess_seq"), "flow_up": F.col("sess_up")}
     if split == "idle":
         return rows.withColumns(whole)

@@ -55,6 +55,9 @@ def tree_samples(df: DataFrame, key: str, n: int, trees: int, rows: int, seed: i
     limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
     near = F.filter(hashed, lambda x: x["h"] <= limit)
     picked = df.withColumn("pick", F.explode(near)).select("pick.*", key, *WINDOW_FEATURES)
+    # Trees are little data but much work: a fixed number of partitions keeps them apart.
+    tasks = min(trees, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    picked = picked.repartition(tasks, "tree")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", key))
     return picked.withColumn("rank", rank).where(F.col("rank") <= rows).select("tree", key, *WINDOW_FEATURES)
 

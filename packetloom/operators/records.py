@@ -41,9 +41,10 @@ def flow_records(conns: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def connection_records_with_meta(features: DataFrame, conns: DataFrame) -> DataFrame:
-    """41-feature records with ``meta``, joined on ``seq``."""
-    return features.join(conns.select("seq", flow_meta().alias("meta")), "seq")
+def connection_records_with_meta(features: DataFrame, conns: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """41-feature records with ``meta``, joined on the connection number."""
+    keys = keys or ["seq"]
+    return features.join(conns.select(*keys, flow_meta().alias("meta")), keys)
 
 
 def has_file_activity(columns: list[str]) -> Column:

@@ -179,8 +179,7 @@ fs as (select *, case when proto <> 'tcp' then 'SF' when not syn_seen then 'OTH'
 
 _IDLE_FLOWS = f"with {PACKETS}, {_idle_assign()}, {_FLOWS}"
 
-_PAIRS = f"""with {CONN},
-p as (select s.seq, c.ts_us >= s.ts_us - 2000000 as t, c.seq > s.seq - 100 as h, c.dst_ip = s.dst_ip as host,
+_PAIR_CTES = f"""p as (select s.seq, c.ts_us >= s.ts_us - 2000000 as t, c.seq > s.seq - 100 as h, c.dst_ip = s.dst_ip as host,
     c.service = s.service as srv, c.src_port = s.src_port as port, c.flag in ('S0', 'S1', 'S2', 'S3') as se, c.flag = 'REJ' as re
   from {{source}} s join {{source}} c on c.seq between s.seq - 999 and s.seq),
 f as (select seq,
@@ -193,6 +192,7 @@ f as (select seq,
         'dh_se': 'h and host and se', 'dh_re': 'h and host and re', 'dhs_se': 'h and host and srv and se',
         'dhs_re': 'h and host and srv and re',
     }.items())} from p group by seq)"""
+_PAIRS = f"with {CONN}, {_PAIR_CTES}"
 
 _RATES = """n_host as count, n_srv as srv_count, host_serr / n_host as serror_rate, srv_serr / n_srv as srv_serror_rate,
     host_rerr / n_host as rerror_rate, srv_rerr / n_srv as srv_rerror_rate, host_srv / n_host as same_srv_rate,
@@ -405,11 +405,17 @@ select flow_seq as conn_id, dst_port::double as dst_port, span::double as flow_d
     "feat_100_srv": f"""{_PAIRS.format(source='conn')} select seq, hs as dh_srv_all, dhs_se as dh_srv_serr, dhs_re as dh_srv_rerr,
   hs_other / hs as dst_host_srv_diff_host_rate, dhs_se / dhs as dst_host_srv_serror_rate,
   dhs_re / dhs as dst_host_srv_rerror_rate from f""",
-    "feat_2s_exact": _PAIRS.replace("with ", "with ", 1).format(
+    "feat_2s_exact": _PAIRS.format(
         source="(select * replace (ts_us - (case when seq % 7 = 0 then 31000000 else 0 end) as ts_us) from conn)"
     )
     + " select seq, n_host as count, n_srv as srv_count, host_serr, host_rerr, srv_serr, srv_rerr, host_srv from f",
     "conn_features41": f"""{_PAIRS.format(source='conn')} select seq, duration, protocol_type, service, flag, src_bytes, dst_bytes,
+  land, wrong_fragment, urgent, {', '.join(f'0 as {c}' for c in CONTENT_FEATURES)}, {_RATES} from f join conn using (seq)""",
+    "packet_features41": f"""with recursive {PACKETS}, {_TCP_ASSIGN}, {_FLOWS},
+conn as (select row_number() over (order by last_us, flow_seq) - 1 as seq, last_us as ts_us, span // 1000000 as duration,
+  proto as protocol_type, {_SERVICE} as service, flag, src_ip, src_port, dst_ip, dst_port, src_bytes, dst_bytes,
+  (src_ip = dst_ip and src_port = dst_port)::int as land, wrong_fragment, urgent from fs),
+{_PAIR_CTES.format(source='conn')} select seq, duration, protocol_type, service, flag, src_bytes, dst_bytes,
   land, wrong_fragment, urgent, {', '.join(f'0 as {c}' for c in CONTENT_FEATURES)}, {_RATES} from f join conn using (seq)""",
     "source_windows": f"with {CONN}, {WINDOWS} select {_WINDOW_COLUMNS} from win",
     "closed_windows": f"with {CONN}, {WINDOWS} select {_WINDOW_COLUMNS} from win where window_start_us + 60000000 <= 1200000000",

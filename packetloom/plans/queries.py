@@ -330,6 +330,14 @@ def conn_features41(spark, sf):
     return rolling.connection_features(connection_view(spark, sf), digits=None)
 
 
+@query
+def packet_features41(spark, sf):
+    """Packets all the way to the 41 features."""
+    rows = flows.connections(packet_view(spark, sf)).drop("features")
+    numbered = rolling.completion_sequence(materialize(rows, "connections"))
+    return rolling.connection_features(numbered, digits=None)
+
+
 # --- source windows -----------------------------------------------------------
 
 
@@ -486,8 +494,9 @@ def silhouette_euclid(spark, sf):
 
 
 def baseline_rows(spark, sf) -> DataFrame:
+    """The baseline table that fitting reads several times: written once."""
     rows = window_rows(spark, sf, digits=True)
-    return rows.withColumn("window_id", F.xxhash64("src_ip", "window_start_us"))
+    return materialize(rows.withColumn("window_id", F.xxhash64("src_ip", "window_start_us")), "baseline")
 
 
 @query

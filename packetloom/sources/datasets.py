@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,15 +72,22 @@ def read_flows_raw(spark: SparkSession, folder: str) -> DataFrame:
     files = _csv_files(spark, folder)
     if not files:
         raise FileNotFoundError(f"no CSV files under {folder}")
-    return functools.reduce(DataFrame.unionByName, [_read_day(spark, f) for f in files])
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in files:
+        # Reads the header line only; files of one layout then share a scan.
+        layouts.setdefault(tuple(_flow_reader(spark).csv(path).columns), []).append(path)
+    return functools.reduce(DataFrame.unionByName, [_read_days(spark, h, p) for h, p in layouts.items()])
 
 
-def _read_day(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.options(header=True, encoding="latin1", ignoreLeadingWhiteSpace=True)
-    raw = reader.csv(path)
-    at = {c.strip(): i for i, c in reversed(list(enumerate(raw.columns)))}
-    named = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
-    return named.select(
+def _flow_reader(spark: SparkSession) -> DataFrameReader:
+    # ISO-8859-1 is the JVM's name of latin1.
+    return spark.read.options(header=True, encoding="ISO-8859-1", ignoreLeadingWhiteSpace=True)
+
+
+def _read_days(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+    at = {c.strip(): i for i, c in reversed(list(enumerate(header)))}
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    return _flow_reader(spark).schema(schema).csv(paths).select(
         *[F.col(f"c{at[theirs]}").alias(ours) for ours, theirs in FLOW_COLUMN_NAMES.items()],
         F.col(f"c{at['Label']}").alias("label"),
         F.col("_metadata.file_name").alias("file"),

@@ -5,7 +5,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import alerts, flows, iforest, windows
+from packetloom.operators import alerts, flows, iforest, rolling, windows
+from packetloom.operators.layout import dense_sequence
 from packetloom.operators.encode import FeatureEncoder
 from packetloom.operators.models import make_classifier
 from packetloom.plans import queries
@@ -13,6 +14,7 @@ from packetloom.plans.views import connection_view, packet_view
 from packetloom.schemas import FLOW_FEATURES, PACKET_SCHEMA
 from packetloom.sources.logs import read_baseline
 from packetloom.streaming.alerts import SIGNAL_SCHEMA, stream_throttle
+from packetloom.streaming.features import CARRIED, stream_features
 from packetloom.streaming.flows import stream_connections
 from packetloom.streaming.scoring import score_live
 from packetloom.streaming.sources import live_records, packet_stream
@@ -78,6 +80,20 @@ def test_stream_windows_and_scores(spark, medium):
     assert got.where("is_anomaly").count() > 0
 
 
+def test_stream_features_equal_batch(spark, medium):
+    rows = connection_view(spark, medium).withColumns({"conn_id": F.col("seq"), "sensor": F.concat(F.lit("s"), F.col("seq") % 2)})
+    rows = rows.select(*[c for c in CARRIED if c != "seq"])
+    path, out = folder(), folder()
+    write_parts(rows, "conn_id", 4, path)
+    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream_features(raw, folder(), out, folder(), ONCE).awaitTermination(600)
+    got = spark.read.parquet(out)
+    assert got.select("batch_id").distinct().count() == 4 and "meta" in got.columns
+    numbered = dense_sequence(rows, ["ts_us", "conn_id"], by=["sensor"])
+    expected = rolling.connection_features(numbered, by=["sensor"])
+    assert got.select(*expected.columns).exceptAll(expected).count() == 0 and got.count() == expected.count()
+
+
 def test_score_live_writes_events_and_log(spark, small):
     rows = queries.flow_features32(spark, small).withColumn("label", (F.col("tot_fwd_pkts") > 1).cast("int")).cache()
     encoder = FeatureEncoder(FLOW_FEATURES).fit(rows)
