@@ -8,10 +8,11 @@ the nodes with array operations inside the scan of the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +93,7 @@ class WindowAnomalyModel:
     sample_rows: int = 0
     offset: float = 0.0
     baseline_rows: int = 0
+    _shared: tuple[Broadcast, int] | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def fit(
@@ -129,22 +131,27 @@ class WindowAnomalyModel:
         model.offset = exact_quantile(raw, "raw_score", contamination)
         return model
 
+    def _forest(self) -> tuple[Broadcast, int]:
+        """The trees as arrays, sent to the executors once, and the greatest depth."""
+        if self._shared is None:
+            # At most trees x (2 x sample rows - 1) nodes, whatever the data.
+            table = self.nodes.orderBy("tree", "node").toPandas()
+            trees = []
+            for _, tree in table.groupby("tree", sort=True):
+                leaf_path = tree["depth"].to_numpy() + average_path(tree["size"].to_numpy())
+                arrays = [tree[c].to_numpy() for c in ("feature", "threshold", "left", "right")]
+                trees.append((*arrays, leaf_path))
+            shared = self.nodes.sparkSession.sparkContext.broadcast(trees)
+            self._shared = (shared, int(table["depth"].max()))
+        return self._shared
+
     def _raw_scores(self, df: DataFrame) -> DataFrame:
         """Add ``raw_score`` = -2^(-E[path] / c(sample)); lower is more anomalous."""
         if self.nodes is None or self.scaler is None:
             raise NotFittedError("anomaly model is not fitted: fit it first")
-        # Bounded by trees x (2 x sample rows - 1) nodes, not by the data.
-        table = self.nodes.orderBy("tree", "node").toPandas()
-        forest = []
-        for _, tree in table.groupby("tree", sort=True):
-            leaf_path = tree["depth"].to_numpy() + average_path(tree["size"].to_numpy())
-            forest.append(
-                tuple(tree[c].to_numpy() for c in ("feature", "threshold", "left", "right")) + (leaf_path,)
-            )
-        shared = df.sparkSession.sparkContext.broadcast(forest)
+        shared, depth = self._forest()
         centre = np.array([self.scaler[f][0] for f in WINDOW_FEATURES])
         spread = np.array([self.scaler[f][1] for f in WINDOW_FEATURES])
-        depth = int(table["depth"].max())
         scale = float(average_path(np.array([self.sample_rows]))[0])
 
         @F.pandas_udf("double")

@@ -1,6 +1,7 @@
 """Compares registered queries with their SQL; ``python tests/oracle_check.py [name ...]``."""
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -57,7 +58,7 @@ if __name__ == "__main__":
     from packetloom.session import local_session
 
     spark = local_session("8", 8)
-    sf = "/root/testdata/sf0.01"
+    sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     con = connect(sf)
     chosen = sys.argv[1:] or list(entry.queries())
     bad = 0
