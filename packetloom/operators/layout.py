@@ -87,8 +87,7 @@ def dense_sequence(df: DataFrame, order: list[str], by: list[str] | None = None,
 
     A range exchange spreads the rows over tasks by the whole sort key, so a
     single large group is cut into many ranges.  Each row then knows its place
-    in its range; adding the sizes of the ranges before it (one row per range)
-    gives the number.  ``order`` must end in a unique column.
+    in its range; adding the rows of its group in earlier ranges gives the number.  ``order`` must end in a unique column.
     """
     by = by or []
     keys = [*by, *order]
@@ -102,12 +101,14 @@ def dense_sequence(df: DataFrame, order: list[str], by: list[str] | None = None,
         .drop("_id")
     )
     placed = materialize(placed, "ordered")
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per range: as small as the number of shuffle partitions.
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    numbered = placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place"))
-    if by:
-        first = numbered.groupBy(*by).agg(F.min(name).alias("_first"))
-        numbered = numbered.join(first, by).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
-    return numbered.drop("_range", "_place", "_start")
+    # Per range and group: its rows there, where they begin, and its rows in earlier ranges.
+    parts = placed.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_low"))
+    # One row per range (and group): a group has at most as many as there are ranges.
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low")
+    shifts = parts.select("_range", *by, shift.alias("_shift"))
+    if not by:
+        shifts = F.broadcast(shifts)  # one row per shuffle partition
+    # The range is part of the key, so a large group does not make a large join partition.
+    numbered = placed.join(shifts, ["_range", *by]).withColumn(name, F.col("_place") + F.col("_shift"))
+    return numbered.drop("_range", "_place", "_shift")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.labels import prediction_columns
+from packetloom.operators.rolling import connection_features
 from packetloom.schemas import CATEGORICAL_FEATURES, FILE_ACTIVITY_COLUMNS, REQUIRED_FEATURES
 
 
@@ -41,10 +42,11 @@ def flow_records(conns: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def connection_records_with_meta(features: DataFrame, conns: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """41-feature records with ``meta``, joined on the connection number."""
-    keys = keys or ["seq"]
-    return features.join(conns.select(*keys, flow_meta().alias("meta")), keys)
+def connection_feature_records(
+    conns: DataFrame, by: list[str] | None = None, keep: list[str] | None = None, **options
+) -> DataFrame:
+    """41-feature records of numbered connections, with ``meta``."""
+    return connection_features(conns, by, keep=[*(keep or []), flow_meta().alias("meta")], **options)
 
 
 def has_file_activity(columns: list[str]) -> Column:

@@ -445,9 +445,7 @@ def gbt_predict(spark, sf):
 
 def labelled_features(spark, sf) -> DataFrame:
     """The feature table that training jobs read: written once."""
-    rows = connection_view(spark, sf)
-    features = rolling.connection_features(rows)
-    return materialize(features.join(rows.select("seq", "label"), "seq"), "features")
+    return materialize(rolling.connection_features(connection_view(spark, sf), keep=["label"]), "features")
 
 
 SMALL_SIZES = {"trees": 10, "rounds": 3, "depth": 8, "boost_depth": 3}

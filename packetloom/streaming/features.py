@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from packetloom.operators.records import connection_records_with_meta
-from packetloom.operators.rolling import HISTORY, connection_features
+from packetloom.operators.records import connection_feature_records
+from packetloom.operators.rolling import HISTORY
 from packetloom.sources.logs import retain_newest
 from packetloom.streaming.sinks import write_batch
 
@@ -40,11 +40,8 @@ def batch_features(batch: DataFrame, history: DataFrame | None) -> tuple[DataFra
         rows = known.unionByName(new.select(*CARRIED, "fresh"))
     else:
         rows = new.select(*CARRIED, "fresh")
-    features = connection_features(rows, by=["sensor"], arrival_order=True)
-    fresh = rows.where("fresh").select("sensor", "seq", "conn_id", "ts_us")
-    records = features.join(fresh, ["sensor", "seq"])
-    meta = connection_records_with_meta(records, rows.where("fresh"), ["sensor", "seq"])
-    return meta, retain_newest(rows.select(*CARRIED), HISTORY, log="sensor")
+    records = connection_feature_records(rows, ["sensor"], ["conn_id", "ts_us", "fresh"], arrival_order=True)
+    return records.where("fresh").drop("fresh"), retain_newest(rows.select(*CARRIED), HISTORY, log="sensor")
 
 
 def stream_features(
