@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.functions.literals import literal_array, literal_map
+
 # Attack name -> category, and the category order.
 ATTACK_CATEGORY = {
     "normal": "normal",
@@ -60,7 +62,7 @@ def attack_label_table(spark: SparkSession) -> DataFrame:
 
 
 def _category(label: Column, mapping: dict[str, str]) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), label)
+    return F.try_element_at(literal_map(mapping), label)
 
 
 def attack_category(label: Column) -> Column:
@@ -78,7 +80,7 @@ def flow_category(label: Column) -> Column:
 
 def class_index(category: Column, classes: list[str]) -> Column:
     """0-based position of a category in ``classes``, null for null."""
-    return F.nullif(F.array_position(F.array(*map(F.lit, classes)), category).cast("int"), F.lit(0)) - 1
+    return F.nullif(F.array_position(literal_array(classes), category).cast("int"), F.lit(0)) - 1
 
 
 def binary_label(label: Column) -> Column:
@@ -128,6 +130,6 @@ def prediction_columns(prediction: Column, classes: list[str]) -> dict[str, Colu
     index = prediction.cast("int")
     return {
         "prediction": index,
-        "label": F.element_at(F.array(*map(F.lit, classes)), index + 1),
+        "label": F.element_at(literal_array(classes), index + 1),
         "is_attack": index != 0,
     }

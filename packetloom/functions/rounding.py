@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from packetloom.functions.literals import literal_array
+
 
 def round_ratio(k: Column, n: Column, digits: int) -> Column:
     """``round(k / n, digits)`` for non-negative integer ``k``, positive ``n``; 0.0 when ``n`` is 0."""
@@ -56,7 +58,7 @@ def round_share(k: Column, n: Column, digits: int = 2) -> Column:
     projection holds many of them.
     """
     scale = 10**digits
-    ties = F.array(*[F.lit(round((2 * q + 1) / (2 * scale), digits)) for q in range(scale)])
+    ties = literal_array([round((2 * q + 1) / (2 * scale), digits) for q in range(scale)])
     k, n = k.cast("bigint") * scale, F.nullif(n.cast("bigint"), F.lit(0).cast("bigint"))
     whole = F.call_function("div", k, n)
     twice_rest = (k - whole * n) * 2

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from packetloom.functions.literals import literal_map
+
 # Responder port -> service name.
 TCP_SERVICES = {
     7: "echo", 9: "discard", 11: "systat", 13: "daytime", 15: "netstat",
@@ -26,9 +28,7 @@ ICMP_SERVICES = {0: "ecr_i", 5: "red_i", 8: "eco_i", 11: "tim_i", 13: "tim_i", 1
 
 
 def _lookup(names: dict[int, str], key: Column, default: str) -> Column:
-    # A literal map stays inside the projection: no join, nothing to ship.
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, key.cast("int")), F.lit(default))
+    return F.coalesce(F.try_element_at(literal_map(names), key.cast("int")), F.lit(default))
 
 
 def service_name(proto: Column, port: Column, icmp_type: Column, icmp_code: Column) -> Column:
