@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.rounding import round_ratio
+from packetloom.operators.layout import small_side
 from packetloom.session import materialize
 
 # Throttle defaults, listed sources, channel kinds.
@@ -23,8 +24,6 @@ MIN_ATTACKS = 5
 LISTED_SOURCES = 3
 CHANNEL_KINDS = ["ntfy", "discord", "slack", "generic", "email"]
 TITLE = "Network attack alert"
-# Batch rows (some 50 bytes each) that may be broadcast.
-BROADCAST_BATCHES = 500_000
 
 BATCH_KEYS = ["tenant", "batch_id"]
 
@@ -127,7 +126,6 @@ def alerts(throttled: DataFrame, sources: DataFrame) -> DataFrame:
     """
     keys = ["tenant", "alert_no"]
     throttled = materialize(throttled, "throttled")
-    small = throttled.count() <= BROADCAST_BATCHES
     order = F.struct("worst_score", (-F.col("batch_id")).alias("b"))
     totals = throttled.groupBy(*keys).agg(
         F.max(F.when(F.col("emits"), F.col("now"))).alias("now"),
@@ -137,9 +135,9 @@ def alerts(throttled: DataFrame, sources: DataFrame) -> DataFrame:
         F.max_by("worst_src", F.when(F.col("worst_score") > 0, order)).alias("worst_src"),
     )
     emitted = totals.where(F.col("now").isNotNull())
-    numbers = throttled.select(*BATCH_KEYS, "alert_no")
-    # Beyond the bound a shuffle join serves; adaptive execution splits its large batches.
-    named = sources.where(F.col("src_ip") != "").distinct().join(F.broadcast(numbers) if small else numbers, BATCH_KEYS)
+    numbers = small_side(throttled).select(*BATCH_KEYS, "alert_no")
+    # Beyond the broadcast bound a shuffle join serves; adaptive execution splits its large batches.
+    named = sources.where(F.col("src_ip") != "").distinct().join(numbers, BATCH_KEYS)
     distinct = named.select(*keys, "src_ip").distinct()
     counts = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sources"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("src_ip"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from packetloom.functions.rounding import ratio
 from packetloom.functions.services import service_name
-from packetloom.operators.layout import MAX_GROUP_ROWS, split_hot_keys
+from packetloom.operators.layout import MAX_GROUP_ROWS, small_side, split_hot_keys
 from packetloom.session import materialize
 from packetloom.schemas import FLOW_FEATURES
 
@@ -93,7 +93,7 @@ def with_idle_sessions(
         ends = _block_summary(placed, hot, group, {"end_us": F.max("us")}, "block-ends")
         earlier = Window.partitionBy(*TUPLE).orderBy("block")
         ends = ends.select(*group, F.lag("end_us").over(earlier).alias("carry_us"))
-        rows = rows.join(F.broadcast(ends), group, "left")
+        rows = rows.join(small_side(ends), group, "left")
         rows = rows.withColumn("prev_us", F.coalesce("prev_us", "carry_us")).drop("carry_us")
     starts = F.col("prev_us").isNull() | (F.col("us") - F.col("prev_us") > _timeout(idle_us))
     rows = rows.withColumn("starts", starts)
@@ -105,7 +105,7 @@ def with_idle_sessions(
         )
         before = Window.partitionBy(*TUPLE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         opened = opened.select(*group, F.last("opened", ignorenulls=True).over(before).alias("carry"))
-        rows = rows.join(F.broadcast(opened), group, "left").withColumn("sess", F.coalesce("sess", "carry")).drop("carry")
+        rows = rows.join(small_side(opened), group, "left").withColumn("sess", F.coalesce("sess", "carry")).drop("carry")
     rows = rows.select(
         "*",
         F.col("sess.us").alias("sess_us"),
@@ -119,7 +119,7 @@ def _block_summary(
     rows: DataFrame, hot: DataFrame, group: list[str], values: dict[str, Column], name: str
 ) -> DataFrame:
     """One row per block of a hot tuple: at most total rows / max_rows in all."""
-    of_hot = rows.join(F.broadcast(hot), TUPLE, "left_semi")
+    of_hot = rows.join(small_side(hot), TUPLE, "left_semi")
     return materialize(of_hot.groupBy(*group).agg(*[v.alias(k) for k, v in values.items()]), name)
 
 
@@ -223,8 +223,8 @@ def _tcp_flows(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     if hot is None:
         marked = marked.withColumn("entry", F.lit(None).cast(STATE_TYPE))
     else:
-        entries = _entry_states(marked.join(F.broadcast(hot), TUPLE, "left_semi"))
-        marked = marked.join(F.broadcast(entries), group, "left")
+        entries = _entry_states(marked.join(small_side(hot), TUPLE, "left_semi"))
+        marked = marked.join(small_side(entries), group, "left")
     return _run_walk(marked, group, state_out=False)
 
 

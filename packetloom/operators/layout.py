@@ -18,12 +18,17 @@ from packetloom.session import materialize
 
 MAX_GROUP_ROWS = 5_000_000
 MAX_BLOCKS_PER_KEY = 10_000
-# Rows x cut points that may be broadcast (8 bytes each, 32 MB at most).
-BROADCAST_VALUES = 4_000_000
+# Rows of a written table (some 100 bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 BLOCK_ROWS = 16_384
 
 
+def small_side(table: DataFrame, values_per_row: int = 1) -> DataFrame:
+    """Broadcast a written table when its size allows; otherwise leave it to a shuffle join."""
+    return F.broadcast(table) if table.count() * values_per_row <= BROADCAST_ROWS else table
+
+
 def split_hot_keys(
     df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -41,16 +46,15 @@ def split_hot_keys(
     counts = materialize(counts, "hot-keys")
     parts = min(MAX_BLOCKS_PER_KEY, math.ceil(size["largest"] / max_rows) + 1)
     cuts = [i / parts for i in range(1, parts)]
-    small = size["keys"] * parts <= BROADCAST_VALUES
-    hint = F.broadcast if small else (lambda d: d)
-    hot_rows = df.select(*keys, order).join(hint(counts.select(*keys)), keys)
+    hot_rows = df.select(*keys, order).join(small_side(counts).select(*keys), keys)
     hot = materialize(
         hot_rows.groupBy(*keys).agg(
             F.percentile_approx(order, F.array(*map(F.lit, cuts)), 20 * parts).alias("cuts")
         ),
         "hot-cuts",
     )
-    placed = df.join(hint(hot), keys, "left").withColumn(
+    # A cut point takes 8 bytes, a row of names about 100.
+    placed = df.join(small_side(hot, 1 + parts // 12), keys, "left").withColumn(
         "block", F.when(F.col("cuts").isNull(), 0).otherwise(_cuts_below(F.col("cuts"), F.col(order), parts))
     )
     return placed.drop("cuts"), hot.select(*keys)

@@ -33,7 +33,7 @@ def batch_features(batch: DataFrame, history: DataFrame | None) -> tuple[DataFra
     place = F.row_number().over(Window.partitionBy("sensor").orderBy("ts_us", "conn_id")).cast("bigint") - 1
     new = batch.withColumn("seq", place).select(*CARRIED, F.lit(True).alias("fresh"))
     if history is not None:
-        ends = F.broadcast(history.groupBy("sensor").agg(F.max("seq").alias("last")))  # one row per sensor
+        ends = history.groupBy("sensor").agg(F.max("seq").alias("last"))
         after = F.col("seq") + F.coalesce(F.col("last") + 1, F.lit(0))
         new = new.join(ends, "sensor", "left").withColumn("seq", after)
         known = history.select(*CARRIED, F.lit(False).alias("fresh"))
