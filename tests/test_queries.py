@@ -7,10 +7,11 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from packetloom.plans.oracles import ORACLES
+from packetloom.plans.queries import REGISTRY
 
 # Costly fits; their operators are tested in test_models.py and test_anomaly.py.
 HEAVY = {"model_metrics", "predict_batch", "kmeans_sweep", "iforest_nodes", "anomaly_scores", "gbt_predict", "rf_predict"}
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,19 +20,20 @@ def con(small):
 
 
 def test_contract():
-    assert set(ORACLES) <= set(entry.queries())
-    assert set(entry.queries()) - set(ORACLES) <= HEAVY | {"onehot", "dt_predict"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(REGISTRY) <= set(entry.queries()) and set(ORACLES) <= set(REGISTRY)
+    assert set(REGISTRY) - set(ORACLES) <= HEAVY | {"onehot", "dt_predict"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, small, name):
     # Some views are empty on tables this small.
-    assert compare(entry.queries()[name](spark, small), con, ORACLES[name]) in (None, "no rows")
+    assert compare(REGISTRY[name](spark, small), con, ORACLES[name]) in (None, "no rows")
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(ORACLES) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(ORACLES) - HEAVY))
 def test_query_runs(spark, small, name):
-    assert entry.queries()[name](spark, small).count() > 0
+    assert REGISTRY[name](spark, small).count() > 0
 
 
 def test_entry(spark):
