@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, sharding
+from packetloom.llm import chat, licenses, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,20 @@ from marked group by conv_id
 def op7_shard_table(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
     return sharding.place(docs, "doc_id", SHARDS, spread_by="source").select("doc_id", "slot", "shard")
+
+
+@query
+def op10_license_scan(spark, sf):
+    found = licenses.scan(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["whole"])
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda s: s["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
