@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, licenses, sharding
+from packetloom.llm import chat, licenses, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,17 @@ def op10_license_scan(spark, sf):
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+@query
+def op8_secret_scan(spark, sf):
+    found = secrets.scan(table(spark, sf, "documents"))
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    strong = [p.kind for p in secrets.PARTS if p.strong]
+    base = F.filter("spans", lambda s: s["kind"].isin(strong))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, strong), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
