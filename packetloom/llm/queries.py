@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, licenses, secrets, sharding
+from packetloom.llm import chat, licenses, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,12 @@ def op8_secret_scan(spark, sf):
     return found.select(
         "doc_id", *map(count, strong), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans")
     )
+
+
+@query
+def op2_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = quality.held_out(F.col("doc_id"), 3, 1)
+    model = quality.fit(docs, table(spark, sf, "labels").where(~held))
+    out = quality.score(docs.withColumn("held_out", held), model)
+    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
