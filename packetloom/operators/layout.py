@@ -55,12 +55,12 @@ def split_hot_keys(
     )
     # A cut point takes 8 bytes, a row of names about 100.
     placed = df.join(small_side(hot, 1 + parts // 12), keys, "left").withColumn(
-        "block", F.when(F.col("cuts").isNull(), 0).otherwise(_cuts_below(F.col("cuts"), F.col(order), parts))
+        "block", F.when(F.col("cuts").isNull(), 0).otherwise(cuts_below(F.col("cuts"), F.col(order), parts))
     )
     return placed.drop("cuts"), hot.select(*keys)
 
 
-def _cuts_below(cuts: Column, value: Column, parts: int) -> Column:
+def cuts_below(cuts: Column, value: Column, parts: int) -> Column:
     """How many of the ascending ``cuts`` are smaller than ``value`` (binary search)."""
     steps = [2**p for p in reversed(range(parts.bit_length()))]
     return F.aggregate(
