@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, licenses, quality, secrets, sharding
+from packetloom.llm import chat, imatch, licenses, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,9 @@ def op2_quality(spark, sf):
     model = quality.fit(docs, table(spark, sf, "labels").where(~held))
     out = quality.score(docs.withColumn("held_out", held), model)
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op9_imatch(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return imatch.compare_with_next(docs, imatch.frequencies(docs))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -117,7 +118,7 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The rows again in batches of about ``most_bytes`` of text (a longer text comes alone)."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
         begin = 0
         while begin < batch.num_rows:
             upto = np.cumsum(sizes[begin:])
