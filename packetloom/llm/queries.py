@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, imatch, licenses, quality, secrets, sharding
+from packetloom.llm import chat, imatch, licenses, packing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,9 @@ def op2_quality(spark, sf):
 def op9_imatch(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return imatch.compare_with_next(docs, imatch.frequencies(docs))
+
+
+@query
+def op3_best_fit(spark, sf):
+    docs = table(spark, sf, "documents")
+    return packing.pack(docs, packing.word_count(F.col("text")))
