@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, imatch, licenses, packing, quality, secrets, sharding
+from packetloom.llm import chat, decontam, imatch, licenses, packing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,8 @@ def op9_imatch(spark, sf):
 def op3_best_fit(spark, sf):
     docs = table(spark, sf, "documents")
     return packing.pack(docs, packing.word_count(F.col("text")))
+
+
+@query
+def op6_decontaminate(spark, sf):
+    return decontam.find(table(spark, sf, "documents"), table(spark, sf, "benchmark")).where("verified").drop("verified")
