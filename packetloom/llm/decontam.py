@@ -3,9 +3,10 @@
 Passages are overlapping windows of words, wide enough to hold any item whole.  A passage's score for an item is
 BM25 over the passage's distinct words, divided by the score the item gets from its own words, so one threshold
 serves items of any length.  Retrieval is block-max WAND: the largest impact of each term bounds what a passage can
-reach at all (tested for all passages of a batch at once), and where that is enough, the walk over the posting lists
-skips blocks whose largest impacts cannot reach the threshold.  What is retrieved is verified word for word: enough
-runs of three words of the item's question and of its answer must stand around the passage.
+reach at all, the largest impacts of its terms in each block of items what it can reach there.  Both bounds are
+tested for all passages of a text at once; passages that pass are walked through the posting lists, skipping blocks
+that cannot reach the threshold.  What is retrieved is verified word for word: enough runs of three words of the
+item's question and of its answer must stand around the passage.
 
 The last sentence of an item counts as its answer, what stands before it as its question.
 """
@@ -29,7 +30,10 @@ THRESHOLD = 0.6
 QUESTION, ANSWER = 0.6, 0.5
 GRAM = 3
 STRIDE = 64
-BLOCK = 32
+# Items in a block.  Small ones keep the bounds tight enough to spare nearly all walks.
+BLOCK = 4
+# Window by block bounds held at a time.
+MOST_BOUNDS = 1 << 22
 # Items with fewer words say nothing about where a text comes from; they are not searched for.
 LEAST_WORDS = 5
 # An index part holds items of about this many bytes; larger benchmarks are searched part by part.
@@ -48,7 +52,10 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 @dataclass
 class Index:
-    """Posting lists by term: items (positions in ``ids``, ascending) with impacts, and the largest per block."""
+    """Posting lists by term: items (positions in ``ids``, ascending) with impacts.
+
+    ``blocks`` and ``block_max`` are the same lists by block of items, with the largest impact in each.
+    """
 
     ids: list[int]
     lengths: np.ndarray
@@ -58,7 +65,9 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     largest: np.ndarray
-    block_max: list[np.ndarray]
+    block_first: np.ndarray
+    blocks: np.ndarray
+    block_max: np.ndarray
 
     @property
     def stride(self) -> int:
@@ -76,7 +85,7 @@ def build_index(items: list[tuple[int, str]], frequency: Callable[[np.ndarray],
     """An index of these items; term statistics are those of the whole benchmark."""
     found = W.words_of([t for _, t in items])
     sizes = np.diff(found.first)
-    kept = [i for i in np.argsort(sizes, kind="stable").tolist() if sizes[i] >= LEAST_WORDS]  # like lengths share blocks
+    kept = [i for i in range(len(items)) if sizes[i] >= LEAST_WORDS]
     terms, owner, weight, grams = [], [], [], []
     for k, i in enumerate(kept):
         own, tf = np.unique(found.hashes[found.first[i] : found.first[i + 1]], return_counts=True)
@@ -99,8 +108,13 @@ def build_index(items: list[tuple[int, str]], frequency: Callable[[np.ndarray],
     first = np.append(first, len(order))
     owner, weight = owner[order], weight[order]
     largest = np.maximum.reduceat(weight, first[:-1]) if len(distinct) else np.zeros(0)
-    blocks = [np.maximum.reduceat(weight[a:b], np.arange(0, b - a, BLOCK)) for a, b in zip(first[:-1], first[1:])]
-    return Index([items[i][0] for i in kept], sizes[kept], grams, distinct, first, owner, weight, largest, blocks)
+    number = np.repeat(np.arange(len(distinct)), np.diff(first))
+    opens = np.flatnonzero(np.diff(number, prepend=-1) | np.diff(owner // BLOCK, prepend=-1))
+    blocks = owner[opens] // BLOCK
+    block_max = np.maximum.reduceat(weight, opens) if len(opens) else np.zeros(0)
+    block_first = np.searchsorted(number[opens], np.arange(len(distinct) + 1))
+    ids = [items[i][0] for i in kept]
+    return Index(ids, sizes[kept], grams, distinct, first, owner, weight, largest, block_first, blocks, block_max)
 
 
 def search(index: Index, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
@@ -130,20 +144,18 @@ def search(index: Index, terms: list[int], threshold: float = THRESHOLD) -> list
         while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
             pivot += 1
         ahead = cursors[: pivot + 1]
-        bound, until = 0.0, len(index.ids)
+        block = item // BLOCK
+        bound = 0.0
         for c in ahead:
-            begin, end = int(first[c[1]]), int(first[c[1] + 1])
-            at = c[2] + int(np.searchsorted(items[c[2] : end], item)) if c[0] < item else c[2]
-            if at < end:
-                block = (at - begin) // BLOCK
-                last = min(end, begin + (block + 1) * BLOCK) - 1
-                bound += index.block_max[c[1]][block]
-                until = min(until, int(items[last]) + 1)
+            begin, end = int(index.block_first[c[1]]), int(index.block_first[c[1] + 1])
+            at = begin + int(np.searchsorted(index.blocks[begin:end], block))
+            if at < end and index.blocks[at] == block:
+                bound += index.block_max[at]
         if bound < slack:
-            # No item up to the nearest end of these blocks can reach it, as far as no further term joins in.
+            # No item of this block can reach it, as far as no further term joins in.
+            until = (block + 1) * BLOCK
             if pivot + 1 < len(cursors):
                 until = min(until, cursors[pivot + 1][0])
-            until = max(until, item + 1)
             for c in ahead:
                 move(c, until)
         elif cursors[0][0] == item:
@@ -161,7 +173,7 @@ def search(index: Index, terms: list[int], threshold: float = THRESHOLD) -> list
 
 
 def promising(index: Index, numbers: np.ndarray, stride: int, threshold: float = THRESHOLD) -> list[tuple[int, list[int]]]:
-    """The windows of a text (by number) whose distinct terms could reach the threshold, with those terms.
+    """The windows of a text (by number) whose distinct terms could reach the threshold in some block, with those terms.
 
     Window k holds the words k * stride to (k + 2) * stride.
     """
@@ -180,10 +192,20 @@ def promising(index: Index, numbers: np.ndarray, stride: int, threshold: float =
         k = at // stride - shift
         new = (k >= 0) & (k < windows) & (before < k * stride)
         bound += np.bincount(k[new], weight[new], minlength=windows)
+    left = np.flatnonzero(bound >= threshold - 1e-9)
     out = []
-    for k in np.flatnonzero(bound >= threshold - 1e-9).tolist():
-        a, b = np.searchsorted(at, (k * stride, (k + 2) * stride))
-        out.append((k, np.unique(terms[a:b]).tolist()))
+    blocks = -(-len(index.ids) // BLOCK)
+    step = max(1, MOST_BOUNDS // max(1, blocks))
+    for some in (left[i : i + step] for i in range(0, len(left), step)):
+        own = [np.unique(terms[a:b]) for a, b in zip(*np.searchsorted(at, (some * stride, (some + 2) * stride)))]
+        listed = np.concatenate(own)
+        n = index.block_first[listed + 1] - index.block_first[listed]
+        # The places of all block entries of all listed terms, one after the other.
+        places = np.repeat(index.block_first[listed] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        row = np.repeat(np.repeat(np.arange(len(some)), list(map(len, own))), n)
+        reach = np.bincount(row * blocks + index.blocks[places], index.block_max[places], minlength=len(some) * blocks)
+        reach = reach.reshape(len(some), blocks).max(1)
+        out += [(int(some[i]), own[i].tolist()) for i in np.flatnonzero(reach >= threshold - 1e-9)]
     return out
 
 
