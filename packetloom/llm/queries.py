@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, decontam, imatch, licenses, packing, quality, secrets, sharding
+from packetloom.llm import chat, decontam, imatch, licenses, minhash, packing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,8 @@ def op3_best_fit(spark, sf):
 @query
 def op6_decontaminate(spark, sf):
     return decontam.find(table(spark, sf, "documents"), table(spark, sf, "benchmark")).where("verified").drop("verified")
+
+
+@query
+def op5_minhash(spark, sf):
+    return minhash.classes(table(spark, sf, "documents"))
