@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, decontam, imatch, licenses, minhash, packing, quality, secrets, sharding
+from packetloom.llm import chat, decontam, imatch, licenses, minhash, packing, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,12 @@ def op6_decontaminate(spark, sf):
 @query
 def op5_minhash(spark, sf):
     return minhash.classes(table(spark, sf, "documents"))
+
+
+@query
+def op4_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = quality.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, table(spark, sf, "labels").where(~held))
+    out = toxicity.score(docs.withColumn("held_out", held), model)
+    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
