@@ -297,3 +297,24 @@ def find(
         part = given.mapInArrow(scan(index), schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("id", id_column)
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows without a verified benchmark item, with all their columns, chosen inside the scan."""
+    at = docs.columns.index(text)
+
+    def clean(index: Index) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in W.chunks(batches, text):
+                found = W.words_of(batch.column(at))
+                kept = [
+                    not any(q >= QUESTION and a >= ANSWER for _, _, _, q, a in search_text(index, found.hashes[i:j], threshold).values())
+                    for i, j in zip(found.first[:-1], found.first[1:])
+                ]
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+        return run
+
+    for index in indexes(benchmark):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs

@@ -270,12 +270,10 @@ def rest_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, known: Fr
     return cells.groupBy("pivot", "i", "j").applyInPandas(compare, "a string, b string")
 
 
-def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Every row's id with its ``class_id``: the least id of its class of near duplicates.
-
-    Null texts count as empty; rows of equal text share a class, also without any word.  A null id belongs to its
-    text's class, which is null if no row of it has an id.  Repeated rows come out as often as they came in.
-    """
+def _labelled(
+    df: DataFrame, id_column: str, text: str, similarity: float
+) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row, and (node, rep, label): each distinct text, its least id and its class."""
     known = frequencies(df, text)
     rows = materialize(signatures(df, known, id_column, text), "near-signatures")
     nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "near-nodes")
@@ -290,7 +288,37 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", simila
         if not more.isEmpty():
             found = components(links.unionByName(more))
     labelled = nodes.select("node", "rep").join(found, "node", "left")
-    labelled = labelled.select("node", "rep", F.coalesce("label", "node").alias("label"))
+    return rows.select("id", "node"), labelled.select("node", "rep", F.coalesce("label", "node").alias("label"))
+
+
+def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Every row's id with its ``class_id``: the least id of its class of near duplicates.
+
+    Null texts count as empty; rows of equal text share a class, also without any word.  A null id belongs to its
+    text's class, which is null if no row of it has an id.  Repeated rows come out as often as they came in.
+    """
+    rows, labelled = _labelled(df, id_column, text, similarity)
     least = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = materialize(labelled.join(least, "label").select("node", "class_id"), "near-classes")
-    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_column), "class_id")
+    return rows.join(named, "node").select(F.col("id").alias(id_column), "class_id")
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class, with all its columns: that of the least id (a null id only where there is no other).
+
+    Repeated rows fold into one.  Rows move once, by id and text, so copies of one text spread over tasks.
+    """
+    _, labelled = _labelled(df, id_column, text, similarity)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))
+    kept = materialize(labelled.groupBy("label").agg(first.alias("k")).select("k.*"), "near-kept")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    kept = kept.select("node", F.col("none").alias("__none"), number(F.col("rep")).alias("__rep")).withColumnRenamed("node", "__node")
+    given = df.withColumns(
+        {
+            "__node": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")),
+            "__none": F.col(id_column).isNull(),
+            "__rep": number(F.col(id_column).cast("long")),
+        }
+    )
+    keys = ["__node", "__none", "__rep"]
+    return given.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

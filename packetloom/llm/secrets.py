@@ -201,3 +201,16 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     )
     done = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
+
+
+def redact_rows(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows and columns, every found span of the text replaced by a mark.
+
+    Only texts in which some kind of part may match are shuffled to meet their spans.
+    """
+    maybe = F.lit(False)
+    for p in PARTS:
+        maybe = maybe | F.coalesce(df[text].rlike(p.hint), F.lit(False))
+    found = scan(df.where(maybe), id_column, text, keep=tuple(c for c in df.columns if c != id_column))
+    done = found.withColumn(text, redact(F.col(text), F.col("spans"))).select(*df.columns)
+    return df.where(~maybe).unionByName(done)
