@@ -17,6 +17,7 @@ copies shares would weigh less the larger the group is, and its edited words mos
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -100,6 +101,12 @@ class Sampler:
         return W.mix(code)
 
 
+@functools.cache
+def _sampler() -> Sampler:
+    """One per Python worker, which serves many tasks."""
+    return Sampler()
+
+
 def band_keys(codes: np.ndarray) -> np.ndarray:
     keys = W.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for column in codes.reshape(BANDS, BAND_ROWS).T:
@@ -116,7 +123,7 @@ def signatures(df: DataFrame, known: Frequencies, id_column: str = "doc_id", tex
     given = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
+        sampler = _sampler()
         for batch in W.chunks(batches, "text"):
             found = W.words_of(batch.column(1))
             nodes = [_node(t) for t in batch.column(1).to_pylist()]
@@ -232,13 +239,15 @@ def rest_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, known: Fr
     named = members.join(classes, "node", "left").select("pivot", "node", F.coalesce("label", "node").alias("label"))
     own = classes.select(F.col("node").alias("pivot"), F.col("label").alias("home"))
     named = named.join(own, "pivot", "left").withColumn("out", F.col("label") != F.coalesce("home", "pivot"))
+    # Written, so that the join with the sizes below may split a pivot with many nodes over tasks.
+    named = materialize(named.select("pivot", "node", "out"), "near-named")
     sizes = named.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("n_out")).where("n_out > 0 and n > 2")
     sizes = sizes.select(
         "pivot",
         F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("cols"),
         F.ceil(F.col("n_out") / BLOCK_TEXTS).cast("int").alias("rows"),
     )
-    left = materialize(named.join(sizes, "pivot"), "near-rest")
+    left = materialize(named.join(materialize(sizes, "near-sizes"), "pivot"), "near-rest")
     if left.isEmpty():
         return None
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
