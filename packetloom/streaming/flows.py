@@ -1,9 +1,12 @@
 """Connection assembly over a packet stream.
 
-State per tuple is one open connection's counters (or the time of the last
-close) and one timer.  The close rule is ``next_state`` of the batch operator,
-and completed connections leave with the columns of ``flow_aggregates``, so
-the same projections turn them into records.
+Packets wait in state until the watermark has passed them and are then taken in (time, arrival) order, as a table's
+packets are, so files out of order give the same connections as long as no packet is later than the delay.  Per tuple
+the state holds those packets, the summary of one open connection (or the time of the last close) and one timer.
+
+The close rule is ``next_state`` of the batch operator.  The packets of a connection that come due together are
+summed up by column operations, and summaries are merged; completed connections leave with the columns of
+``flow_aggregates``, so the same projections turn them into records.
 """
 
 from __future__ import annotations
@@ -11,12 +14,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from packetloom.operators.flows import GRACE_US, IDLE_US, TUPLE, Tuple5State, canonical_tuple, connection_records, next_state
+from packetloom.operators.flows import FRESH, GRACE_US, IDLE_US, TUPLE, Tuple5State, canonical_tuple, connection_records, next_state
 
 FLAG_COUNTS = {f"n_{c.lower()}": c for c in "FSRPAU"}
 BITS = ["syn_seen", "synack_seen", "orig_fin", "resp_fin", "orig_rst", "resp_rst"]
@@ -60,12 +64,20 @@ OUTPUT_SCHEMA = T.StructType(
 )
 
 
-def _spread(c: dict, name: str, value: float) -> None:
-    c[f"{name}_n"] += 1
-    c[f"{name}_sum"] += value
-    c[f"{name}_sq"] += value * value
-    c[f"{name}_max"] = max(c[f"{name}_max"], value)
-    c[f"{name}_min"] = min(c[f"{name}_min"], value)
+PENDING_SCHEMA = T.StructType(
+    [
+        T.StructField("us", T.LongType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("up", T.BooleanType()),
+        T.StructField("payload_len", T.LongType()),
+        T.StructField("ip_len", T.LongType()),
+        T.StructField("tcp_flags", T.StringType()),
+        T.StructField("tcp_window", T.IntegerType()),
+        T.StructField("icmp_type", T.IntegerType()),
+        T.StructField("icmp_code", T.IntegerType()),
+        T.StructField("is_fragment", T.BooleanType()),
+    ]
+)
 
 
 def _blank(closed_us: int | None = None, timer_ms: int | None = None) -> dict:
@@ -73,45 +85,100 @@ def _blank(closed_us: int | None = None, timer_ms: int | None = None) -> dict:
     return c | {"is_open": False, "closed_us": closed_us, "timer_ms": timer_ms}
 
 
-def _opened(p, timer_ms: int | None) -> dict:
-    c = _blank(timer_ms=timer_ms) | dict.fromkeys(COUNTERS, 0) | dict.fromkeys(BITS, False)
+def _cuts(c: dict, packets: pd.DataFrame, tcp: bool, idle: int) -> Iterator[tuple[int, int, int | None, bool]]:
+    """Runs of packets of one connection each, in order: (begin, end, time of its close, whether it ended).
+
+    The first run may go on with the open connection of the state; an empty run tells that silence ended it.
+    """
+    state = FRESH._replace(closed_us=c["closed_us"])
+    last = None
+    if c["is_open"]:
+        reset = bool(c["orig_rst"] or c["resp_rst"])
+        state = Tuple5State(c["flow_us"], c["flow_seq"], c["flow_up"], bool(c["orig_fin"]), bool(c["resp_fin"]), reset, None)
+        last = c["last_us"]
+    flags = packets["tcp_flags"].fillna("") if tcp else pd.Series("", index=packets.index)
+    has = {letter: flags.str.contains(letter, regex=False).to_numpy() for letter in "SAFR"}
+    rows = zip(packets["us"], packets["seq"], packets["up"], has["S"] & ~has["A"], has["F"], has["R"])
+    begin = 0
+    for i, (us, seq, up, syn, fin, rst) in enumerate(rows):
+        if state.flow_seq is not None and us - last > idle:
+            yield begin, i, None, True
+            state = FRESH
+        opened = state.flow_seq is None
+        state, kept = next_state(state, us, seq, up, bool(syn), bool(fin), bool(rst))
+        if not kept:
+            continue
+        begin, last = (i, us) if opened else (begin, max(last, us))
+        if state.flow_seq is None:
+            yield begin, i + 1, state.closed_us, True
+    if state.flow_seq is not None:
+        yield begin, len(packets), None, False
+
+
+def _summary(packets: pd.DataFrame, flow_up: bool, before_us: int | None, tcp: bool) -> dict:
+    """What a run of packets adds to its connection, by whole columns."""
+    forward = (packets["up"] == flow_up).to_numpy(bool)
+    us, size = packets["us"].to_numpy(), packets["ip_len"].to_numpy(float)
+    flags = packets["tcp_flags"].fillna("") if tcp else pd.Series("", index=packets.index)
+    has = {letter: flags.str.contains(letter, regex=False).to_numpy() for letter in "FSRPAU"}
+    window = packets["tcp_window"].to_numpy() if tcp else np.full(len(us), -1)
+    gaps = np.diff(us if before_us is None else np.append(before_us, us)).astype(float)
+    out = {"prev_us": int(us[-1]), "last_us": int(us.max()), "wrong_fragment": int(packets["is_fragment"].fillna(False).sum())}
+    out |= {name: int(has[letter].sum()) for name, letter in FLAG_COUNTS.items()} | {"urgent": int(has["U"].sum())}
+    for side, origin, of in (("fwd", "src", forward), ("bwd", "dst", ~forward)):
+        out[f"{side}_pkts"] = int(of.sum())
+        out[f"{side}_bytes"] = int(size[of].sum())
+        out[f"{origin}_bytes"] = int(packets["payload_len"].to_numpy()[of].sum())
+        out[f"{side}_first"], out[f"{side}_last"] = (int(us[of][0]), int(us[of][-1])) if of.any() else (None, None)
+        known = window[of & (window >= 0)]
+        out[f"init_win_bytes_{side}"] = int(known[0]) if len(known) else -1
+    for name, values in (("fwd_pkt_len", size[forward]), ("bwd_pkt_len", size[~forward]), ("flow_iat", gaps)):
+        out |= {f"{name}_n": float(len(values)), f"{name}_sum": float(values.sum()), f"{name}_sq": float((values**2).sum())}
+        out |= {f"{name}_max": float(values.max(initial=-math.inf)), f"{name}_min": float(values.min(initial=math.inf))}
+    ends = {"orig": forward, "resp": ~forward}
+    out |= {f"{who}_fin": bool((has["F"] & of).any()) for who, of in ends.items()}
+    out |= {f"{who}_rst": bool((has["R"] & of).any()) for who, of in ends.items()}
+    out["syn_seen"] = bool((forward & has["S"] & ~has["A"]).any())
+    out["synack_seen"] = bool((~forward & has["S"] & has["A"]).any())
+    return out
+
+
+def _merged(c: dict, more: dict) -> dict:
+    """A connection's summary with a later one of its packets."""
+    out = dict(c)
+    for name in [*COUNTERS, *(f"{s}_{m}" for s in SPREADS for m in ("n", "sum", "sq"))]:
+        out[name] = c[name] + more[name]
     for s in SPREADS:
-        c |= {f"{s}_n": 0.0, f"{s}_sum": 0.0, f"{s}_sq": 0.0, f"{s}_max": -math.inf, f"{s}_min": math.inf}
-    return c | {
-        "is_open": True, "flow_us": p.us, "flow_seq": p.seq, "flow_up": p.up, "last_us": p.us,
-        "icmp_type": p.icmp_type, "icmp_code": p.icmp_code, "init_win_bytes_fwd": -1, "init_win_bytes_bwd": -1,
-    }
-
-
-def _add(c: dict, p, tcp: bool) -> None:
-    """Count one packet into an open connection."""
-    fwd = p.up == c["flow_up"]
-    side, orig = ("fwd", "src") if fwd else ("bwd", "dst")
-    if c["prev_us"] is not None:
-        _spread(c, "flow_iat", float(p.us - c["prev_us"]))
-    c["prev_us"] = p.us
-    c["last_us"] = max(c["last_us"], p.us)
-    c[f"{side}_pkts"] += 1
-    c[f"{orig}_bytes"] += p.payload_len
-    c[f"{side}_bytes"] += p.ip_len
-    _spread(c, f"{side}_pkt_len", float(p.ip_len))
-    if c[f"{side}_first"] is None:
-        c[f"{side}_first"] = p.us
-    c[f"{side}_last"] = p.us
-    c["wrong_fragment"] += bool(p.is_fragment)
-    if not tcp:
-        return
-    flags = p.tcp_flags or ""
-    for name, letter in FLAG_COUNTS.items():
-        c[name] += letter in flags
-    c["urgent"] += "U" in flags
-    if p.tcp_window >= 0 and c[f"init_win_bytes_{side}"] < 0:
-        c[f"init_win_bytes_{side}"] = p.tcp_window
-    c["syn_seen"] |= fwd and "S" in flags and "A" not in flags
-    c["synack_seen"] |= not fwd and "S" in flags and "A" in flags
-    who = "orig" if fwd else "resp"
-    c[f"{who}_fin"] |= "F" in flags
-    c[f"{who}_rst"] |= "R" in flags
+        out[f"{s}_max"], out[f"{s}_min"] = max(c[f"{s}_max"], more[f"{s}_max"]), min(c[f"{s}_min"], more[f"{s}_min"])
+    for name in BITS:
+        out[name] = c[name] or more[name]
+    for side in ("fwd", "bwd"):
+        win, first, last = f"init_win_bytes_{side}", f"{side}_first", f"{side}_last"
+        out[win] = c[win] if c[win] >= 0 else more[win]
+        out[first] = c[first] if c[first] is not None else more[first]
+        out[last] = more[last] if more[last] is not None else c[last]
+    out["last_us"], out["prev_us"] = max(c["last_us"], more["last_us"]), more["prev_us"]
+    return out
+
+
+def _advance(key: tuple, c: dict, packets: pd.DataFrame, idle: int) -> tuple[dict, list[dict]]:
+    """The state after packets that came due (in order), and the connections they completed."""
+    tcp, done = key[0] == "tcp", []
+    for begin, end, closed_us, ended in _cuts(c, packets, tcp, idle):
+        run = packets.iloc[begin:end]
+        if len(run) and c["is_open"]:
+            c = _merged(c, _summary(run, c["flow_up"], c["prev_us"], tcp))
+        elif len(run):
+            head = run.iloc[0]
+            found = _summary(run, bool(head["up"]), None, tcp)
+            c = _blank(timer_ms=c["timer_ms"]) | found | {
+                "is_open": True, "flow_us": int(head["us"]), "flow_seq": int(head["seq"]), "flow_up": bool(head["up"]),
+                "icmp_type": int(head["icmp_type"]), "icmp_code": int(head["icmp_code"]),
+            }
+        if ended:
+            done.append(_finished(key, c))
+            c = _blank(closed_us, c["timer_ms"])
+    return c, done
 
 
 def _finished(key: tuple, c: dict) -> dict:
@@ -132,7 +199,7 @@ def _finished(key: tuple, c: dict) -> dict:
 
 
 class ConnectionAssembler(StatefulProcessor):
-    """Follows one tuple; a key's rows of a micro-batch are taken in (us, seq) order."""
+    """Follows one tuple."""
 
     def __init__(self, idle_us: dict[str, int]):
         self.idle_us = idle_us
@@ -140,70 +207,71 @@ class ConnectionAssembler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("connection", STATE_SCHEMA)
+        self.pending = handle.getListState("pending", PENDING_SCHEMA)
 
     def _load(self) -> dict:
         return dict(zip(STATE_NAMES, self.state.get())) if self.state.exists() else _blank()
 
-    def _store(self, proto: str, c: dict, now_ms: int) -> None:
-        """Keep the state while a packet could still touch it; one timer ends it."""
+    def _store(self, idle: int, c: dict, now_ms: int, waiting_us: int | None) -> None:
+        """Keep the state while a packet could still touch it; one timer wakes it."""
+        due = [] if waiting_us is None else [waiting_us]
         if c["is_open"]:
-            end_us = c["last_us"] + self.idle_us.get(proto, self.idle_us["icmp"])
+            due.append(c["last_us"] + idle)
         elif c["closed_us"] is not None:
-            end_us = c["closed_us"] + GRACE_US
-        else:
+            due.append(c["closed_us"] + GRACE_US)
+        if not due:
             self.state.clear()
             return
-        if c["timer_ms"] is None:
-            # Strictly later than the timeout, and never in the past.
-            c["timer_ms"] = max(end_us // 1000 + 1, now_ms + 1)
-            self.handle.registerTimer(c["timer_ms"])
+        # Strictly later than what it waits for, and never in the past.
+        wake = max(min(due) // 1000 + 1, now_ms + 1)
+        if c["timer_ms"] is None or wake < c["timer_ms"]:
+            c["timer_ms"] = wake
+            self.handle.registerTimer(wake)
         self.state.update(tuple(c[n] for n in STATE_NAMES))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        packets = pd.concat(list(rows)).sort_values(["us", "seq"])
-        proto = key[0]
-        tcp, idle = proto == "tcp", self.idle_us.get(proto, self.idle_us["icmp"])
-        c, done = self._load(), []
-        for p in packets.itertuples(index=False):
-            if c["is_open"] and p.us - c["last_us"] > idle:
-                done.append(_finished(key, c))
-                c = _blank(timer_ms=c["timer_ms"])
-            flags = (p.tcp_flags or "") if tcp else ""
-            before = Tuple5State(
-                c["flow_us"], c["flow_seq"] if c["is_open"] else None, c["flow_up"], bool(c["orig_fin"]), bool(c["resp_fin"]),
-                bool(c["orig_rst"] or c["resp_rst"]), c["closed_us"],
-            )
-            syn = "S" in flags and "A" not in flags
-            after, kept = next_state(before, p.us, p.seq, p.up, syn, "F" in flags, "R" in flags)
-            if not kept:
-                continue
-            if not c["is_open"]:
-                c = _opened(p, c["timer_ms"])
-            _add(c, p, tcp)
-            if after.flow_seq is None:
-                done.append(_finished(key, c))
-                c = _blank(after.closed_us, c["timer_ms"])
-        self._store(proto, c, timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(done, columns=OUTPUT_SCHEMA.names)
+        first_us = None
+        for frame in rows:
+            self.pending.appendList(list(frame[PENDING_SCHEMA.names].itertuples(index=False, name=None)))
+            low = int(frame["us"].min())
+            first_us = low if first_us is None else min(first_us, low)
+        idle = self.idle_us.get(key[0], self.idle_us["icmp"])
+        self._store(idle, self._load(), timerValues.getCurrentWatermarkInMs(), first_us)
+        yield pd.DataFrame([], columns=OUTPUT_SCHEMA.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_ms = timerValues.getCurrentWatermarkInMs()
-        c, done = self._load() | {"timer_ms": None}, []
-        idle = self.idle_us.get(key[0], self.idle_us["icmp"])
+        c = self._load()
+        if c["timer_ms"] is not None and c["timer_ms"] <= now_ms:
+            c["timer_ms"] = None
+        idle, done, waiting_us = self.idle_us.get(key[0], self.idle_us["icmp"]), [], None
+        if self.pending.exists():
+            packets = pd.DataFrame(list(self.pending.get()), columns=PENDING_SCHEMA.names)
+            ready = packets["us"] < now_ms * 1000
+            if ready.any():
+                c, done = _advance(key, c, packets[ready].sort_values(["us", "seq"], ignore_index=True), idle)
+                rest = packets[~ready]
+                self.pending.clear()
+                if len(rest):
+                    self.pending.appendList(list(rest.itertuples(index=False, name=None)))
+            waiting_us = int(packets["us"][~ready].min()) if (~ready).any() else None
         if c["is_open"] and now_ms * 1000 > c["last_us"] + idle:
             done.append(_finished(key, c))
-            c = _blank()
+            c = _blank(timer_ms=c["timer_ms"])
         elif not c["is_open"] and c["closed_us"] is not None and now_ms * 1000 > c["closed_us"] + GRACE_US:
-            c = _blank()
-        self._store(key[0], c, now_ms)
+            c = _blank(timer_ms=c["timer_ms"])
+        self._store(idle, c, now_ms, waiting_us)
         yield pd.DataFrame(done, columns=OUTPUT_SCHEMA.names)
 
     def close(self) -> None:
         pass
 
 
-def stream_flows(packets: DataFrame, delay: str = "0 seconds", idle_us: dict[str, int] = IDLE_US) -> DataFrame:
-    """Completed connections of a packet stream with event time ``ts``, as aggregate rows."""
+def stream_flows(packets: DataFrame, delay: str, idle_us: dict[str, int] = IDLE_US) -> DataFrame:
+    """Completed connections of a packet stream with event time ``ts``, as aggregate rows.
+
+    Packets may come out of order by up to ``delay``; later ones are dropped by the watermark, so it must be given.
+    """
     keyed = canonical_tuple(packets.withWatermark("ts", delay)).groupBy(*TUPLE)
     return keyed.transformWithStateInPandas(
         statefulProcessor=ConnectionAssembler(idle_us),
@@ -213,6 +281,6 @@ def stream_flows(packets: DataFrame, delay: str = "0 seconds", idle_us: dict[str
     )
 
 
-def stream_connections(packets: DataFrame, delay: str = "0 seconds", idle_us: dict[str, int] = IDLE_US) -> DataFrame:
+def stream_connections(packets: DataFrame, delay: str, idle_us: dict[str, int] = IDLE_US) -> DataFrame:
     """Connection records of a packet stream, as ``connections`` gives them for a table."""
     return connection_records(stream_flows(packets, delay, idle_us))
