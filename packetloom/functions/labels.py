@@ -118,11 +118,11 @@ def unknown_flow_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return names.where(flow_category(F.col("label")).isNull())
 
 
-def require_known(unknown: DataFrame, shown: int = 100) -> None:
-    """Fail naming the unknown labels in order (``shown`` bounds the message, not the check)."""
-    rows = unknown.orderBy("label").limit(shown).collect()
+def require_known(unknown: DataFrame) -> None:
+    """Fail naming all unknown labels (distinct names, so few) in order."""
+    rows = unknown.orderBy("label").collect()
     if rows:
-        raise UnknownLabelError(f"unknown attack labels: {[r.label for r in rows]}")
+        raise UnknownLabelError(f"no category is known for these labels: {', '.join(str(r.label) for r in rows)}")
 
 
 def prediction_columns(prediction: Column, classes: list[str]) -> dict[str, Column]:

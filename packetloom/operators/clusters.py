@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -11,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.operators.layout import small_side
 from packetloom.operators.sampling import SEED, fixed_sample
 from packetloom.session import materialize
 
@@ -18,6 +17,8 @@ from packetloom.session import materialize
 K_RANGE = range(2, 11)
 RESTARTS = 10
 SAMPLE_ROWS = 10_000
+# Points of one side of a block pair.
+BLOCK_ROWS = 2048
 
 
 def fit_kmeans(df: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, max_iter: int = 20) -> KMeansModel:
@@ -47,7 +48,7 @@ def kmeans_sweep(
         placed = model.transform(sample).select(
             key, vector_to_array("vector").alias("point"), F.col("prediction").alias("cluster")
         )
-        score = silhouette(placed, key, max_rows=sample_rows)
+        score = silhouette(placed, key)
         rows.append((k, float(model.summary.trainingCost), score))
     sample.unpersist()
     best = max(rows, key=lambda r: r[2])[0]
@@ -61,44 +62,58 @@ def inertia(df: DataFrame, point: Column, center: Column) -> DataFrame:
     return df.agg(F.sum(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("inertia"))
 
 
-def silhouette_rows(placed: DataFrame, key: str, max_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Euclidean silhouette value of each row of a bounded sample (key, point array, cluster).
+def silhouette_rows(placed: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Euclidean silhouette value of each row (unique key, point array, cluster).
 
-    Each point needs its distance to all others.  The sample size is checked,
-    the sample matrix goes to every task once, and tasks reduce distances to
-    one mean per cluster at once: pairs never become rows.
+    Each point needs its distance to all others: rows are dealt into blocks and every pair of blocks is one task's
+    group, which reduces its distances to one sum per point and cluster at once.  Pairs never become rows and nothing
+    passes through the driver, but time and the blocks' copies grow with the square of the rows: for a large table
+    hand over a ``fixed_sample``.
     """
-    n = placed.count()
-    if n > max_rows:
-        raise ValueError(f"silhouette needs a sample of at most {max_rows} rows, got {n}; use fixed_sample")
-    spark = placed.sparkSession
-    sample = placed.select("point", "cluster").toPandas()  # at most max_rows rows
-    points = np.array(sample["point"].tolist(), dtype=float)
-    clusters, member = np.unique(sample["cluster"].to_numpy(), return_inverse=True)
-    shared = spark.sparkContext.broadcast((points, clusters, member))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pts, names, of = shared.value
-        sizes = np.bincount(of, minlength=len(names)).astype(float)
-        onehot = np.eye(len(names))[of]
-        for pdf in batches:
-            values = np.empty(len(pdf))
-            mine = np.searchsorted(names, pdf["cluster"].to_numpy())
-            for i, point in enumerate(pdf["point"]):
-                sums = np.sqrt(((pts - np.asarray(point, dtype=float)) ** 2).sum(axis=1)) @ onehot
-                own = mine[i]
-                if sizes[own] <= 1 or len(names) < 2:
-                    values[i] = 0.0
-                    continue
-                within = sums[own] / (sizes[own] - 1)
-                nearest = np.min(np.delete(sums / sizes, own))
-                values[i] = (nearest - within) / max(within, nearest) if max(within, nearest) > 0 else 0.0
-            yield pd.DataFrame({key: pdf[key], "cluster": pdf["cluster"], "silhouette": values})
-
-    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    schema = f"`{key}` {kinds[key]}, cluster {kinds['cluster']}, silhouette double"
-    return placed.select(key, "point", "cluster").mapInPandas(score, schema)
-
-
-def silhouette(placed: DataFrame, key: str, max_rows: int = SAMPLE_ROWS) -> float:
-    return silhouette_rows(placed, key, max_rows).agg(F.avg("silhouette")).first()[0]
+    blocks = max(1, -(-placed.count() // block_rows))
+    rows = placed.select(
+        F.col(key).alias("key"),
+        "cluster",
+        F.col("point").cast("array<double>").alias("point"),
+        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"),
+    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = rows.select("key", "cluster", "point", F.lit(True).alias("asks"), F.col("own").alias("i"), every.alias("j"))
+    gives = rows.select("key", "cluster", "point", F.lit(False).alias("asks"), every.alias("i"), F.col("own").alias("j"))
+
+    def sums(cell: pd.DataFrame) -> pd.DataFrame:
+        ask, give = cell[cell["asks"]], cell[~cell["asks"]]
+        if ask.empty or give.empty:
+            return pd.DataFrame([], columns=["key", "cluster", "other", "sum"])
+        names, of = np.unique(give["cluster"].to_numpy(), return_inverse=True)
+        theirs, member = np.stack(give["point"].to_numpy()), np.eye(len(names))[of]
+        found = np.stack([np.sqrt(((theirs - p) ** 2).sum(axis=1)) @ member for p in ask["point"]])
+        return pd.DataFrame(
+            {
+                "key": np.repeat(ask["key"].to_numpy(), len(names)),
+                "cluster": np.repeat(ask["cluster"].to_numpy(), len(names)),
+                "other": np.tile(names, len(ask)),
+                "sum": found.ravel(),
+            }
+        )
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    parts = asks.unionByName(gives).groupBy("i", "j").applyInPandas(
+        sums, f"key {kinds['key']}, cluster {kinds['cluster']}, other {kinds['cluster']}, sum double"
+    )
+    # One row per cluster.
+    sizes = small_side(materialize(placed.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("n")), "cluster-sizes"))
+    far = parts.groupBy("key", "cluster", "other").agg(F.sum("sum").alias("sum")).join(sizes, "other")
+    mine = F.col("other") == F.col("cluster")
+    each = far.groupBy("key", "cluster").agg(
+        F.max(F.when(mine & (F.col("n") > 1), F.col("sum") / (F.col("n") - 1))).alias("within"),
+        F.min(F.when(~mine, F.col("sum") / F.col("n"))).alias("nearest"),
+    )
+    widest = F.greatest("within", "nearest")
+    alone = F.col("within").isNull() | F.col("nearest").isNull() | (widest == 0)
+    value = F.when(alone, 0.0).otherwise((F.col("nearest") - F.col("within")) / F.when(widest != 0, widest))
+    return each.select(F.col("key").alias(key), "cluster", value.alias("silhouette"))
+
+
+def silhouette(placed: DataFrame, key: str) -> float:
+    return silhouette_rows(placed, key).agg(F.avg("silhouette")).first()[0]

@@ -109,7 +109,7 @@ class WindowAnomalyModel:
         """``windows``: a unique ``key`` and the window features."""
         n = windows.count()
         if n < min_baseline:
-            raise ValueError(f"need >= {min_baseline} baseline windows, got {n}: capture more normal traffic first")
+            raise ValueError(f"a baseline of {n} windows is too small to fit on; {min_baseline} are needed")
         scaler = scaling_parameters(windows, WINDOW_FEATURES)
         sample = tree_samples(windows, key, n, trees, rows, seed)
         centre = np.array([scaler[f][0] for f in WINDOW_FEATURES])
@@ -180,7 +180,7 @@ class WindowAnomalyModel:
 
     def save(self, path: str) -> None:
         if self.nodes is None or self.scaler is None:
-            raise NotFittedError("refusing to save an unfitted anomaly model")
+            raise NotFittedError("there is no fitted model to save")
         spark = self.nodes.sparkSession
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         rows = [

@@ -13,8 +13,13 @@ def is_supported() -> Column:
     return (F.col("ip_version") == 4) & F.col("ip_proto").isin(list(PROTOCOLS))
 
 
+def is_broken() -> Column:
+    """Rows without time or addresses."""
+    return F.col("us").isNull() | F.col("src_ip").isNull() | F.col("dst_ip").isNull()
+
+
 def normalize_packets(headers: DataFrame) -> DataFrame:
-    """Packet rows of the supported header rows.
+    """Packet rows of the supported header rows that have a time and addresses.
 
     ``headers``: seq, us, ip_version, ip_proto, src_ip, dst_ip, src_port,
     dst_port, header_len, payload_len, ip_len (null when the header has none),
@@ -22,7 +27,7 @@ def normalize_packets(headers: DataFrame) -> DataFrame:
     """
     name = F.element_at(F.create_map(*[F.lit(x) for kv in PROTOCOLS.items() for x in kv]), F.col("ip_proto").cast("int"))
     is_tcp, is_icmp = F.col("proto") == "tcp", F.col("proto") == "icmp"
-    return headers.where(is_supported()).withColumn("proto", name).select(
+    return headers.where(is_supported() & ~is_broken()).withColumn("proto", name).select(
         "seq",
         "us",
         "src_ip",
@@ -54,8 +59,8 @@ def drop_own_traffic(packets: DataFrame, host: str, port: int) -> DataFrame:
 
 
 def packet_counters(headers: DataFrame, host: str, port: int) -> DataFrame:
-    """packets, non_ip and own in one pass; ``errors`` are rows without time or addresses."""
-    broken = F.col("us").isNull() | F.col("src_ip").isNull() | F.col("dst_ip").isNull()
+    """packets, non_ip and own in one pass; ``errors`` are broken rows."""
+    broken = is_broken()
     own = (
         (F.col("ip_proto") == 6)
         & ((F.col("src_port") == port) | (F.col("dst_port") == port))

@@ -1,40 +1,32 @@
-"""Bounded newest-first views over the event, attack and anomaly tables."""
+"""Newest-first views over the event, attack and anomaly tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest feed and log sizes that may be asked for.
-FEED_ROWS = 200
-LOG_ROWS = 1000
-
-
-def _newest(df: DataFrame, limit: int, most: int, order: str) -> DataFrame:
-    if not 1 <= limit <= most:
-        raise ValueError(f"limit must be between 1 and {most}, got {limit}")
+def _newest(df: DataFrame, limit: int, order: str) -> DataFrame:
+    if limit < 1:
+        raise ValueError(f"a view shows one row at least, not {limit}")
     # Every task keeps its newest rows; only these meet.
     return df.orderBy(F.desc(order)).limit(limit)
 
 
 def live_recent(events: DataFrame, limit: int = 50, order: str = "seq") -> DataFrame:
     """Newest scored events."""
-    return _newest(events, limit, FEED_ROWS, order)
+    return _newest(events, limit, order)
 
 
 def attack_log(log: DataFrame, limit: int = 100, files_only: bool = False, order: str = "seq") -> DataFrame:
     """Newest logged attacks; ``files_only`` keeps those that touched files."""
-    rows = log.where("has_file_activity") if files_only else log
-    return _newest(rows, limit, LOG_ROWS, order)
+    return _newest(log.where("has_file_activity") if files_only else log, limit, order)
 
 
 def anomalies_recent(
     scored: DataFrame, limit: int = 50, anomalies_only: bool = False, order: str = "seq"
 ) -> DataFrame:
-    """Newest scored windows among the last ``FEED_ROWS`` ones."""
-    feed = _newest(scored, FEED_ROWS, FEED_ROWS, order)
-    rows = feed.where("is_anomaly") if anomalies_only else feed
-    return _newest(rows, limit, FEED_ROWS, order)
+    """Newest scored windows; with ``anomalies_only`` the newest anomalies, however far back they lie."""
+    return _newest(scored.where("is_anomaly") if anomalies_only else scored, limit, order)
 
 
 def view_counts(rows: DataFrame, flag: str, name: str) -> DataFrame:

@@ -64,9 +64,10 @@ pkt as (select seq, us, case when fwd then cip else sip end as src_ip, case when
     case when proto = 'icmp' then (case when fwd then 8 else 0 end) else -1 end as icmp_type,
     case when proto = 'icmp' then 0 else -1 end as icmp_code, seq % 97 = 0 as is_fragment from e)"""
 
-HEADERS = """hdr as (select seq, us, case when seq % 19 = 0 then 6 else 4 end as ip_version,
+HEADERS = """hdr as (select seq, case when seq % 103 = 0 then null else us end as us, case when seq % 19 = 0 then 6 else 4 end as ip_version,
     case when seq % 23 = 0 then 47 when proto = 'tcp' then 6 when proto = 'udp' then 17 else 1 end as ip_proto,
-    src_ip, dst_ip, src_port, dst_port, 40 as header_len, payload_len,
+    case when seq % 101 = 0 then null else src_ip end as src_ip, case when seq % 107 = 0 then null else dst_ip end as dst_ip,
+    src_port, dst_port, 40 as header_len, payload_len,
     case when seq % 11 = 0 then null else ip_len end as ip_len, case when is_fragment then 185 else 0 end as frag_offset,
     seq % 89 = 0 as more_fragments, tcp_flags, tcp_window, icmp_type, icmp_code from pkt),
 norm as (select seq, us, src_ip, dst_ip, case when ip_proto = 1 then 0 else src_port end as src_port,
@@ -78,7 +79,7 @@ norm as (select seq, us, src_ip, dst_ip, case when ip_proto = 1 then 0 else src_
     case when ip_proto = 1 then icmp_type else -1 end as icmp_type,
     case when ip_proto = 1 then icmp_code else -1 end as icmp_code,
     frag_offset > 0 or more_fragments as is_fragment
-  from hdr where ip_version = 4 and ip_proto in (1, 6, 17))"""
+  from hdr where ip_version = 4 and ip_proto in (1, 6, 17) and us is not null and src_ip is not null and dst_ip is not null)"""
 
 _OWN = "(proto = 'tcp' and 443 in (src_port, dst_port) and '192.168.0.3' in (src_ip, dst_ip))"
 
@@ -102,10 +103,9 @@ asg as (select *, first_value(seq) over w as flow_seq, first_value(us) over w as
 
 
 # One step per packet of each tuple: idle reset, grace, opening, closing.
-_TCP_ASSIGN = f"""{_tuples()},
-r as (select *, contains(tcp_flags, 'S') and not contains(tcp_flags, 'A') as syn, contains(tcp_flags, 'F') as fin,
-        contains(tcp_flags, 'R') as rst, dense_rank() over (order by {_TUPLE}) as tid,
-        row_number() over (partition by {_TUPLE} order by us, seq) as rn from tp),
+_TCP_WALK = """r as (select *, contains(tcp_flags, 'S') and not contains(tcp_flags, 'A') as syn, contains(tcp_flags, 'F') as fin,
+        contains(tcp_flags, 'R') as rst, dense_rank() over (order by @TUPLE@) as tid,
+        row_number() over (partition by @TUPLE@ order by us, seq) as rn from tp),
 walk as (
   select tid, 0::bigint as rn, null::bigint as seq, null::bigint as at, null::bigint as flow_seq, null::bigint as flow_us,
          null::boolean as flow_up, false as is_open, false as of, false as rf, false as rs, null::bigint as closed
@@ -131,7 +131,14 @@ walk as (
                  coalesce(not r.syn and r.us - w.closed <= 2000000, false) as absorbable
           from walk w join r on r.tid = w.tid and r.rn = w.rn + 1))))
 ),
-asg as (select tp.*, w.flow_seq, w.flow_us, w.flow_up from tp join walk w on w.seq = tp.seq)"""
+asg as (select tp.*, w.flow_seq, w.flow_us, w.flow_up from tp join walk w on w.seq = tp.seq)""".replace("@TUPLE@", _TUPLE)
+
+
+def _tcp_assign(source: str = "pkt") -> str:
+    return f"{_tuples(source)},\n{_TCP_WALK}"
+
+
+_TCP_ASSIGN = _tcp_assign()
 
 
 def _flag(letter: str) -> str:
@@ -217,6 +224,7 @@ _EVENTS = f"""evt as (select seq, ts_us, 'nsl' as dataset, protocol_type, servic
 
 _RAW = """raw as (select l_orderkey, l_linenumber,
     case when l_partkey % 13 = 0 then 'Infinity' when l_partkey % 17 = 0 then 'n/a'
+         when l_partkey % 19 = 0 then '5d' when l_partkey % 23 = 0 then '2.5F'
          else cast(cast(trunc(l_extendedprice * 100) as bigint) as varchar) end as price,
     case when l_suppkey % 11 = 0 then 'NaN' else cast(cast(trunc(l_quantity) as bigint) as varchar) end as quantity,
     cast(l_linenumber - 2 as varchar) as flow_duration, l_returnflag as label from lineitem),
@@ -340,7 +348,7 @@ select l_orderkey, l_linenumber,
     "clean_flows": f"""with {_RAW} select * from num where isfinite(price) and isfinite(quantity) and flow_duration >= 0""",
     "log_retention": f"""with {CONN}, l as (select seq, src_ip as log, label,
   row_number() over (partition by src_ip order by seq desc) as r from conn where label <> 'normal')
-select seq, log, label from l where r <= 100""",
+select seq, log, label from l where r <= 10000""",
     "rules_top20": f"with {CONN}, {_RULES} select * from rules order by lift desc, confidence desc, antecedents, consequents limit 20",
     "label_binary": f"with {CONN} select seq, (label <> 'normal')::int as target from conn",
     "label_multiclass": f"""with {CONN} select seq, label, {_CATEGORY} as category,
@@ -359,12 +367,18 @@ select seq, category, {_index('category', FLOW_CLASSES)} as class_index from c""
     "packet_normalize": f"with {PACKETS}, {HEADERS} select * from norm",
     "own_traffic_filter": f"with {PACKETS} select * from pkt where not {_OWN}",
     "flow_meta": f"with {CONN} select seq, src_ip, dst_ip, dst_port, flag, bytes from conn",
-    "pipeline_counters": f"""with {PACKETS}, {HEADERS}, own as (select * from norm where not {_OWN} and us <= 1200000000),
-{_idle_assign('own')}, lastp as (select flow_seq, any_value(proto) as proto, max(us) as last_us from asg group by 1),
-o as (select count(*) filter (1200000000 - last_us <= {_IDLE}) as open, count(*) filter (1200000000 - last_us > {_IDLE}) as finalized from lastp)
-select (select count(*) from hdr) as packets,
-  (select count(*) from hdr where not (ip_version = 4 and ip_proto in (1, 6, 17))) as non_ip,
-  (select count(*) from norm where {_OWN}) as own, 0::bigint as errors, open, finalized from o""",
+    "pipeline_counters": f"""with recursive {PACKETS}, {HEADERS}, seen as (select * from hdr where coalesce(us, 0) <= 1200000000),
+good as (select * from norm where us <= 1200000000), own as (select * from good where not {_OWN}), {_tcp_assign('own')},
+lastp as (select flow_seq, any_value(proto) as proto, max(us) as last_us, count(*) > 1 and any_value(proto) = 'tcp' and (
+    count(*) filter (contains(tcp_flags, 'R')) > 0 or (count(*) filter (contains(tcp_flags, 'F') and up = flow_up) > 0
+    and count(*) filter (contains(tcp_flags, 'F') and up <> flow_up) > 0)) as closed
+  from asg where flow_seq is not null group by 1),
+o as (select count(*) filter (not closed and 1200000000 - last_us <= {_IDLE}) as open,
+  count(*) filter (closed or 1200000000 - last_us > {_IDLE}) as finalized from lastp),
+bad as (select *, us is null or src_ip is null or dst_ip is null as broken from seen)
+select (select count(*) from seen) as packets,
+  (select count(*) from bad where not broken and not (ip_version = 4 and ip_proto in (1, 6, 17))) as non_ip,
+  (select count(*) from good where {_OWN}) as own, (select count(*) from bad where broken) as errors, open, finalized from o""",
     "canonical_tuple": f"with {PACKETS}, {_tuples()} select seq, up, {_TUPLE} from tp",
     "idle_sessions": f"with {PACKETS}, {_idle_assign()} select seq, flow_seq, flow_us, flow_up from asg",
     "tcp_flows": f"with recursive {PACKETS}, {_TCP_ASSIGN} select seq, flow_seq, flow_us, flow_up from asg",
@@ -486,8 +500,8 @@ select 'slack', count(*) filter (alert_no % 4 <> 0), count(*) filter (alert_no %
     "live_recent": f"with {CONN}, {_EVENTS} select seq, service, flag, label, is_attack from evt order by seq desc limit 50",
     "attack_log": f"""with {CONN}, {_EVENTS} select seq, service, flag, has_file_activity from evt
   where is_attack and has_file_activity order by seq desc limit 100""",
-    "anomalies_recent": f"""with {CONN}, {_ALERT_INPUT}, feed as (select * from sa order by seq desc limit 200)
-select batch_id, seq, src_ip, window_start_us, flow_count, anomaly_score, is_anomaly from feed where is_anomaly order by seq desc limit 50""",
+    "anomalies_recent": f"""with {CONN}, {_ALERT_INPUT}
+select batch_id, seq, src_ip, window_start_us, flow_count, anomaly_score, is_anomaly from sa where is_anomaly order by seq desc limit 50""",
     "anomaly_status": f"""with {CONN}, {WINDOWS} select false as model_loaded, 60 as window_seconds,
   count(*) filter (window_start_us + 60000000 <= 1200000000) as baseline_windows_captured,
   count(*) filter (window_start_us + 60000000 > 1200000000) as windows_open from win""",

@@ -88,7 +88,7 @@ def clean_flows(spark, sf):
 @query
 def log_retention(spark, sf):
     log = connection_view(spark, sf).where("label <> 'normal'").select("seq", F.col("src_ip").alias("log"), "label")
-    return logs.retain_newest(log, 100)
+    return logs.retain_newest(log, 10_000)
 
 
 @query
@@ -186,10 +186,13 @@ def flow_meta(spark, sf):
 
 @query
 def pipeline_counters(spark, sf):
-    headers = header_view(spark, sf)
+    headers = header_view(spark, sf).where(F.coalesce(F.col("us"), F.lit(0)) <= NOW_US)
     kept = packets.drop_own_traffic(packets.normalize_packets(headers), *COLLECTOR)
-    seen = flows.flow_aggregates(flows.assign_flows(kept.where(F.col("us") <= NOW_US), "idle"))
-    conns = seen.select("proto", F.col("last_us").alias("ts_us"), F.lit(False).alias("closed"))
+    seen = flows.flow_aggregates(flows.assign_flows(kept, "tcp"))
+    # A first packet never closes its own connection.
+    ended = (F.col("orig_fin") & F.col("resp_fin")) | F.col("orig_rst") | F.col("resp_rst")
+    closed = (F.col("proto") == "tcp") & ended & (F.col("fwd_pkts") + F.col("bwd_pkts") > 1)
+    conns = seen.select("proto", F.col("last_us").alias("ts_us"), closed.alias("closed"))
     return packets.pipeline_counters(headers, conns, *COLLECTOR, NOW_US, flows.IDLE_US)
 
 

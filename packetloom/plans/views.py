@@ -107,11 +107,11 @@ def header_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = packet_view(spark, sf_dir)
     return packets.selectExpr(
         "seq",
-        "us",
+        "case when seq % 103 = 0 then null else us end as us",
         "case when seq % 19 = 0 then 6 else 4 end as ip_version",
         "case when seq % 23 = 0 then 47 when proto = 'tcp' then 6 when proto = 'udp' then 17 else 1 end as ip_proto",
-        "src_ip",
-        "dst_ip",
+        "case when seq % 101 = 0 then null else src_ip end as src_ip",
+        "case when seq % 107 = 0 then null else dst_ip end as dst_ip",
         "src_port",
         "dst_port",
         "40 as header_len",
@@ -132,6 +132,7 @@ def raw_number_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         "case when l_partkey % 13 = 0 then 'Infinity' when l_partkey % 17 = 0 then 'n/a'"
+        " when l_partkey % 19 = 0 then '5d' when l_partkey % 23 = 0 then '2.5F'"
         " else cast(cast(l_extendedprice * 100 as bigint) as string) end as price",
         "case when l_suppkey % 11 = 0 then 'NaN' else cast(cast(l_quantity as bigint) as string) end as quantity",
         "cast(l_linenumber - 2 as string) as flow_duration",

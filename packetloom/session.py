@@ -35,14 +35,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local runs) is one made here; a
-    machine-local folder on a real cluster would not survive a lost node, so
-    there the setting is required.
+    Only for a session inside one process (tests, local runs) is one made here;
+    several executors do not share a machine-local folder, so there the
+    setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:

@@ -41,12 +41,12 @@ def shape_check(df: DataFrame, name: str, rows: int, cols: int) -> DataFrame:
 def verify_split(df: DataFrame, split: str) -> DataFrame:
     """Fail unless the raw split has its published shape; returns ``df``."""
     if split not in SPLIT_ROWS:
-        raise ValueError(f"unknown split {split!r}; expected one of {list(SPLIT_ROWS)}")
+        raise ValueError(f"{split!r} is none of the splits {', '.join(SPLIT_ROWS)}")
     found = shape_check(df, split, SPLIT_ROWS[split], RAW_COLUMNS).first()
     if not found["ok"]:
         raise ShapeError(
-            f"{split}: expected {found['expected_rows']} rows x {found['expected_cols']} cols, "
-            f"got {found['rows']} x {found['cols']}"
+            f"split {split} has {found['rows']} rows of {found['cols']} columns,"
+            f" not {found['expected_rows']} of {found['expected_cols']}"
         )
     return df
 
@@ -95,8 +95,9 @@ def _read_days(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -
 
 
 def to_number(value: Column) -> Column:
-    """A double, null where the text is no number."""
-    return F.trim(value.cast("string")).try_cast("double")
+    """A double, null where the text is no number (Java's type suffixes, as in ``5d``, make no number)."""
+    text = F.trim(value.cast("string"))
+    return F.when(~text.rlike(r"(?i)[0-9.][df]$"), text.try_cast("double"))
 
 
 def is_finite(value: Column) -> Column:

@@ -9,11 +9,6 @@ from pyspark.sql import types as T
 from packetloom.operators.layout import dense_sequence
 from packetloom.schemas import WINDOW_FEATURES, WINDOW_SCHEMA
 
-# Size that triggers retention, rows kept.
-MAX_LOG_BYTES = 5_000_000
-KEEP_ROWS = 10_000
-
-
 def append_log(df: DataFrame, path: str, fmt: str = "json", partition: str | None = None) -> None:
     writer = df.write.mode("append").format(fmt)
     if partition:
@@ -52,7 +47,7 @@ def log_size(spark: SparkSession, path: str) -> int:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
-def retain_newest(rows: DataFrame, keep_rows: int = KEEP_ROWS, order: str = "seq", log: str = "log") -> DataFrame:
+def retain_newest(rows: DataFrame, keep_rows: int, order: str = "seq", log: str = "log") -> DataFrame:
     """The newest ``keep_rows`` rows of each log.
 
     Spark keeps only ``keep_rows`` rows per log and task before the shuffle.
@@ -67,16 +62,20 @@ def compact_log(
     target: str,
     schema: T.StructType,
     order: list[str],
-    max_bytes: int = MAX_LOG_BYTES,
-    keep_rows: int = KEEP_ROWS,
-) -> bool:
-    """Write the newest rows of an oversized log to a new version directory; False if not needed."""
+    *,
+    max_bytes: int,
+    keep_rows: int,
+) -> int | None:
+    """Write the newest rows of an oversized log to a new version directory.
+
+    Both bounds are the caller's policy.  Returns how many rows were left out; None if the log is not too large.
+    """
     if log_size(spark, path) <= max_bytes:
-        return False
+        return None
     rows = read_json_log(spark, path, schema)
     newest = rows.orderBy(*[F.desc(c) for c in order]).limit(keep_rows)
     newest.write.mode("errorifexists").json(target)
-    return True
+    return max(0, rows.count() - keep_rows)
 
 
 def numbered(log: DataFrame, order: list[str]) -> DataFrame:

@@ -89,11 +89,14 @@ def test_views(spark):
     )
     assert [r.seq for r in views.live_recent(rows, 3).collect()] == [499, 498, 497]
     assert [r.seq for r in views.attack_log(rows, 2, files_only=True).collect()] == [450, 400]
-    assert [r.seq for r in views.anomalies_recent(rows, 30, anomalies_only=True).collect()][-1] == 300
+    assert [r.seq for r in views.anomalies_recent(rows, 30, anomalies_only=True).collect()][-1] == 200
     counted = views.view_counts(views.anomalies_recent(rows, 30), "is_anomaly", "anomalies").first()
     assert (counted["count"], counted.anomalies) == (30, 3)
-    with pytest.raises(ValueError, match="between 1 and 200"):
-        views.live_recent(rows, 201)
+    with pytest.raises(ValueError, match="one row at least"):
+        views.live_recent(rows, 0)
+    # A view reaches as far back as it is asked to.
+    assert views.live_recent(rows, 450).count() == 450
+    assert views.anomalies_recent(rows, 40, anomalies_only=True).count() == 40
 
 
 def test_events_and_log(spark):

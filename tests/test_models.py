@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -193,5 +194,20 @@ def test_silhouette_matches_definition(blobs):
         }
         a, b = means.pop(c), min(means.values())
         assert got[i] == pytest.approx((b - a) / max(a, b))
-    with pytest.raises(ValueError, match="at most 10"):
-        clusters.silhouette_rows(blobs, "id", max_rows=10)
+    cut = {r.id: r.silhouette for r in clusters.silhouette_rows(blobs, "id", block_rows=11).collect()}
+    assert cut == pytest.approx(got)
+
+
+def test_quantile_leaves_out_nan_and_survives_wide_ranges(spark):
+    rows = spark.createDataFrame([(v,) for v in [float("nan"), None, -1.7e308, 0.0, 1.0, 2.0, 1.7e308] + [3.0] * 50], "v double")
+    values = sorted([-1.7e308, 0.0, 1.0, 2.0, 1.7e308] + [3.0] * 50)
+    for q in (0.0, 0.05, 0.5, 1.0):
+        assert sampling.exact_quantile(rows, "v", q, max_rows=2) == pytest.approx(float(np.quantile(values, q)))
+    with pytest.raises(ValueError, match="infinite"):
+        sampling.exact_quantile(spark.createDataFrame([(float("inf"),)], "v double"), "v", 0.5)
+
+
+def test_null_class_gets_its_share_of_test_rows(spark):
+    rows = spark.range(100).selectExpr("id", "case when id % 2 = 0 then 'a' end as label")
+    train, test = sampling.stratified_split(rows, "label", "id")
+    assert test.where("label is null").count() == 15 and train.where("label is null").count() == 35
