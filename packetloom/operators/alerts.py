@@ -204,9 +204,14 @@ def outbox(alert_rows: DataFrame, kinds: list[str] | None = None, title: str = T
     )
 
 
-def alert_status(box: DataFrame) -> DataFrame:
-    """Per kind: alerts sent and failed deliveries (a failed one still starts the cooldown)."""
+def alert_status(
+    box: DataFrame, enabled: bool = True, cooldown: float = COOLDOWN_SECONDS, min_attacks: int = MIN_ATTACKS
+) -> DataFrame:
+    """Per kind: the throttle's settings, alerts sent and failed deliveries (a failed one still starts the cooldown)."""
     return box.groupBy("kind").agg(
+        F.lit(enabled).alias("enabled"),
+        F.lit(float(cooldown)).alias("cooldown_seconds"),
+        F.lit(min_attacks).alias("min_attacks"),
         F.count_if(F.coalesce("delivered", F.lit(True))).alias("alerts_sent"),
         F.count_if(~F.coalesce("delivered", F.lit(True))).alias("dispatch_failures"),
     )

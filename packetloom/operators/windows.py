@@ -20,7 +20,6 @@ def _aggregates(distinct: str) -> list[Column]:
     count = {
         "exact": F.count_distinct,
         "approx": F.approx_count_distinct,
-        "set": lambda c: F.size(F.collect_set(c)),
     }[distinct]
     return [
         F.count(F.lit(1)).alias("flow_count"),
@@ -61,17 +60,33 @@ def source_windows(
     return _derived(rows, digits)
 
 
-def stream_windows(meta: DataFrame, seconds: int = WINDOW_SECONDS, delay: str = "0 seconds", distinct: str = "set") -> DataFrame:
+def stream_windows(meta: DataFrame, delay: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """The same windows over a stream with an event-time column ``ts``.
 
-    In append mode each window is emitted once, when the watermark passes its
-    end; the newest windows stay open.  Exact sets are kept in state;
-    ``distinct="approx"`` bounds it for very wide scans.
+    Rows may come late by up to ``delay``; later ones are dropped.  In append mode each window is emitted once, when
+    the watermark passes its end; the newest windows stay open.  Distinct ports and hosts are counted by a first
+    aggregate with one small state row per source and value, so a scanning source is spread over all tasks and no
+    set grows in one row.
     """
     keyed = meta.where(F.col("src_ip") != "").withWatermark("ts", delay)
-    rows = keyed.groupBy(F.window("ts", f"{seconds} seconds"), "src_ip").agg(*_aggregates(distinct))
-    rows = rows.withColumn("window_start_us", F.unix_micros("window.start")).drop("window")
-    return _derived(rows, True)
+    cell = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    cells = F.array(cell("all", F.lit("")), cell("port", F.col("dst_port")), cell("host", F.col("dst_ip")))
+    rows = keyed.select("ts", "src_ip", "flag", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.explode(cells).alias("cell"))
+    whole = F.col("cell.kind") == "all"
+    first = rows.groupBy(F.window("ts", f"{seconds} seconds"), "src_ip", "cell").agg(
+        F.count_if(whole).alias("flows"),
+        F.count_if(whole & F.col("flag").isin(FAILED_FLAGS)).alias("failed"),
+        F.sum(F.when(whole, F.col("bytes"))).alias("bytes"),
+    )
+    seen = lambda kind: F.count_if((F.col("cell.kind") == kind) & F.col("cell.value").isNotNull())
+    second = first.groupBy(F.window(F.window_time("window"), f"{seconds} seconds"), "src_ip").agg(
+        F.sum("flows").alias("flow_count"),
+        seen("port").alias("distinct_dst_ports"),
+        seen("host").alias("distinct_dst_hosts"),
+        F.sum("failed").alias("failed"),
+        F.sum("bytes").alias("total_bytes"),
+    )
+    return _derived(second.withColumn("window_start_us", F.unix_micros("window.start")).drop("window"), True)
 
 
 def closed_windows(windows: DataFrame, now_us: int, seconds: int = WINDOW_SECONDS) -> DataFrame:

@@ -495,13 +495,18 @@ select tenant, alert_no, kind, case kind when 'discord' then '{{"content":"**{_T
   when 'slack' then '{{"text":"*{_TITLE}*\\n' || message || '"}}'
   when 'generic' then '{{"title":"{_TITLE}","message":"' || message || '"}}' else message end as payload from msg, kinds""",
     "alert_status": f"""with recursive {CONN}, {_ALERT_BATCHES}
-select 'ntfy' as kind, count(*) as alerts_sent, 0::bigint as dispatch_failures from al union all
-select 'slack', count(*) filter (alert_no % 4 <> 0), count(*) filter (alert_no % 4 = 0) from al""",
+select 'ntfy' as kind, true as enabled, 60.0::double as cooldown_seconds, 5 as min_attacks, count(*) as alerts_sent,
+  0::bigint as dispatch_failures from al union all
+select 'slack', true, 60.0::double, 5, count(*) filter (alert_no % 4 <> 0), count(*) filter (alert_no % 4 = 0) from al""",
     "live_recent": f"with {CONN}, {_EVENTS} select seq, service, flag, label, is_attack from evt order by seq desc limit 50",
     "attack_log": f"""with {CONN}, {_EVENTS} select seq, service, flag, has_file_activity from evt
   where is_attack and has_file_activity order by seq desc limit 100""",
     "anomalies_recent": f"""with {CONN}, {_ALERT_INPUT}
 select batch_id, seq, src_ip, window_start_us, flow_count, anomaly_score, is_anomaly from sa where is_anomaly order by seq desc limit 50""",
+    "live_counts": f"""with {CONN}, {_EVENTS}, v as (select * from evt order by seq desc limit 50)
+select count(*) as count, count(*) filter (is_attack) as attacks from v""",
+    "anomaly_counts": f"""with {CONN}, {_ALERT_INPUT}, v as (select * from sa order by seq desc limit 200)
+select count(*) as count, count(*) filter (is_anomaly) as anomalies from v""",
     "anomaly_status": f"""with {CONN}, {WINDOWS} select false as model_loaded, 60 as window_seconds,
   count(*) filter (window_start_us + 60000000 <= 1200000000) as baseline_windows_captured,
   count(*) filter (window_start_us + 60000000 > 1200000000) as windows_open from win""",

@@ -685,6 +685,16 @@ def anomalies_recent(spark, sf):
     return views.anomalies_recent(scored_windows(spark, sf).drop("tenant", "now"), 50, anomalies_only=True)
 
 
+@query
+def live_counts(spark, sf):
+    return views.view_counts(views.live_recent(event_rows(spark, sf), 50), "is_attack", "attacks")
+
+
+@query
+def anomaly_counts(spark, sf):
+    return views.view_counts(views.anomalies_recent(scored_windows(spark, sf), 200), "is_anomaly", "anomalies")
+
+
 @query
 def anomaly_status(spark, sf):
     conns = connection_view(spark, sf)

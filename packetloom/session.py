@@ -50,14 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one."""
+    return f"{shared_dir(spark)}/packetloom-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where later stages must all see the very same values (split points,
     positions, sampled rows, tree nodes), also after an executor is lost and
-    tasks are run again.
+    tasks are run again.  ``release`` removes what an application has written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` wrote for this application; frames made from them end with it."""
+    remove_path(spark, run_dir(spark))

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators.records import connection_feature_records
 from packetloom.operators.rolling import HISTORY
+from packetloom.session import remove_path
 from packetloom.sources.logs import retain_newest
 from packetloom.streaming.sinks import write_batch
 
@@ -60,6 +61,8 @@ def stream_features(
         records, carry = batch_features(batch, history)
         write_batch(records, record_path, batch_id)
         write_batch(carry, carry_path, batch_id)
+        # A replay needs the carry before its own; older ones are of no use.
+        remove_path(spark, f"{carry_path}/batch_id={batch_id - 2}")
         batch.unpersist()
 
     writer = conns.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)

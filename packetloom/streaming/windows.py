@@ -21,11 +21,10 @@ def capture_windows(
     meta: DataFrame,
     checkpoint: str,
     baseline_path: str,
+    delay: str,
     anomaly_path: str | None = None,
     model: WindowAnomalyModel | None = None,
-    delay: str = "0 seconds",
     seconds: int = WINDOW_SECONDS,
-    distinct: str = "set",
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append every closed window to the baseline and, with a model, its score to the anomaly table."""
@@ -37,6 +36,6 @@ def capture_windows(
             write_batch(model.score(closed), anomaly_path, batch_id)
         closed.unpersist()
 
-    stream = stream_windows(meta, seconds, delay, distinct)
+    stream = stream_windows(meta, delay, seconds)
     writer = stream.writeStream.outputMode("append").foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -2,7 +2,7 @@ import tempfile
 
 import pytest
 
-from packetloom.session import local_session
+from packetloom.session import local_session, release
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
@@ -12,6 +12,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     session = local_session("8", 8, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="packetloom-test-")})
     yield session
+    release(session)
     session.stop()
 
 

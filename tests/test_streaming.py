@@ -13,7 +13,7 @@ from packetloom.plans import queries
 from packetloom.plans.views import connection_view, packet_view
 from packetloom.schemas import FLOW_FEATURES, PACKET_SCHEMA
 from packetloom.sources.logs import read_baseline
-from packetloom.streaming.alerts import SIGNAL_SCHEMA, stream_throttle
+from packetloom.streaming.alerts import SIGNAL_SCHEMA, live_alerts, signals, stream_throttle
 from packetloom.streaming.features import CARRIED, stream_features
 from packetloom.streaming.flows import stream_connections
 from packetloom.streaming.scoring import score_live
@@ -71,7 +71,7 @@ def test_stream_windows_and_scores(spark, medium):
     model = iforest.WindowAnomalyModel.fit(expected, trees=20)
     raw = spark.readStream.schema(conns.schema).option("maxFilesPerTrigger", 1).parquet(path)
     stream = raw.withColumn("ts", F.timestamp_micros("ts_us"))
-    query = capture_windows(stream, folder(), base, scored, model, trigger=ONCE)
+    query = capture_windows(stream, folder(), base, "1 second", scored, model, trigger=ONCE)
     query.awaitTermination(300)
     end = conns.agg(F.max("ts_us")).first()[0]
     closed = windows.closed_windows(expected, end)
@@ -144,3 +144,23 @@ def test_stream_throttle_equals_batch(spark, medium):
     query.awaitTermination(300)
     key = lambda df: sorted((r.tenant, r.batch_id, r.alert_no, r.emits) for r in df.collect())
     assert key(spark.read.parquet(out)) == key(alerts.throttle(batches))
+
+
+def test_live_alerts_equal_batch(spark, small):
+    upto = 12  # batches of 10 s
+    events = queries.alert_events(spark, small).withColumn("seq", F.monotonically_increasing_id()).where(F.col("batch_id") < upto)
+    scored = queries.scored_windows(spark, small).where(F.col("batch_id") < upto)
+    rows = signals(events, scored).withColumn("batch_id", (F.col("now") / 10 - 1).cast("long")).cache()
+    path, out = folder(), folder()
+    present = [r.batch_id for r in rows.select("batch_id").distinct().orderBy("batch_id").collect()]
+    for b in present:
+        rows.where(F.col("batch_id") == b).coalesce(1).write.mode("append").parquet(path)
+    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    live_alerts(raw, folder(), out, folder(), ["ntfy"], cooldown=30.0, trigger=ONCE).awaitTermination(600)
+    got = {(r.tenant, r.alert_no, r.now, r.message) for r in spark.read.parquet(out).collect()}
+    flagged = scored.where("is_anomaly")
+    batches = alerts.alert_batches(alerts.attack_inputs(events), alerts.anomaly_inputs(flagged))
+    keys = ["tenant", "batch_id", "src_ip"]
+    sources = events.where("is_attack").select(*keys).unionByName(flagged.select(*keys))
+    expected = alerts.outbox(alerts.alerts(alerts.throttle(batches, cooldown=30.0), sources), ["ntfy"])
+    assert got == {(r.tenant, r.alert_no, r.now, r.message) for r in expected.collect()} and len(got) > 3
