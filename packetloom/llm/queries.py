@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, decontam, imatch, licenses, minhash, packing, quality, secrets, sharding, toxicity
+from packetloom.llm import chat, decontam, imatch, licenses, minhash, oracles, packing, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +116,10 @@ def op2_quality(spark, sf):
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+ORACLES["op8_secret_scan"] = oracles.SECRETS
+ORACLES["op10_license_scan"] = oracles.LICENSES
+
+
 @query
 def op9_imatch(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
