@@ -14,9 +14,11 @@ Order within a tuple is (us, seq): event time, then arrival.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,7 +172,7 @@ def next_state(
     return state._replace(orig_fin=orig_fin, resp_fin=resp_fin), True
 
 
-def _walk(batches: Iterator[pa.RecordBatch], state_out: bool) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Follow each tuple through sorted rows, one batch in memory at a time.
 
     ``head`` marks the first row of a group, where ``entry`` (null for a fresh
@@ -189,8 +191,8 @@ def _walk(batches: Iterator[pa.RecordBatch], state_out: bool) -> Iterator[pa.Rec
             opened = state
             state, kept = next_state(state, us, seq, up, syn, fin, rst)
             owner = (state if opened.flow_seq is None else opened) if kept else FRESH
-            found.append(tuple(state) if state_out else owner[:3])
-        fields = STATE_TYPE.fields if state_out else STATE_TYPE.fields[:3]
+            found.append(owner[:3])
+        fields = STATE_TYPE.fields[:3]
         kinds = [pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64() for f in fields]
         extra = [pa.array(values, kind) for values, kind in zip(zip(*found), kinds)] if found else [
             pa.array([], kind) for kind in kinds
@@ -201,12 +203,12 @@ def _walk(batches: Iterator[pa.RecordBatch], state_out: bool) -> Iterator[pa.Rec
         )
 
 
-def _run_walk(rows: DataFrame, group: list[str], state_out: bool) -> DataFrame:
-    fields = STATE_TYPE.fields if state_out else STATE_TYPE.fields[:3]
+def _run_walk(rows: DataFrame, group: list[str]) -> DataFrame:
+    fields = STATE_TYPE.fields[:3]
     dropped = ("syn", "fin", "rst", "head", "entry")
     schema = T.StructType([f for f in rows.schema.fields if f.name not in dropped] + fields)
     ordered = rows.repartition(*group).sortWithinPartitions(*group, "us", "seq")
-    return ordered.mapInArrow(lambda batches: _walk(batches, state_out), schema)
+    return ordered.mapInArrow(_walk, schema)
 
 
 def _tcp_flows(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -225,36 +227,138 @@ def _tcp_flows(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     else:
         entries = _entry_states(marked.join(small_side(hot), TUPLE, "left_semi"))
         marked = marked.join(small_side(entries), group, "left")
-    return _run_walk(marked, group, state_out=False)
+    return _run_walk(marked, group)
 
 
 def _entry_states(hot_rows: DataFrame) -> DataFrame:
     """State of each hot tuple at the start of each of its blocks.
 
-    Only packets that can change the state are walked: those with FIN or RST,
-    the first of a session or block, whatever follows within the grace period
-    of one of these or directly after it, and the packet after that.  In
-    between a connection is open and plain packets leave it as it is, so a
-    long transfer reduces to a few rows.
+    Every block is read on its own, for all states it may begin with, and reduced to one row: which state each of
+    them ends in.  Following the blocks of a tuple then takes one small row per block, and no task reads more packets
+    than a block has, whatever they are.
     """
     group = [*TUPLE, "block"]
-    in_block = Window.partitionBy(*group).orderBy("us", "seq")
-    so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    event = F.col("fin") | F.col("rst") | F.col("starts") | F.col("head")
-    marked = hot_rows.withColumn("event", event)
-    marked = marked.withColumn("anchor", F.col("event") | F.coalesce(F.lag("event").over(in_block), F.lit(False)))
-    near = F.col("us") - F.max(F.when(F.col("anchor"), F.col("us"))).over(so_far) <= GRACE_US
-    marked = marked.withColumn("near", near)
-    telling = F.col("near") | F.coalesce(F.lag("near").over(in_block), F.lit(False))
-    columns = [*group, "us", "seq", "ord", "up", "syn", "fin", "rst", "starts"]
-    few = marked.withColumn("telling", telling).where("telling").select(*columns)
-    first = F.row_number().over(Window.partitionBy(*TUPLE).orderBy("us", "seq")) == 1
-    few = few.withColumn("head", first).withColumn("entry", F.lit(None).cast(STATE_TYPE))
-    walked = _run_walk(few, TUPLE, state_out=True)
-    state = F.struct(*STATE_TYPE.names)
-    last = walked.groupBy(*group).agg(F.max_by(state, "ord").alias("state"))
-    before = Window.partitionBy(*TUPLE).orderBy("block")
-    return materialize(last.select(*group, F.lag("state").over(before).alias("entry")), "entry-states")
+    rows = hot_rows.select(*group, "us", "seq", "up", "syn", "fin", "rst", "starts", "head")
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "us", "seq")
+    kinds = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*(kinds[c] for c in group), T.StructField("ends", T.StringType())])
+    ends = materialize(ordered.mapInArrow(_block_ends, schema), "block-ends")
+
+    entry = T.StructType([*(kinds[c] for c in group), T.StructField("entry", STATE_TYPE)])
+
+    def follow(blocks: pd.DataFrame) -> pd.DataFrame:
+        state, entries = FRESH, []
+        blocks = blocks.sort_values("block")
+        for text in blocks["ends"]:
+            entries.append(None if state == FRESH else state._asdict())
+            state = _after_block(state, json.loads(text))
+        return blocks[group].assign(entry=entries)
+
+    return materialize(ends.groupBy(*TUPLE).applyInPandas(follow, entry), "entry-states")
+
+
+class _BlockWalk:
+    """All states a block may begin with, followed together.
+
+    States that can be told apart by what they do next are few: a connection is open with one of twelve combinations
+    of direction, FINs and a reset, or closed at some time.  ``open`` and ``closed`` list, for each of these, who is
+    in it: names of begin states, with the connection they are in (None: the one the block began with).  Begin states
+    closed at time c are named by an upper bound: those with c below ``us - GRACE_US`` open at the first packet that
+    is late enough, so each such packet takes the next interval of c.  Once two begin states meet they stay together
+    but for the name of their connection.
+    """
+
+    def __init__(self):
+        combinations = [(up, *fins, reset) for up in (False, True) for fins in ((0, 0), (1, 0), (0, 1)) for reset in (0, 1)]
+        self.open = {c: [(["open", *map(int, c)], None)] for c in combinations}
+        self.closed: dict[int | None, list] = {None: [["fresh"]]}
+        self.first_us: int | None = None
+        self.below: int | None = None  # begin states closed before this have opened
+        self.all_opened = False
+
+    def step(self, us: int, seq: int, up: bool, syn: bool, fin: bool, rst: bool, starts: bool) -> None:
+        self.first_us = us if self.first_us is None else self.first_us
+        if starts:
+            names = [n for members in self.open.values() for n, _ in members]
+            names += [n for members in self.closed.values() for n in members]
+            if not self.all_opened:
+                names.append(["closed", None])
+            self.open, self.closed, self.all_opened = {}, {None: names}, True
+        opening = [n for c in [c for c in self.closed if syn or c is None or us - c > GRACE_US] for n in self.closed.pop(c)]
+        if not self.all_opened:
+            bound = us - GRACE_US
+            if syn or bound > self.first_us:  # no begin state closed later than the block begins
+                opening.append(["closed", None])
+                self.all_opened = True
+            elif self.below is None or bound > self.below:
+                opening.append(["closed", bound])
+                self.below = bound
+        if fin or rst or any(c[3] for c in self.open):
+            after: dict[tuple, list] = {}
+            for (flow_up, orig_fin, resp_fin, reset), members in self.open.items():
+                if not (fin or rst or reset):
+                    after.setdefault((flow_up, orig_fin, resp_fin, reset), []).extend(members)
+                    continue
+                orig_fin, resp_fin = orig_fin or int(fin and up == flow_up), resp_fin or int(fin and up != flow_up)
+                if rst or reset or (orig_fin and resp_fin):
+                    self.closed.setdefault(us, []).extend(n for n, _ in members)
+                else:
+                    after.setdefault((flow_up, orig_fin, resp_fin, reset), []).extend(members)
+            self.open = after
+        if opening:
+            self.open.setdefault((up, int(fin), 0, int(rst)), []).extend((n, (us, seq)) for n in opening)
+
+    def ends(self) -> str:
+        """JSON: [name of a begin state, the state it ends in]; begin states closed later than all bounds stay as they are."""
+        found = []
+        for (up, orig_fin, resp_fin, reset), members in self.open.items():
+            found += [(n, ["open", flow, bool(up), bool(orig_fin), bool(resp_fin), bool(reset)]) for n, flow in members]
+        for at, members in self.closed.items():
+            found += [(n, ["closed", at]) for n in members]
+        bounds = sorted((x for x in found if x[0][0] == "closed"), key=lambda x: (x[0][1] is None, x[0][1] or 0))
+        # Neighbouring intervals with the same end are one.
+        kept = [x for x, following in zip(bounds, [*bounds[1:], None]) if following is None or following[1] != x[1]]
+        return json.dumps([x for x in found if x[0][0] != "closed"] + kept)
+
+
+def _block_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group = [*TUPLE, "block"]
+    walk, key = None, None
+    kinds = None
+    done: list[tuple] = []
+    for batch in batches:
+        kinds = [batch.schema.field(c).type for c in group]
+        columns = [batch.column(c).to_pylist() for c in (*group, "head", "us", "seq", "up", "syn", "fin", "rst", "starts")]
+        for *names, head, us, seq, up, syn, fin, rst, starts in zip(*columns):
+            if head:
+                if walk is not None:
+                    done.append((*key, walk.ends()))
+                walk, key = _BlockWalk(), names
+            walk.step(us, seq, up, syn, fin, rst, starts)
+    if walk is not None:
+        done.append((*key, walk.ends()))
+    if done:
+        columns = [pa.array(list(v), k) for v, k in zip(zip(*done), [*kinds, pa.string()])]
+        yield pa.RecordBatch.from_arrays(columns, [*group, "ends"])
+
+
+def _after_block(state: Tuple5State, ends: list) -> Tuple5State:
+    """The state in which a block ends that began with ``state``."""
+    if state.flow_seq is not None:
+        name = ["open", int(state.flow_up), int(state.orig_fin), int(state.resp_fin), int(state.reset)]
+        end = next(e for n, e in ends if n == name)
+    elif state.closed_us is None:
+        end = next(e for n, e in ends if n == ["fresh"])
+    else:
+        # The interval with the least bound above the time of the close; None is above all.
+        later = [(n[1], e) for n, e in ends if n[0] == "closed" and (n[1] is None or state.closed_us < n[1])]
+        if not later:
+            return state
+        end = min(later, key=lambda x: (x[0] is None, x[0] or 0))[1]
+    if end[0] == "closed":
+        return FRESH._replace(closed_us=end[1])
+    flow = end[1] or (state.flow_us, state.flow_seq)
+    return Tuple5State(flow[0], flow[1], end[2], end[3], end[4], end[5], None)
 
 
 def assign_flows(

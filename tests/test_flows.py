@@ -1,5 +1,8 @@
 """Connection assembly: scripts with known results, a plain-Python model, hot-tuple layout."""
 
+import json
+import random
+
 import pytest
 from plain_flows import assemble
 
@@ -187,3 +190,43 @@ def test_idle_split_of_hot_tuples(packet_rows):
     whole = {r.seq: r.flow_seq for r in flows.assign_flows(packet_rows, "idle").select("seq", "flow_seq").collect()}
     split = flows.assign_flows(packet_rows, "idle", max_rows=25).select("seq", "flow_seq").collect()
     assert {r.seq: r.flow_seq for r in split} == whole
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_blocks_know_where_every_state_leads(seed):
+    """Following blocks one by one gives the state that following packets one by one gives."""
+    rng = random.Random(seed)
+    for _ in range(25):
+        packets, us = [], 0
+        fins, resets = rng.choice([0.1, 0.6, 1.0]), rng.choice([0.05, 0.5, 1.0])
+        for i in range(rng.randint(1, 60)):
+            us += rng.choice([0, 1000, 300_000, 900_000, 2_000_000, 2_000_001])
+            draw = [rng.random() < p for p in (0.5, 0.2, fins, resets, 0.03)]
+            packets.append((us, i, *draw))
+        cuts = sorted(rng.sample(range(1, len(packets)), min(len(packets) - 1, rng.randint(0, 5))))
+        plain = blockwise = flows.FRESH
+        for block in (packets[a:b] for a, b in zip([0, *cuts], [*cuts, len(packets)])):
+            assert blockwise == plain
+            walk = flows._BlockWalk()
+            for p in block:
+                walk.step(*p)
+                plain = flows.next_state(flows.FRESH if p[6] else plain, *p[:6])[0]
+            blockwise = flows._after_block(blockwise, json.loads(walk.ends()))
+        assert blockwise == plain
+
+
+def test_flood_on_one_tuple_is_split(spark):
+    """Every packet has FIN or RST: no task reads more than a block of them, the connections stay the same."""
+    rng = random.Random(8)
+    rows = [
+        (i, i * 150_000 + rng.randint(0, 100_000), "10.0.0.1", "10.0.0.2", 1000, 80, "tcp", 0, 40, rng.choice(["S", "FA", "RA", "SF"]), 1, -1, -1, False)
+        for i in range(600)
+    ]
+    schema = (
+        "seq long, us long, src_ip string, dst_ip string, src_port int, dst_port int, proto string, payload_len long,"
+        " ip_len long, tcp_flags string, tcp_window int, icmp_type int, icmp_code int, is_fragment boolean"
+    )
+    df = spark.createDataFrame(rows, schema)
+    want = {(r.seq, r.flow_seq) for r in flows.assign_flows(df).select("seq", "flow_seq").collect()}
+    got = {(r.seq, r.flow_seq) for r in flows.assign_flows(df, max_rows=40).select("seq", "flow_seq").collect()}
+    assert got == want and len({f for _, f in want}) > 50
