@@ -34,7 +34,7 @@ from packetloom.schemas import FLOW_FEATURES
 IDLE_US = {"tcp": 30_000_000, "udp": 10_000_000, "icmp": 5_000_000}
 GRACE_US = 2_000_000
 
-TUPLE = ["proto", "lo_ip", "lo_port", "hi_ip", "hi_port"]
+TUPLE = ["sensor", "proto", "lo_ip", "lo_port", "hi_ip", "hi_port"]
 PACKET_COLUMNS = [
     "us", "seq", "up", "payload_len", "ip_len", "tcp_flags", "tcp_window", "icmp_type", "icmp_code", "is_fragment",
 ]
@@ -44,8 +44,11 @@ ORDER_BITS = 36
 def canonical_tuple(packets: DataFrame) -> DataFrame:
     """Add the undirected tuple and ``up``: whether the packet runs from lo to hi.
 
-    When both ends are equal every packet runs from lo to hi.
+    When both ends are equal every packet runs from lo to hi.  The tuple holds the ``sensor`` that saw the packet, so
+    equal private addresses behind two sensors stay apart; without such a column all packets are of one sensor.
     """
+    sensor = F.coalesce(F.col("sensor"), F.lit("")) if "sensor" in packets.columns else F.lit("")
+    packets = packets.withColumn("sensor", sensor)
     src, dst = F.struct("src_ip", "src_port"), F.struct("dst_ip", "dst_port")
     up = src <= dst
     return packets.select(
@@ -505,13 +508,20 @@ def connections(
 
     ``conn_id`` is the ``seq`` of the first packet; ``ts_us`` is the end time.
     """
-    return connection_records(flow_aggregates(assign_flows(packets, split, idle_us, max_rows)))
+    return of_sensors(connection_records(flow_aggregates(assign_flows(packets, split, idle_us, max_rows))), packets)
+
+
+def of_sensors(records: DataFrame, packets: DataFrame) -> DataFrame:
+    """The records with their sensor if the packets had one."""
+    return records if "sensor" in packets.columns else records.drop("sensor")
 
 
 def connection_records(flows: DataFrame) -> DataFrame:
+    """Records of aggregate rows, with the ``sensor`` that saw them."""
     named = flows.withColumns(_endpoints())
     features = F.struct(*[c.cast("double").alias(n) for n, c in flow_features().items()])
     return named.select(
+        "sensor",
         F.col("flow_seq").alias("conn_id"),
         F.col("last_us").alias("ts_us"),
         F.call_function("div", F.col("last_us") - F.col("flow_us"), F.lit(1_000_000)).alias("duration"),

@@ -382,6 +382,9 @@ select (select count(*) from seen) as packets,
     "canonical_tuple": f"with {PACKETS}, {_tuples()} select seq, up, {_TUPLE} from tp",
     "idle_sessions": f"with {PACKETS}, {_idle_assign()} select seq, flow_seq, flow_us, flow_up from asg",
     "tcp_flows": f"with recursive {PACKETS}, {_TCP_ASSIGN} select seq, flow_seq, flow_us, flow_up from asg",
+    "tcp_flows_by_sensor": f"with recursive {PACKETS}, {_tcp_assign()} select sensor, seq, flow_seq, flow_us, flow_up from asg".replace(
+        _TUPLE, f"sensor, {_TUPLE}"
+    ).replace("pkt as (select seq, us,", "pkt as (select 's' || (seq // 7 % 2) as sensor, seq, us,"),
     "flow_bytes": f"""{_IDLE_FLOWS} select flow_seq, fwd_pkts, bwd_pkts, src_bytes, dst_bytes, fwd_bytes, bwd_bytes,
   wrong_fragment, urgent from fs""",
     "flow_len_stats": f"""{_IDLE_FLOWS} select flow_seq, fwd_pkt_len_max, fwd_pkt_len_min, fwd_pkt_len_mean, bwd_pkt_len_max,

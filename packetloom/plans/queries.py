@@ -201,7 +201,7 @@ def pipeline_counters(spark, sf):
 
 @query
 def canonical_tuple(spark, sf):
-    return flows.canonical_tuple(packet_view(spark, sf)).select("seq", "up", *flows.TUPLE)
+    return flows.canonical_tuple(packet_view(spark, sf)).select("seq", "up", *flows.TUPLE).drop("sensor")
 
 
 def idle_flows(spark, sf) -> DataFrame:
@@ -218,6 +218,13 @@ def tcp_flows(spark, sf):
     return flows.assign_flows(packet_view(spark, sf), "tcp").select("seq", "flow_seq", "flow_us", "flow_up")
 
 
+@query
+def tcp_flows_by_sensor(spark, sf):
+    """Two sensors that see the same addresses."""
+    seen = packet_view(spark, sf).withColumn("sensor", F.expr("concat('s', seq div 7 % 2)"))
+    return flows.assign_flows(seen, "tcp").select("sensor", "seq", "flow_seq", "flow_us", "flow_up")
+
+
 @query
 def flow_bytes(spark, sf):
     return idle_flows(spark, sf).select(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from packetloom.operators.flows import FRESH, GRACE_US, IDLE_US, TUPLE, Tuple5State, canonical_tuple, connection_records, next_state
+from packetloom.operators.flows import FRESH, GRACE_US, IDLE_US, TUPLE, Tuple5State, canonical_tuple, connection_records, next_state, of_sensors
 
 FLAG_COUNTS = {f"n_{c.lower()}": c for c in "FSRPAU"}
 BITS = ["syn_seen", "synack_seen", "orig_fin", "resp_fin", "orig_rst", "resp_rst"]
@@ -42,6 +42,7 @@ STATE_NAMES = STATE_SCHEMA.names
 
 OUTPUT_SCHEMA = T.StructType(
     [
+        T.StructField("sensor", T.StringType()),
         T.StructField("proto", T.StringType()),
         T.StructField("lo_ip", T.StringType()),
         T.StructField("lo_port", T.IntegerType()),
@@ -163,7 +164,7 @@ def _merged(c: dict, more: dict) -> dict:
 
 def _advance(key: tuple, c: dict, packets: pd.DataFrame, idle: int) -> tuple[dict, list[dict]]:
     """The state after packets that came due (in order), and the connections they completed."""
-    tcp, done = key[0] == "tcp", []
+    tcp, done = key[1] == "tcp", []
     for begin, end, closed_us, ended in _cuts(c, packets, tcp, idle):
         run = packets.iloc[begin:end]
         if len(run) and c["is_open"]:
@@ -235,7 +236,7 @@ class ConnectionAssembler(StatefulProcessor):
             self.pending.appendList(list(frame[PENDING_SCHEMA.names].itertuples(index=False, name=None)))
             low = int(frame["us"].min())
             first_us = low if first_us is None else min(first_us, low)
-        idle = self.idle_us.get(key[0], self.idle_us["icmp"])
+        idle = self.idle_us.get(key[1], self.idle_us["icmp"])
         self._store(idle, self._load(), timerValues.getCurrentWatermarkInMs(), first_us)
         yield pd.DataFrame([], columns=OUTPUT_SCHEMA.names)
 
@@ -244,7 +245,7 @@ class ConnectionAssembler(StatefulProcessor):
         c = self._load()
         if c["timer_ms"] is not None and c["timer_ms"] <= now_ms:
             c["timer_ms"] = None
-        idle, done, waiting_us = self.idle_us.get(key[0], self.idle_us["icmp"]), [], None
+        idle, done, waiting_us = self.idle_us.get(key[1], self.idle_us["icmp"]), [], None
         if self.pending.exists():
             packets = pd.DataFrame(list(self.pending.get()), columns=PENDING_SCHEMA.names)
             ready = packets["us"] < now_ms * 1000
@@ -283,4 +284,4 @@ def stream_flows(packets: DataFrame, delay: str, idle_us: dict[str, int] = IDLE_
 
 def stream_connections(packets: DataFrame, delay: str, idle_us: dict[str, int] = IDLE_US) -> DataFrame:
     """Connection records of a packet stream, as ``connections`` gives them for a table."""
-    return connection_records(stream_flows(packets, delay, idle_us))
+    return of_sensors(connection_records(stream_flows(packets, delay, idle_us)), packets)

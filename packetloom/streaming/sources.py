@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.schemas import PACKET_SCHEMA, live_record_schema
 
@@ -11,9 +12,12 @@ from packetloom.schemas import PACKET_SCHEMA, live_record_schema
 MAX_FILES_PER_BATCH = 10
 
 
-def packet_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = MAX_FILES_PER_BATCH) -> DataFrame:
-    """Packet rows with the event-time column ``ts`` from files that arrive in ``path``."""
-    reader = spark.readStream.schema(PACKET_SCHEMA).format(fmt).option("maxFilesPerTrigger", max_files)
+def packet_stream(
+    spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = MAX_FILES_PER_BATCH, sensors: bool = False
+) -> DataFrame:
+    """Packet rows with the event-time column ``ts`` (and their ``sensor``) from files that arrive in ``path``."""
+    schema = T.StructType(PACKET_SCHEMA.fields + [T.StructField("sensor", T.StringType())] * sensors)
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
     return reader.load(path).withColumn("ts", F.timestamp_micros("us"))
 
 

@@ -36,19 +36,21 @@ def write_parts(df, order, parts, path, fmt="parquet"):
         part.coalesce(1).sortWithinPartitions(order).write.mode("append").format(fmt).save(path)
 
 
-@pytest.mark.parametrize("shuffled", [False, True])
-def test_stream_connections_equal_batch(spark, small, shuffled):
+@pytest.mark.parametrize("shuffled, sensors", [(False, False), (True, True)])
+def test_stream_connections_equal_batch(spark, small, shuffled, sensors):
     packets = packet_view(spark, small).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKET_SCHEMA.fields]
     )
+    if sensors:
+        packets = packets.withColumn("sensor", F.concat(F.lit("s"), F.col("seq") % 3))
     path, out = folder(), folder()
     # Shuffled files hold packets of all times; the delay covers them.
     written = packets.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(1000))) if shuffled else packets
     write_parts(written, "part" if shuffled else "seq", 4, path)
     # A last packet far ahead lets the watermark pass every open connection.
     last = packets.limit(1).withColumn("us", F.lit(10**14)).withColumn("seq", F.lit(10**9)).withColumn("proto", F.lit("end"))
-    last.select(*PACKET_SCHEMA.names).coalesce(1).write.mode("append").parquet(path)
-    stream = stream_connections(packet_stream(spark, path, max_files=1), "365 days" if shuffled else "1 second")
+    last.select(*packets.columns).coalesce(1).write.mode("append").parquet(path)
+    stream = stream_connections(packet_stream(spark, path, max_files=1, sensors=sensors), "365 days" if shuffled else "1 second")
     query = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder())
         .trigger(**ONCE).start()
