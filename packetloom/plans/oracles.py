@@ -9,7 +9,7 @@ from __future__ import annotations
 from packetloom.functions.labels import ATTACK_CATEGORY, ATTACK_CLASSES, FLOW_CATEGORY, FLOW_CLASSES
 from packetloom.functions.services import ICMP_SERVICES, TCP_SERVICES, UDP_SERVICES
 from packetloom.operators.windows import FAILED_FLAGS
-from packetloom.schemas import CONTENT_FEATURES, FILE_ACTIVITY_COLUMNS
+from packetloom.schemas import CONNECTION_FEATURES, CONTENT_FEATURES, FILE_ACTIVITY_COLUMNS
 
 
 def _case(value: str, names: dict, default: str) -> str:
@@ -334,6 +334,13 @@ _WINDOW_COLUMNS = (
     " total_bytes, mean_bytes"
 )
 
+
+
+def _rounded(columns: list[str], digits: int) -> str:
+    """Rounds the exact binary value, halves to the even digit."""
+    return ", ".join(f"format('{{:.{digits}f}}', {c}::double)::double as {c}" for c in columns)
+
+
 ORACLES: dict[str, str] = {
     "verify_shape": " union all ".join(
         f"select '{t}' as name, 10000::bigint as expected_rows, count(*) as rows, {c} as expected_cols,"
@@ -435,6 +442,8 @@ conn as (select row_number() over (order by last_us, flow_seq) - 1 as seq, last_
 {_PAIR_CTES.format(source='conn')} select seq, duration, protocol_type, service, flag, src_bytes, dst_bytes,
   land, wrong_fragment, urgent, {', '.join(f'0 as {c}' for c in CONTENT_FEATURES)}, {_RATES} from f join conn using (seq)""",
     "source_windows": f"with {CONN}, {WINDOWS} select {_WINDOW_COLUMNS} from win",
+    "source_windows_rounded": f"""with {CONN}, {WINDOWS} select {_WINDOW_COLUMNS} from (select * replace (
+  {_rounded(['failed_ratio', 'ports_per_host'], 4)}, {_rounded(['mean_bytes'], 2)}) from win)""",
     "closed_windows": f"with {CONN}, {WINDOWS} select {_WINDOW_COLUMNS} from win where window_start_us + 60000000 <= 1200000000",
     "open_windows": f"with {CONN}, {WINDOWS} select count(*) as open_windows from win where window_start_us + 60000000 > 1200000000",
     "onehot_long": f"""with {_FEATURES}, seen as (select distinct unnest(['l_returnflag=' || l_returnflag, 'l_linestatus=' || l_linestatus]) as item
@@ -514,3 +523,7 @@ select count(*) as count, count(*) filter (is_anomaly) as anomalies from v""",
   count(*) filter (window_start_us + 60000000 <= 1200000000) as baseline_windows_captured,
   count(*) filter (window_start_us + 60000000 > 1200000000) as windows_open from win""",
 }
+
+ORACLES["conn_features41_rounded"] = (
+    f"select * replace ({_rounded([c for c in CONNECTION_FEATURES if c.endswith('_rate')], 2)}) from ({ORACLES['conn_features41']})"
+)

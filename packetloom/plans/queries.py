@@ -340,6 +340,12 @@ def conn_features41(spark, sf):
     return rolling.connection_features(connection_view(spark, sf), digits=None)
 
 
+@query
+def conn_features41_rounded(spark, sf):
+    """As a sensor sends them: rates of two places."""
+    return rolling.connection_features(connection_view(spark, sf))
+
+
 @query
 def packet_features41(spark, sf):
     """Packets all the way to the 41 features."""
@@ -360,6 +366,11 @@ def source_windows(spark, sf):
     return window_rows(spark, sf).select("src_ip", "window_start_us", *WINDOW_FEATURES)
 
 
+@query
+def source_windows_rounded(spark, sf):
+    return window_rows(spark, sf, digits=True).select("src_ip", "window_start_us", *WINDOW_FEATURES)
+
+
 @query
 def closed_windows(spark, sf):
     rows = windows.closed_windows(window_rows(spark, sf), NOW_US)
