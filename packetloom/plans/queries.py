@@ -451,17 +451,17 @@ def nb_predict(spark, sf):
 
 @query
 def dt_predict(spark, sf):
-    return _fit_predict(spark, sf, "dt", "multiclass", depth=10)
+    return _fit_predict(spark, sf, "dt", "multiclass")
 
 
 @query
 def rf_predict(spark, sf):
-    return _fit_predict(spark, sf, "rf", "multiclass", trees=20, depth=8)
+    return _fit_predict(spark, sf, "rf", "multiclass")
 
 
 @query
 def gbt_predict(spark, sf):
-    return _fit_predict(spark, sf, "gbt", "binary", rounds=5, boost_depth=3)
+    return _fit_predict(spark, sf, "gbt", "binary", rounds=20)
 
 
 def labelled_features(spark, sf) -> DataFrame:
@@ -483,7 +483,7 @@ def predict_batch(spark, sf):
     rows = labelled_features(spark, sf)
     encoder = encode.connection_encoder().fit(rows)
     target = models.labelled(rows, "nsl", "multiclass")
-    fitted = models.make_classifier("dt", "multiclass", depth=8).fit(encoder.transform(target))
+    fitted = models.make_classifier("dt", "multiclass").fit(encoder.transform(target))
     return models.predict(rows.select("seq", *CONNECTION_FEATURES), encoder, fitted, "nsl", "multiclass").select(
         "seq", "prediction", "label", "is_attack"
     )
@@ -491,7 +491,7 @@ def predict_batch(spark, sf):
 
 @query
 def kmeans_sweep(spark, sf):
-    sweep, _, _ = clusters.kmeans_sweep(vector_rows(spark, sf), "vec_id", restarts=1, refit=False)
+    sweep, _, _ = clusters.kmeans_sweep(vector_rows(spark, sf), "vec_id", restarts=2)
     return sweep
 
 
