@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from packetloom.session import materialize
 
 MAX_GROUP_ROWS = 5_000_000
-MAX_BLOCKS_PER_KEY = 10_000
 # Rows of a written table (some 100 bytes each) that may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -44,7 +43,7 @@ def split_hot_keys(
     if not size["keys"]:
         return df.withColumn("block", F.lit(0)), None
     counts = materialize(counts, "hot-keys")
-    parts = min(MAX_BLOCKS_PER_KEY, math.ceil(size["largest"] / max_rows) + 1)
+    parts = math.ceil(size["largest"] / max_rows) + 1
     cuts = [i / parts for i in range(1, parts)]
     hot_rows = df.select(*keys, order).join(small_side(counts).select(*keys), keys)
     hot = materialize(
