@@ -5,22 +5,23 @@ the lexicon: each of ``FAMILIES`` random families halves the lexicon again and a
 terms in the smallest lexicon of the family that still holds one of them.  Two texts agree in a family when these
 terms are the same, so the share of agreeing families (``likeness``) follows the overlap of their terms.
 
-Document frequencies are counted over all texts by a sketch of fixed size (see ``sketch``).
+Document frequencies are exact: one row per distinct term, summed on the map side and then by term.  Texts meet them
+in a join on the term, so the band means the same at every size.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm import words as W
-from packetloom.llm.sketch import Frequencies, document_frequencies
 from packetloom.operators.layout import cuts_below
 
 # The band, as ln(documents / frequency) over ln(documents).
@@ -28,19 +29,52 @@ LOW, HIGH = 0.2, 0.98
 FAMILIES = 32
 _SEEDS = W.mix(np.arange(1, FAMILIES + 1, dtype=np.uint64))
 _HEAD, _PART = 16, 5
+# Terms of a bucket that are held before they are handed on, and rows of a batch of them.
+_HELD, _ROWS = 1 << 22, 1 << 17
+
+
+@dataclass(frozen=True)
+class Frequencies:
+    table: DataFrame  # term, n: the number of documents with each term
+    documents: int
 
 
 def frequencies(df: DataFrame, text: str = "text") -> Frequencies:
-    return document_frequencies(df, text, lambda hashes: hashes)
+    """How many rows hold each term, exactly; null texts count as documents without terms."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.chunks(batches, text):
+            found = W.words_of(batch.column(0))
+            each = [np.unique(found.hashes[a:b]) for a, b in zip(found.first[:-1], found.first[1:])]
+            terms, n = np.unique(np.concatenate(each), return_counts=True)
+            yield from _slices([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    counts = df.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return Frequencies(counts, df.count())
+
+
+def _slices(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    for begin in range(0, whole.num_rows, _ROWS):
+        yield whole.slice(begin, _ROWS)
 
 
-def band_terms(hashes: np.ndarray, known: Frequencies, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """The sorted distinct terms within the band; all of them where the band holds none."""
+def outside(n: Column, documents: int, low: float = LOW, high: float = HIGH) -> Column:
+    """Whether a term of so many documents (null: of none, which counts as one) lies outside the band."""
+    if documents < 2:
+        return F.lit(False)
+    n = F.least(F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)), F.lit(documents))
+    rarity = F.log(F.lit(float(documents)) / n) / F.log(F.lit(float(documents)))
+    return (rarity < low) | (rarity > high)
+
+
+def band_terms(hashes: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+    """The sorted distinct terms that are not in ``left_out`` (ascending); all of them where none is left."""
     terms = np.unique(hashes)
-    if len(terms) == 0 or known.documents < 2:
+    if len(terms) == 0 or len(left_out) == 0:
         return terms
-    rarity = np.log(known.documents / known.of(terms)) / np.log(known.documents)
-    kept = terms[(rarity >= low) & (rarity <= high)]
+    at = np.minimum(np.searchsorted(left_out, terms), len(left_out) - 1)
+    kept = terms[left_out[at] != terms]
     return kept if len(kept) else terms
 
 
@@ -75,28 +109,48 @@ def likeness(a: str, b: str) -> float:
     return same / FAMILIES
 
 
-def fingerprints_of(texts: list[str], known: Frequencies) -> list[str]:
+def fingerprints_of(texts: list[str], left_out: np.ndarray) -> list[str]:
     found = W.words_of(texts)
     return [
-        fingerprint(band_terms(found.hashes[found.first[i] : found.first[i + 1]], known), text) for i, text in enumerate(texts)
+        fingerprint(band_terms(found.hashes[found.first[i] : found.first[i + 1]], left_out), text) for i, text in enumerate(texts)
     ]
 
 
 def fingerprints(df: DataFrame, known: Frequencies, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """All rows and columns with the fingerprint of the text (null: of the empty text); replaces such a column."""
+    """All rows and columns with the fingerprint of the text (null: of the empty text); replaces such a column.
+
+    Each distinct text meets the counts of its terms once, whatever the number of its copies.
+    """
     df = df.drop(out)
-    at, names = df.columns.index(text), [*df.columns, out]
+    key = lambda c: F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
+    texts = df.select(key(df[text]).alias("__key"), F.coalesce(df[text], F.lit("")).alias("text")).dropDuplicates(["__key"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.chunks(batches, "text"):
+            found = W.words_of(batch.column(1))
+            each = [np.unique(found.hashes[a:b]) for a, b in zip(found.first[:-1], found.first[1:])]
+            of = pa.array(np.repeat(np.arange(len(each)), [len(t) for t in each]))
+            yield from _slices([batch.column(0).take(of), pa.array(np.concatenate(each).view(np.int64))], ["__key", "term"])
+
+    terms = texts.mapInArrow(split, "__key binary, term long").join(known.table, "term", "left")
+    listed = terms.where(outside(F.col("n"), known.documents)).groupBy("__key").agg(F.collect_list("term").alias("left_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.chunks(batches, text):
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprints_of(texts, known), pa.string())], names)
+        for batch in W.chunks(batches, "text"):
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            prints = [fingerprints_of([t], np.sort(np.array(left or [], np.int64).view(np.uint64)))[0] for t, left in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["__key", out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    kind = T.StructType([T.StructField("__key", T.BinaryType()), T.StructField(out, T.StringType())])
+    prints = texts.join(listed, "__key", "left").select("__key", "text", "left_out").mapInArrow(run, kind)
+    return df.withColumn("__key", key(df[text])).join(prints, "__key").select(*df.columns, out)
 
 
 def in_order(df: DataFrame, id_column: str, text: str, buckets: int) -> DataFrame:
-    """(bucket, borrowed, id, text): each bucket's rows stand in order in one partition, followed by the row after them.
+    """(bucket, borrowed, id, text): each bucket's rows are in one partition, with the row after them.
+
+    Sorted by all columns, a bucket opens with a row without values but its number, then come its rows in order, then
+    the row after them.
 
     Buckets are ranges of ids cut at quantiles.  The first row of a bucket is also lent to the bucket before, the
     first of all to the last, so every row finds its successor in its own partition and texts move once.  Order is
@@ -119,7 +173,8 @@ def in_order(df: DataFrame, id_column: str, text: str, buckets: int) -> DataFram
     loan = F.struct(F.col("target").alias("bucket"), F.lit(True).alias("borrowed"))
     goes = F.when(F.col("id").eqNullSafe(F.col("low")), F.array(own, loan)).otherwise(F.array(own))
     placed = rows.select(F.explode(goes).alias("g"), "id", "text").select("g.bucket", "g.borrowed", "id", "text")
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "borrowed", "id", "text")
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("borrowed", "boolean"), ("id", "long"), ("text", "string"))]
+    return placed.unionByName(lent.select(F.col("b").alias("bucket"), *nothing)).repartition("bucket")
 
 
 def compare_with_next(df: DataFrame, known: Frequencies, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -128,19 +183,36 @@ def compare_with_next(df: DataFrame, known: Frequencies, id_column: str = "doc_i
     The edited form keeps all but the last floor(n / 2) code points and goes on with as many of the next text (fewer
     if it is shorter).  Gives id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for
     every row, repeated ones too.  ``buckets`` (default: 4 for each shuffle partition, 4096 at most) sets how many
-    ranges the texts are sorted in; a range is sorted on disk and streamed, so memory does not depend on it.
+    ranges the texts are sorted in; a range is sorted on disk and streamed.  Only the distinct terms of a range that lie
+    outside the band are held in memory, 8 bytes each.
+
+    The texts are read twice from one exchange: first for the terms of each range, also those that an edit makes by
+    cutting words, whose counts are then looked up by a join; then for the fingerprints.
     """
     if buckets is None:
         buckets = min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = in_order(df, id_column, text, buckets)
+    placed = in_order(df, id_column, text, buckets)
+    order = ["bucket", "borrowed", "id", "text"]
+
+    terms = placed.sortWithinPartitions(*order).mapInArrow(_bucket_terms, "bucket int, term long")
+    # Each term comes once for a bucket, hot ones too.
+    rows = terms.join(known.table, "term", "left").where(outside(F.col("n"), known.documents))
+    lists = rows.groupBy(F.col("bucket").alias("of")).agg(F.collect_list("term").alias("left_out"))
+    ordered = placed.join(lists, (F.col("bucket") == F.col("of")) & F.col("borrowed").isNull(), "left")
+    ordered = ordered.select(*order, "left_out").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows whose successor is not known yet, at most the last of a batch
-        for batch in W.chunks(batches, "text"):
-            held += zip(*(c.to_pylist() for c in batch.columns))
-            if len(held) > 1:
-                yield _compared(held, known)
-                held = held[-1:]
+        bucket, left_out = None, np.zeros(0, np.uint64)
+        for held in _neighbours(batches):
+            begin = 0
+            for i, row in enumerate(held):
+                if row[1] is None:
+                    yield _compared(held[begin:i], left_out)
+                    bucket, begin = row[0], i + 1
+                    left_out = np.unique(np.array(row[4] or [], np.int64).view(np.uint64))
+                elif row[0] != bucket:
+                    raise RuntimeError("a bucket's rows are not in one partition or not in order")
+            yield _compared(held[begin:], left_out)
 
     out = ordered.mapInArrow(
         run,
@@ -150,13 +222,54 @@ def compare_with_next(df: DataFrame, known: Frequencies, id_column: str = "doc_i
     return out.withColumnRenamed("doc_id", id_column)
 
 
-def _compared(rows: list[tuple], known: Frequencies) -> pa.RecordBatch:
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows in runs; each begins with the last row of the run before, whose successor was not known there."""
+    held: list[tuple] = []
+    for batch in W.chunks(batches, "text"):
+        held += zip(*(c.to_pylist() for c in batch.columns))
+        if len(held) > 1:
+            yield held
+            held = held[-1:]
+
+
+def _edits(rows: list[tuple]) -> tuple[list[int], list[str]]:
+    """Places of the rows that are their bucket's own and have their successor behind them, and their edited texts."""
+    pairs = [i for i in range(len(rows) - 1) if rows[i][1] is False and rows[i][0] == rows[i + 1][0]]
+    texts = [(rows[i][3], rows[i + 1][3]) for i in pairs]
+    return pairs, [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in texts]
+
+
+def _bucket_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, term): the distinct terms of a bucket's texts, of the row after them and of the edited texts.
+
+    A bucket with more than ``_HELD`` of them may repeat some.
+    """
+    bucket, terms = None, np.zeros(0, np.uint64)
+
+    def given() -> Iterator[pa.RecordBatch]:
+        return _slices([pa.array(np.full(len(terms), bucket, np.int32)), pa.array(terms.view(np.int64))], ["bucket", "term"])
+
+    for rows in _neighbours(batches):
+        pairs, edited = _edits(rows)
+        of = np.array([r[0] for r in rows] + [rows[i][0] for i in pairs])
+        found = W.words_of([r[3] or "" for r in rows] + edited)
+        of = np.repeat(of, np.diff(found.first))
+        for b in np.unique(of):
+            if b != bucket or len(terms) > _HELD:
+                if len(terms):
+                    yield from given()
+                bucket, terms = int(b), np.zeros(0, np.uint64)
+            terms = np.union1d(terms, found.hashes[of == b])
+    if len(terms):
+        yield from given()
+
+
+def _compared(rows: list[tuple], left_out: np.ndarray) -> pa.RecordBatch:
     """Results of each row that is its bucket's own and has its successor behind it."""
+    pairs, edited = _edits(rows)
     texts = [r[3] for r in rows]
-    prints = fingerprints_of(texts, known)
-    pairs = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
-    edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in pairs]
-    changed = fingerprints_of(edited, known)
+    prints = fingerprints_of(texts, left_out)
+    changed = fingerprints_of(edited, left_out)
     columns = [
         pa.array([rows[i][2] for i in pairs], pa.int64()),
         pa.array([len(texts[i]) for i in pairs], pa.int64()),

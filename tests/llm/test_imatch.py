@@ -93,3 +93,49 @@ def test_frequencies_are_exact_on_few_terms(spark):
     assert found.documents == 5
     hashes = words.words_of(["a b c"]).hashes
     assert np.allclose(found.of(hashes), [sum(w in plain(t) for t in texts) for w in "abc"], atol=0.01)
+
+
+def exact_fingerprint(text, documents):
+    """By sets of terms of every document; a term of no document counts as one of a single document."""
+    terms = np.unique(words.words_of([text]).hashes)
+    n = np.array([max(1, sum(t in d for d in documents)) for t in terms.tolist()])
+    rarity = np.log(len(documents) / n) / np.log(len(documents))
+    kept = terms[(rarity >= imatch.LOW) & (rarity <= imatch.HIGH)]
+    return imatch.fingerprint(kept if len(kept) else terms, text)
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_band_by_exact_counts(spark, buckets):
+    """Words of two documents stay in the band, however many different words there are."""
+    docs = []
+    for i in range(240):
+        rare = " ".join(f"r{i // 2}x{j}" for j in range(1200))
+        docs.append((i, f"the of {rare} m{i % 6} only{i} r{i // 2} " + "ab" * (i % 3)))
+    df = frame(spark, docs).repartition(3)
+    known = imatch.frequencies(df)
+    out = sorted(imatch.compare_with_next(df, known, buckets=buckets).collect(), key=lambda r: r.doc_id)
+    documents = [set(words.words_of([t]).hashes.tolist()) for _, t in docs]
+    for i in range(0, len(docs), 37):
+        text, following = docs[i][1], docs[(i + 1) % len(docs)][1]
+        half = len(text) // 2
+        assert out[i].fingerprint == exact_fingerprint(text, documents)
+        assert out[i].edited_fingerprint == exact_fingerprint(text[: len(text) - half] + following[:half], documents)
+
+
+def test_words_cut_by_an_edit_are_counted(spark):
+    """'the|rest' is cut to 'the', a word of two other documents; a cut that is no word is as rare as can be."""
+    docs = [(1, "aa bb therest qqqqq"), (2, "xx yy zz"), (3, "the xx aa"), (4, "the yy aa"), (5, "zz bb")]
+    df = frame(spark, docs)
+    documents = [set(words.words_of([t]).hashes.tolist()) for _, t in docs]
+    out = {r.doc_id: r for r in imatch.compare_with_next(df, imatch.frequencies(df)).collect()}
+    for (i, text), (_, following) in zip(docs, docs[1:] + docs[:1]):
+        half = len(text) // 2
+        assert out[i].edited_fingerprint == exact_fingerprint(text[: len(text) - half] + following[:half], documents)
+
+
+def test_fingerprints_of_rows(spark):
+    df = frame(spark, DOCS).repartition(3)
+    known = imatch.frequencies(df)
+    want = {r.fingerprint for r in imatch.compare_with_next(df, known).collect()}
+    rows = imatch.fingerprints(df, known).collect()
+    assert len(rows) == len(DOCS) and {r.fingerprint for r in rows} == want
