@@ -150,17 +150,20 @@ def spans(found: DataFrame, templates: list[Template], cover: float = COVER) ->
             F.first("size").alias("size"),
         )
     )
-    order = Window.partitionBy("key", "template").orderBy("start", "diagonal")
-    far = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > BAND) | (
-        F.col("start") - F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) > GAP
-    )
     whole = F.lit(False)
     for i, t in enumerate(templates):
         if t.whole:
             whole = whole | (F.col("template") == i)
     votes = votes.withColumn("whole", whole)
-    votes = votes.withColumn("run", F.sum(F.when(F.coalesce(far, F.lit(True)) | F.col("whole"), 1).otherwise(0)).over(order))
-    merged = votes.groupBy("key", "template", "run").agg(
+    # First by closeness of diagonals, so that a stray vote cannot part the diagonals around it; then by word gaps.
+    across = Window.partitionBy("key", "template").orderBy("diagonal")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(across) > BAND, F.lit(True)) | F.col("whole")
+    votes = votes.withColumn("far", far).withColumn("near", F.sum(F.when(F.col("far"), 1).otherwise(0)).over(across))
+    along = Window.partitionBy("key", "template", "near").orderBy("start", "diagonal")
+    gap = F.col("start") - F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) > GAP
+    votes = votes.withColumn("gap", F.coalesce(gap, F.lit(True)))
+    votes = votes.withColumn("run", F.sum(F.when(F.col("gap"), 1).otherwise(0)).over(along))
+    merged = votes.groupBy("key", "template", "near", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),

@@ -65,5 +65,15 @@ def test_real_tables_equal_a_plain_scan(spark, small):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_scan(d.text)
 
 
+def test_a_repeated_gram_does_not_part_a_text(spark):
+    """Some 3-grams of bsd-text occur twice in it; their stray votes lie between the true diagonals."""
+    w = licenses.TEXTS["bsd-text"].split()
+    put_in = lambda *places: " ".join(x for i, v in enumerate(w) for x in (["extra"] * (i in places) + [v]))
+    places = [(32, 50), (30, 48), (29, 33, 51), (10, 47)]
+    docs = spark.createDataFrame([(i, put_in(*p)) for i, p in enumerate(places)], "doc_id long, text string")
+    for r in licenses.scan(docs).collect():
+        assert "bsd-text" in r.labels and r.score > 0.8
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
