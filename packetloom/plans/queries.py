@@ -461,7 +461,7 @@ def rf_predict(spark, sf):
 
 @query
 def gbt_predict(spark, sf):
-    return _fit_predict(spark, sf, "gbt", "binary", rounds=20)
+    return _fit_predict(spark, sf, "gbt", "binary")
 
 
 def labelled_features(spark, sf) -> DataFrame:
@@ -491,7 +491,7 @@ def predict_batch(spark, sf):
 
 @query
 def kmeans_sweep(spark, sf):
-    sweep, _, _ = clusters.kmeans_sweep(vector_rows(spark, sf), "vec_id", restarts=2)
+    sweep, _, _ = clusters.kmeans_sweep(vector_rows(spark, sf), "vec_id")
     return sweep
 
 
