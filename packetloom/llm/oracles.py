@@ -73,3 +73,56 @@ select doc_id, n_words, count(*) filter (where whole) as n_base, min(a) filter (
   coalesce(string_agg(distinct label, ',' order by label) filter (where whole), '') as base_labels,
   coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(coverage), 0.0)::double as score
 from named group by rid, doc_id, n_words"""
+
+# Levels of each source's tree and of the tree over their roots as lists; a document climbs them one at a time.
+# crc32 by its bitwise rule over the digits of the id.
+MERKLE = r"""
+with recursive docs as (
+  select doc_id, source, text,
+    array_to_string(list_transform([cast(doc_id as varchar), source, lang, cast(n_chars as varchar)],
+      lambda x: case when x is null then '-' else strlen(x) || ':' || x end), '') as head,
+    list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(8 * length(cast(doc_id as varchar))),
+        lambda i: case when i % 8 = 0 then cast(256 + ascii(substr(cast(doc_id as varchar), cast(i // 8 + 1 as int), 1)) as bigint) else 0 end)),
+      lambda c, x: case when (xor(c, x % 256) & 1) = 1 then xor(xor(c, x % 256) >> 1, 3988292384) else xor(c, x % 256) >> 1 end) as crc
+  from documents),
+hashed as (
+  select *, sha256(head || case when text is null then '-' else strlen(text) || ':' || text end) as leaf,
+    sha256(head || case when text is null then '-'
+      else strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') end) as cut
+  from docs),
+placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos from hashed),
+low as (
+  select source, 0 as level, list(leaf order by pos) as nodes from placed group by source
+  union all
+  select source, level + 1, list_transform(range(0, cast((len(nodes) + 2) // 3 as bigint)),
+    lambda i: sha256(array_to_string(nodes[i * 3 + 1 : i * 3 + 3], ''))) from low where len(nodes) > 1),
+subroots as (
+  select source, nodes[1] as subroot, row_number() over (order by source nulls first) - 1 as place
+  from low where len(nodes) = 1),
+high as (
+  select 0 as level, list(subroot order by place) as nodes from subroots
+  union all
+  select level + 1, list_transform(range(0, cast((len(nodes) + 2) // 3 as bigint)),
+    lambda i: sha256(array_to_string(nodes[i * 3 + 1 : i * 3 + 3], ''))) from high where len(nodes) > 1),
+climb as (
+  select p.doc_id, p.leaf, s.source, s.subroot, s.place, 0 as level, p.pos as own, '' as proof,
+    case when ((4294967295 - crc) & 1) = 0 then cut else leaf end as folded
+  from placed p join subroots s on p.source is not distinct from s.source
+  union all
+  select doc_id, leaf, c.source, subroot, place, c.level + 1, own // 3,
+    proof || array_to_string(nodes[(own // 3) * 3 + 1 : own], '') || array_to_string(nodes[own + 2 : (own // 3) * 3 + 3], ''),
+    sha256(array_to_string(nodes[(own // 3) * 3 + 1 : own], '') || folded || array_to_string(nodes[own + 2 : (own // 3) * 3 + 3], ''))
+  from climb c join low l on l.source is not distinct from c.source and l.level = c.level and len(l.nodes) > 1),
+above as (
+  select doc_id, leaf, subroot, 0 as level, place as own, proof, folded from climb c
+  where level = (select max(level) from low l where l.source is not distinct from c.source)
+  union all
+  select doc_id, leaf, subroot, a.level + 1, own // 3,
+    proof || array_to_string(nodes[(own // 3) * 3 + 1 : own], '') || array_to_string(nodes[own + 2 : (own // 3) * 3 + 3], ''),
+    sha256(array_to_string(nodes[(own // 3) * 3 + 1 : own], '') || folded || array_to_string(nodes[own + 2 : (own // 3) * 3 + 3], ''))
+  from above a join high h on h.level = a.level and len(h.nodes) > 1)
+select doc_id, leaf, subroot, (select nodes[1] from high where len(nodes) = 1) as root, sha256(proof) as proof_sha256,
+  folded as folded_root, folded = (select nodes[1] from high where len(nodes) = 1) as verified
+from above where level = (select max(level) from high)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, decontam, imatch, licenses, minhash, oracles, packing, quality, secrets, sharding, toxicity
+from packetloom.llm import chat, decontam, imatch, licenses, merkle, minhash, oracles, packing, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,27 @@ def op4_toxicity(spark, sf):
     model = toxicity.fit(docs, table(spark, sf, "labels").where(~held))
     out = toxicity.score(docs.withColumn("held_out", held), model)
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+    whole = merkle.digest(*fields, merkle.field(F.col("text")))
+    cut = merkle.digest(*fields, merkle.field(F.replace("text", F.lit("\n"), F.lit(""))))
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    docs = docs.withColumn("leaf", whole).withColumn("shown", F.when(chosen, cut).otherwise(F.col("leaf")))
+    made = merkle.build(docs, F.col("leaf"), F.col("source"), F.col("doc_id"), ["doc_id", "shown"])
+    out = merkle.prove(made).withColumn("folded_root", merkle.fold(F.col("shown"), F.col("proof")))
+    return out.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+ORACLES["op13_merkle_manifest"] = oracles.MERKLE
