@@ -126,3 +126,46 @@ select doc_id, leaf, subroot, (select nodes[1] from high where len(nodes) = 1) a
   folded as folded_root, folded = (select nodes[1] from high where len(nodes) = 1) as verified
 from above where level = (select max(level) from high)
 """
+
+NEGATIVES = r"""
+with sound as (
+  select vec_id, embedding, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (
+  select vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) as j from sound),
+whole as (select vec_id, label, j, cast(floor(256 * cast(x as double)) as bigint) as x from parts),
+scores as (
+  select a.vec_id as anchor, b.vec_id as id, a.label = b.label as same, cast(sum(a.x * b.x) as bigint) as score
+  from whole a join whole b on a.j = b.j and a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+  group by all),
+positives as (
+  select anchor, id, score from scores where same
+  qualify row_number() over (partition by anchor order by score desc, id) <= 5),
+found as (
+  select p.anchor as anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.anchor, p.id order by n.score desc, n.id) as rank
+  from positives p join scores n on n.anchor = p.anchor and not n.same
+    and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from found where rank <= 10
+"""
+
+SUBSTRINGS = r"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') as words from documents),
+starts as (
+  select doc_id, words, unnest(range(1, cast(len(words) - 48 as bigint))) as i from docs where len(words) >= 50),
+windows as (
+  select doc_id, i, sha256(array_to_string(words[i : i + 49], ' ')) as w from starts),
+later as (
+  select doc_id, i from windows
+  qualify doc_id > min(doc_id) over (partition by w)),
+gone as (
+  select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) as p from later)),
+marks as (
+  select doc_id, list(p) as places from gone group by doc_id)
+select d.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(places), 0) as bigint) as n_removed,
+  sha256(coalesce(array_to_string(list_filter(words, lambda x, i: not list_contains(coalesce(places, []), i)), ' '), '')) as kept_sha256
+from docs d left join marks m on m.doc_id = d.doc_id
+"""

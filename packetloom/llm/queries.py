@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, decontam, imatch, licenses, merkle, minhash, oracles, packing, quality, secrets, sharding, toxicity
+from packetloom.llm import chat, decontam, imatch, licenses, merkle, minhash, negatives, oracles, packing, quality, secrets, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +173,21 @@ def op13_merkle_manifest(spark, sf):
 
 
 ORACLES["op13_merkle_manifest"] = oracles.MERKLE
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, label=noisy)
+
+
+ORACLES["op12_hard_negatives"] = oracles.NEGATIVES
+
+
+@query
+def op11_substring_dedup(spark, sf):
+    out = substring.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op11_substring_dedup"] = oracles.SUBSTRINGS
