@@ -2,29 +2,166 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators.layout import small_side
 from packetloom.operators.sampling import SEED, fixed_sample
+from packetloom.operators.trees import as_array
 from packetloom.session import materialize
 
 # Range of k, restarts, sample size.
 K_RANGE = range(2, 11)
 RESTARTS = 10
 SAMPLE_ROWS = 10_000
+MAX_ITERATIONS, TOLERANCE = 300, 1e-4
+# Rows from which starting centers are drawn; they come to the driver.
+START_ROWS = 10_000
 # Points of one side of a block pair.
 BLOCK_ROWS = 2048
 
 
-def fit_kmeans(df: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, max_iter: int = 20) -> KMeansModel:
-    """Best of ``restarts`` runs by inertia."""
-    fits = (KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="vector").fit(df) for i in range(restarts))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+@dataclass(frozen=True)
+class ClusterModel:
+    """Fitted centers and the inertia of the rows they were fitted on."""
+
+    centers: np.ndarray
+    inertia: float
+    iterations: int = 0
+    vector: str = "vector"
+
+    def getK(self) -> int:  # noqa: N802  like the library's other fitted models
+        return len(self.centers)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction``: the nearest center, of equally near ones the first."""
+        centers = self.centers
+
+        @F.pandas_udf("int")
+        def place(values: pd.Series) -> pd.Series:
+            if len(values) == 0:
+                return pd.Series([], dtype="int32")
+            return pd.Series(_squares(np.stack(values.to_numpy()), centers).argmin(1).astype(np.int32))
+
+        return df.withColumn("prediction", place(as_array(df, self.vector)))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, [float(v) for v in c], float(self.inertia)) for i, c in enumerate(self.centers)]
+        spark.createDataFrame(rows, "cluster int, center array<double>, inertia double").coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ClusterModel:
+        rows = spark.read.schema("cluster int, center array<double>, inertia double").json(path).orderBy("cluster").collect()
+        return cls(np.array([r["center"] for r in rows]), rows[0]["inertia"])
+
+
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all centers."""
+    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ centers.T + (centers**2).sum(1), 0)
+
+
+def spread_starts(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starting centers: each further one is drawn by its squared distance to the nearest so far (k-means++)."""
+    chosen = [int(rng.integers(len(points)))]
+    nearest = ((points - points[chosen[0]]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = nearest.sum()
+        share = nearest / total if total > 0 else None
+        chosen.append(int(rng.choice(len(points), p=share)))
+        nearest = np.minimum(nearest, ((points - points[chosen[-1]]) ** 2).sum(1))
+    return points[chosen]
+
+
+def fit_many(df: DataFrame, starts: list[np.ndarray], vector: str = "vector", max_iter: int = MAX_ITERATIONS, tolerance: float = TOLERANCE) -> list[ClusterModel]:
+    """Lloyd's iterations from each of the ``starts`` at once: one scan of ``df`` for each iteration, whatever their number.
+
+    A set of centers whose shift falls to ``tolerance`` times the mean variance of the features (or 0) is frozen and
+    takes no more part; a last scan gives the inertia of all final centers.  A center that loses all rows stays.
+    What comes to the driver in an iteration is one row for each center.
+    """
+    rows = df.select(as_array(df, vector).alias("x"))
+    width = starts[0].shape[1]
+    variances = rows.agg(*[F.var_pop(F.col("x")[i]) for i in range(width)]).first()
+    least = tolerance * float(np.mean([v or 0.0 for v in variances]))
+    centers = [np.array(s, float) for s in starts]
+    active, rounds = list(range(len(centers))), [0] * len(centers)
+    for _ in range(max_iter):
+        if not active:
+            break
+        still = []
+        for index, (sums, counts, _) in _assigned(rows, centers, active).items():
+            new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers[index])
+            shift = ((new - centers[index]) ** 2).sum()
+            centers[index], rounds[index] = new, rounds[index] + 1
+            if shift > least:
+                still.append(index)
+        active = still
+    last = _assigned(rows, centers, list(range(len(centers))))
+    return [ClusterModel(c, last[i][2], rounds[i], vector) for i, c in enumerate(centers)]
+
+
+def _assigned(rows: DataFrame, centers: list[np.ndarray], active: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Of each active set: the sum of rows and their number by center, and the inertia."""
+    width = centers[0].shape[1]
+    sets = {i: centers[i] for i in active}
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {i: np.zeros((len(c), width + 2)) for i, c in sets.items()}
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(batch.num_rows, -1)
+            if len(x) == 0:
+                continue
+            every = _squares(x, np.concatenate(list(sets.values())))  # one product for the centers of all sets
+            begin = 0
+            for i, c in sets.items():
+                own = every[:, begin : begin + len(c)]
+                begin += len(c)
+                place = own.argmin(1)
+                member = np.zeros((len(x), len(c)))
+                member[np.arange(len(x)), place] = 1
+                sums[i][:, :width] += member.T @ x
+                sums[i][:, width] += member.sum(0)
+                sums[i][:, width + 1] += np.bincount(place, own[np.arange(len(x)), place], len(c))
+        ids = [(i, k) for i, c in sets.items() for k in range(len(c))]
+        values = np.concatenate(list(sums.values()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in ids], pa.int32()), pa.array([k for _, k in ids], pa.int32()), pa.array(list(values), pa.list_(pa.float64()))],
+            ["set", "center", "values"],
+        )
+
+    parts = rows.mapInArrow(assign, "set int, center int, values array<double>")
+    merged = parts.groupBy("set", "center").agg(F.array(*[F.sum(F.col("values")[i]) for i in range(width + 2)]).alias("values"))
+    found = {i: np.zeros((len(c), width + 2)) for i, c in sets.items()}
+    for row in merged.collect():  # one row for each center
+        found[row["set"]][row["center"]] = row["values"]
+    return {i: (v[:, :width], v[:, width], float(v[:, width + 1].sum())) for i, v in found.items()}
+
+
+def fit_kmeans(df: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, max_iter: int = MAX_ITERATIONS, vector: str = "vector") -> ClusterModel:
+    """Best of ``restarts`` runs by inertia; all runs share their scans."""
+    return fit_sweep(df, [k], restarts, seed, max_iter, vector)[k]
+
+
+def fit_sweep(
+    df: DataFrame, ks: Iterable[int], restarts: int = RESTARTS, seed: int = SEED, max_iter: int = MAX_ITERATIONS, vector: str = "vector"
+) -> dict[int, ClusterModel]:
+    """The best run for each k.  Starting centers are drawn from at most ``START_ROWS`` rows, picked by hash."""
+    hashed = df.select(as_array(df, vector).alias("x")).withColumn("h", F.xxhash64("x"))
+    points = np.array([r["x"] for r in hashed.orderBy("h", "x").limit(START_ROWS).collect()])
+    jobs = [(k, r) for k in ks for r in range(restarts)]
+    starts = [spread_starts(points, k, np.random.default_rng((seed, k, r))) for k, r in jobs]
+    best: dict[int, ClusterModel] = {}
+    for (k, _), model in zip(jobs, fit_many(df, starts, vector, max_iter)):
+        if k not in best or model.inertia < best[k].inertia:
+            best[k] = model
+    return best
 
 
 def kmeans_sweep(
@@ -34,28 +171,83 @@ def kmeans_sweep(
     restarts: int = RESTARTS,
     sample_rows: int = SAMPLE_ROWS,
     refit: bool = True,
-) -> tuple[DataFrame, int, KMeansModel | None]:
+) -> tuple[DataFrame, int, ClusterModel | None]:
     """Sweep ``ks`` on a sample: (k, inertia, silhouette) rows, best k by silhouette, model on all rows.
 
     The sample is the operator's own definition (at most ``sample_rows`` rows);
     the winning k is fitted again on everything.
     """
     spark = df.sparkSession
-    sample = materialize(fixed_sample(df.select(key, "vector"), sample_rows, key), "kmeans-sample").cache()
-    rows = []
-    for k in ks:
-        model = fit_kmeans(sample, k, restarts)
-        placed = model.transform(sample).select(
-            key, vector_to_array("vector").alias("point"), F.col("prediction").alias("cluster")
-        )
-        score = silhouette(placed, key)
-        rows.append((k, float(model.summary.trainingCost), score))
-    sample.unpersist()
+    sample = materialize(fixed_sample(df.select(key, "vector"), sample_rows, key), "kmeans-sample")
+    fitted = fit_sweep(sample, ks, restarts)
+    scores = silhouettes(sample, key, fitted)
+    rows = [(k, float(fitted[k].inertia), scores[k]) for k in ks]
     best = max(rows, key=lambda r: r[2])[0]
     final = fit_kmeans(df.select("vector"), best, restarts) if refit else None
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double"), best, final
 
 
+def silhouettes(df: DataFrame, key: str, fitted: dict[int, ClusterModel], block_rows: int = BLOCK_ROWS) -> dict[int, float]:
+    """Mean Euclidean silhouette of each fit; the distances of a pair of blocks serve all of them.
+
+    Time and the blocks' copies grow with the square of the rows, so ``df`` should be a sample.
+    """
+    vector = next(iter(fitted.values())).vector
+    ks = list(fitted)
+    ends = np.cumsum([0, *ks])
+    blocks = max(1, -(-df.count() // block_rows))
+
+    def member(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), ends[-1]))
+        for begin, k in zip(ends, ks):
+            out[np.arange(len(x)), begin + _squares(x, fitted[k].centers).argmin(1)] = 1
+        return out
+
+    rows = df.select(F.col(key).alias("key"), as_array(df, vector).alias("x")).withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = rows.select("key", "x", F.col("own").alias("i"), every.alias("j")).groupBy("i", "j")
+    gives = rows.select("x", every.alias("i"), F.col("own").alias("j")).groupBy("i", "j")
+
+    def sums(ask: pa.Table, give: pa.Table) -> pa.Table:
+        if len(ask) == 0 or len(give) == 0:
+            return pa.table({"key": pa.array([], ask.schema.field("key").type), "sums": pa.array([], pa.list_(pa.float64()))})
+        own, theirs = (np.stack(t.column("x").to_numpy()) for t in (ask, give))
+        found = np.sqrt(_squares(own, theirs)) @ member(theirs)
+        return pa.table({"key": ask.column("key"), "sums": pa.array(list(found), pa.list_(pa.float64()))})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    cells = asks.cogroup(gives).applyInArrow(sums, f"key {kind}, sums array<double>")
+    total = cells.groupBy("key").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(ends[-1])]).alias("sums"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, len(fitted[ks[0]].centers[0])))
+            yield pa.RecordBatch.from_arrays([pa.array([member(x).sum(0).tolist()], pa.list_(pa.float64()))], ["n"])
+
+    counted = rows.select("x").mapInArrow(count, "n array<double>").agg(*[F.sum(F.col("n")[i]) for i in range(ends[-1])]).first()
+    sizes = np.array(counted, float)
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, found = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("x", "sums"))
+            belongs, scores = member(x) > 0, []
+            for begin, end in zip(ends[:-1], ends[1:]):
+                mine, n = belongs[:, begin:end], sizes[begin:end]
+                far = np.where(mine | (n == 0), np.inf, found[:, begin:end] / np.maximum(n, 1)).min(1)
+                size = np.where(mine, n, 0).sum(1)
+                within = np.where(mine, found[:, begin:end], 0).sum(1) / np.maximum(size - 1, 1)
+                widest = np.maximum(within, np.where(np.isinf(far), 0, far))
+                alone = (size < 2) | np.isinf(far) | (widest == 0)
+                scores.append(np.where(alone, 0.0, (np.where(alone, 0.0, far) - within) / np.where(alone, 1.0, widest)))
+            yield pa.RecordBatch.from_arrays([pa.array([[float(s.sum()) for s in scores]], pa.list_(pa.float64())), pa.array([len(x)])], ["s", "n"])
+
+    parts = rows.select("key", "x").join(total, "key").mapInArrow(value, "s array<double>, n long")
+    row = parts.agg(F.sum("n"), *[F.sum(F.col("s")[i]) for i in range(len(ks))]).first()
+    return {k: row[i + 1] / row[0] for i, k in enumerate(ks)}
+
+
 def inertia(df: DataFrame, point: Column, center: Column) -> DataFrame:
     """Sum of squared distances of the points to their given centers."""
     gap = F.zip_with(point, center, lambda a, b: (a.cast("double") - b.cast("double")) ** 2)

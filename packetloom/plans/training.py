@@ -59,7 +59,7 @@ def sweep_clusters(spark: SparkSession, train_path: str, store: ArtifactStore, *
     sweep, best, model = kmeans_sweep(keyed, "row_id", **options)
     store.save_sweep(sweep)
     if model is not None:
-        model.write().overwrite().save(f"{store.root}/kmeans")
+        store.save_clusters(model)
     return best
 
 

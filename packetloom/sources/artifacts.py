@@ -3,32 +3,21 @@
 from __future__ import annotations
 
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassificationModel,
-    GBTClassificationModel,
-    NaiveBayesModel,
-    OneVsRestModel,
-    RandomForestClassificationModel,
-)
+from pyspark.ml.classification import NaiveBayesModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.operators.clusters import ClusterModel
 from packetloom.operators.encode import FeatureEncoder
 from packetloom.operators.models import MODEL_NAMES, PHASES, check_names
 from packetloom.operators.patterns import REPORTED_RULES
+from packetloom.operators.trees import TreeModel
 from packetloom.schemas import CATEGORICAL_FEATURES, FLOW_FEATURES, NUMERIC_FEATURES
 
 RULE_SCHEMA = "antecedents string, consequents string, support double, confidence double, lift double"
 METRIC_SCHEMA = "phase string, model string, accuracy double, precision double, recall double, f1 double"
 SWEEP_SCHEMA = "k int, inertia double, silhouette double"
 
-_LOADERS = {
-    "nb": NaiveBayesModel,
-    "dt": DecisionTreeClassificationModel,
-    "rf": RandomForestClassificationModel,
-    "gbt": GBTClassificationModel,
-}
-
 
 class MissingArtifactError(FileNotFoundError):
     """Raised when a model, encoder or report has not been written yet."""
@@ -44,16 +33,18 @@ class ArtifactStore:
         check_names(model, phase, dataset)
         return f"{self.root}/{dataset}/{model}_{phase}"
 
-    def save_model(self, fitted: Model, model: str, phase: str, dataset: str = "nsl") -> str:
+    def save_model(self, fitted: Model | TreeModel, model: str, phase: str, dataset: str = "nsl") -> str:
         path = self.model_path(model, phase, dataset)
-        fitted.write().overwrite().save(path)
+        if isinstance(fitted, TreeModel):
+            fitted.save(path)
+        else:
+            fitted.write().overwrite().save(path)
         return path
 
-    def load_model(self, model: str, phase: str, dataset: str = "nsl") -> Model:
+    def load_model(self, model: str, phase: str, dataset: str = "nsl") -> Model | TreeModel:
         path = self.model_path(model, phase, dataset)
-        loader = OneVsRestModel if (model, phase) == ("gbt", "multiclass") else _LOADERS[model]
         self._require(f"{path}/metadata", f"model {dataset}/{model}_{phase}")
-        return loader.load(path)
+        return NaiveBayesModel.load(path) if model == "nb" else TreeModel.load(self.spark, path)
 
     def available(self, dataset: str = "nsl") -> list[tuple[str, str]]:
         """(model, phase) pairs that can be loaded."""
@@ -84,6 +75,13 @@ class ArtifactStore:
         self._require(f"{self.root}/kmeans_sweep", "k-means sweep")
         return self.spark.read.schema(SWEEP_SCHEMA).json(f"{self.root}/kmeans_sweep")
 
+    def save_clusters(self, fitted: ClusterModel) -> None:
+        fitted.save(self.spark, f"{self.root}/kmeans")
+
+    def load_clusters(self) -> ClusterModel:
+        self._require(f"{self.root}/kmeans", "k-means model")
+        return ClusterModel.load(self.spark, f"{self.root}/kmeans")
+
     def save_rules(self, rules: DataFrame) -> None:
         """Write at most the top rules; one file keeps the order readable."""
         rules.coalesce(1).write.mode("overwrite").csv(f"{self.root}/rules", header=True)

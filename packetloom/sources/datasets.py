@@ -14,6 +14,7 @@ from packetloom.schemas import FLOW_COLUMN_NAMES, FLOW_FEATURES, LABELLED_CONNEC
 # Published row counts of the two connection splits, column count.
 SPLIT_ROWS = {"train": 125_973, "test": 22_544}
 RAW_COLUMNS = 43
+_NUMBERS = "__numbers"
 
 
 class ShapeError(ValueError):
@@ -107,13 +108,15 @@ def is_finite(value: Column) -> Column:
 def clean_flows(df: DataFrame, columns: list[str] | None = None, duration: str | None = "flow_duration") -> DataFrame:
     """Numbers only: rows with a null, NaN or infinite feature or a negative duration are dropped."""
     columns = columns or FLOW_FEATURES
-    numeric = df.withColumns({c: to_number(F.col(c)) for c in columns})
-    if "label" in df.columns:
-        numeric = numeric.withColumn("label", trimmed(F.col("label")))
-    kept = functools.reduce(lambda a, b: a & b, [is_finite(F.col(c)) for c in columns])
+    # All numbers are made once, as one array: as columns, the filter would be pushed below them and repeat each.
+    numbers = F.transform(F.array(*[F.col(c).cast("string") for c in columns]), to_number)
+    made = df.withColumn(_NUMBERS, numbers)
+    value = {c: F.get(F.col(_NUMBERS), F.lit(i)) for i, c in enumerate(columns)}
+    kept = F.forall(_NUMBERS, is_finite)
     if duration:
-        kept = kept & (F.col(duration) >= 0)
-    return numeric.where(kept)
+        kept = kept & ((value[duration] if duration in value else F.col(duration)) >= 0)
+    label = {"label": trimmed(F.col("label"))} if "label" in df.columns and "label" not in columns else {}
+    return made.where(kept).withColumns(value | label).drop(_NUMBERS)
 
 
 def read_flows(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from packetloom.operators.encode import FeatureEncoder
 from packetloom.operators.models import CLASS_NAMES
 from packetloom.operators.records import attack_log_rows, live_events, project_records
+from packetloom.operators.trees import TreeModel
 from packetloom.schemas import CATEGORICAL_FEATURES
 from packetloom.streaming.sinks import write_batch
 
 
-def score_records(records: DataFrame, encoder: FeatureEncoder, model: Model, dataset: str = "nsl") -> DataFrame:
+def score_records(records: DataFrame, encoder: FeatureEncoder, model: Model | TreeModel, dataset: str = "nsl") -> DataFrame:
     """Event rows (with ``seq``, ``ts``, ``meta``) of feature records."""
     keep = ["seq", "ts", "meta"]
     known = project_records(records, dataset, [*keep, *CATEGORICAL_FEATURES])
@@ -25,7 +26,7 @@ def score_records(records: DataFrame, encoder: FeatureEncoder, model: Model, dat
 def score_live(
     records: DataFrame,
     encoder: FeatureEncoder,
-    model: Model,
+    model: Model | TreeModel,
     checkpoint: str,
     event_path: str,
     log_path: str,

@@ -1,3 +1,8 @@
+import random
+from collections import Counter
+from itertools import combinations
+from math import comb
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +58,35 @@ def test_rules_round_trip(spark, tmp_path):
     store.save_rules(rules)
     top = store.load_rules()
     assert top.collect() == rules.limit(20).collect() and top.count() <= 20
+
+
+def plain_itemsets(baskets, min_support, most):
+    counts = Counter()
+    for b in baskets:
+        items = sorted({i for i in b or [] if i is not None})
+        for size in range(1, most + 1):
+            counts.update(combinations(items, size))
+    return sorted((list(c), n) for c, n in counts.items() if n / len(baskets) >= min_support)
+
+
+@pytest.mark.parametrize("chunk", [1_000_000, 7])
+def test_general_itemsets_equal_counting_all(spark, monkeypatch, chunk):
+    monkeypatch.setattr(patterns, "MOST_CANDIDATES", chunk)
+    rng = random.Random(1)
+    baskets = [[rng.choice("abcdefghij") for _ in range(rng.randrange(9))] for _ in range(150)]
+    baskets += [None, [], [None], [None, "a", "a"], ["a"]]
+    df = spark.createDataFrame([(b, 1) for b in baskets], "items array<string>, rows int")
+    for support, most in ((0.05, 4), (0.2, 2), (0.1, 1), (0.9, 3)):
+        got = patterns.frequent_itemsets_general(df, support, most).collect()
+        assert sorted((r["items"], r.rows) for r in got) == plain_itemsets(baskets, support, most)
+        assert all(r.support == r.rows / len(baskets) for r in got)
+    assert patterns.frequent_itemsets_general(df.limit(0)).count() == 0
+
+
+def test_long_baskets_end(spark):
+    """Forty items that all go together: mining every length would give 2 ** 40 sets."""
+    items = [f"i{k:02d}" for k in range(40)]
+    df = spark.range(500).select(F.array(*map(F.lit, items)).alias("items"))
+    got = patterns.frequent_itemsets_general(df, 0.5, 4)
+    assert got.groupBy(F.size("items").alias("n")).count().orderBy("n").collect() == [(k, comb(40, k)) for k in range(1, 5)]
+    assert got.where("rows != 500").count() == 0
