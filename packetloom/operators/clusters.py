@@ -87,8 +87,8 @@ def fit_many(df: DataFrame, starts: list[np.ndarray], vector: str = "vector", ma
     """
     rows = df.select(as_array(df, vector).alias("x"))
     width = starts[0].shape[1]
-    variances = rows.agg(*[F.var_pop(F.col("x")[i]) for i in range(width)]).first()
-    least = tolerance * float(np.mean([v or 0.0 for v in variances]))
+    each = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v"))
+    least = tolerance * float(each.agg(F.avg("v")).first()[0] or 0.0)
     centers = [np.array(s, float) for s in starts]
     active, rounds = list(range(len(centers))), [0] * len(centers)
     for _ in range(max_iter):
@@ -136,8 +136,13 @@ def _assigned(rows: DataFrame, centers: list[np.ndarray], active: list[int]) ->
             ["set", "center", "values"],
         )
 
-    parts = rows.mapInArrow(assign, "set int, center int, values array<double>")
-    merged = parts.groupBy("set", "center").agg(F.array(*[F.sum(F.col("values")[i]) for i in range(width + 2)]).alias("values"))
+    def add(table: pa.Table) -> pa.Table:
+        total = np.stack(table.column("values").to_numpy()).sum(0)
+        return table.slice(0, 1).set_column(2, "values", pa.array([total.tolist()], pa.list_(pa.float64())))
+
+    kind = "set int, center int, values array<double>"
+    # One row for each task in a group.
+    merged = rows.mapInArrow(assign, kind).groupBy("set", "center").applyInArrow(add, kind)
     found = {i: np.zeros((len(c), width + 2)) for i, c in sets.items()}
     for row in merged.collect():  # one row for each center
         found[row["set"]][row["center"]] = row["values"]
@@ -217,15 +222,18 @@ def silhouettes(df: DataFrame, key: str, fitted: dict[int, ClusterModel], block_
 
     kind = rows.schema["key"].dataType.simpleString()
     cells = asks.cogroup(gives).applyInArrow(sums, f"key {kind}, sums array<double>")
-    total = cells.groupBy("key").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(ends[-1])]).alias("sums"))
+    apart = cells.select("key", F.posexplode("sums").alias("c", "s")).groupBy("key", "c").agg(F.sum("s").alias("s"))
+    total = apart.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("a")).select("key", F.col("a.s").alias("sums"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, len(fitted[ks[0]].centers[0])))
             yield pa.RecordBatch.from_arrays([pa.array([member(x).sum(0).tolist()], pa.list_(pa.float64()))], ["n"])
 
-    counted = rows.select("x").mapInArrow(count, "n array<double>").agg(*[F.sum(F.col("n")[i]) for i in range(ends[-1])]).first()
-    sizes = np.array(counted, float)
+    counted = rows.select("x").mapInArrow(count, "n array<double>").select(F.posexplode("n").alias("c", "n"))
+    sizes = np.zeros(ends[-1])
+    for r in counted.groupBy("c").agg(F.sum("n").alias("n")).collect():  # one row for each cluster
+        sizes[r["c"]] = r["n"]
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
