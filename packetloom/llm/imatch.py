@@ -5,8 +5,8 @@ the lexicon: each of ``FAMILIES`` random families halves the lexicon again and a
 terms in the smallest lexicon of the family that still holds one of them.  Two texts agree in a family when these
 terms are the same, so the share of agreeing families (``likeness``) follows the overlap of their terms.
 
-Document frequencies are exact: one row per distinct term, summed on the map side and then by term.  Texts meet them
-in a join on the term, so the band means the same at every size.
+Document frequencies are exact: every range of texts counts its own, one row per range and term is summed by term, and
+what lies outside the band goes back to the ranges that hold it.  So the band means the same at every size.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _SEEDS = W.mix(np.arange(1, FAMILIES + 1, dtype=np.uint64))
 _HEAD, _PART = 16, 5
 # Terms of a bucket that are held before they are handed on, and rows of a batch of them.
 _HELD, _ROWS = 1 << 22, 1 << 17
+# Text of a bucket: larger tables have more buckets, without a ceiling.  Small ones have some for all tasks.
+BUCKET_BYTES, SMALL_BUCKETS = 64 << 20, 32
 
 
 @dataclass(frozen=True)
@@ -177,26 +179,32 @@ def in_order(df: DataFrame, id_column: str, text: str, buckets: int) -> DataFram
     return placed.unionByName(lent.select(F.col("b").alias("bucket"), *nothing)).repartition("bucket")
 
 
-def compare_with_next(df: DataFrame, known: Frequencies, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def compare_with_next(df: DataFrame, known: Frequencies | None = None, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprints of every text, of its edited form, and how like they and the next text's are.
 
     The edited form keeps all but the last floor(n / 2) code points and goes on with as many of the next text (fewer
     if it is shorter).  Gives id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for
-    every row, repeated ones too.  ``buckets`` (default: 4 for each shuffle partition, 4096 at most) sets how many
-    ranges the texts are sorted in; a range is sorted on disk and streamed.  Only the distinct terms of a range that lie
-    outside the band are held in memory, 8 bytes each.
+    every row, repeated ones too.  ``known`` are frequencies of another corpus; by default those of ``df`` are counted.
+    ``buckets`` (default: by ``BUCKET_BYTES``) sets how many ranges the texts are sorted in; a range is sorted on disk
+    and streamed.  Only its distinct terms are held in memory, 8 bytes each.
 
     The texts are read twice from one exchange: first for the terms of each range, also those that an edit makes by
-    cutting words, whose counts are then looked up by a join; then for the fingerprints.
+    cutting words (they count in no text, but their counts are needed); then for the fingerprints.
     """
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")).first()
     if buckets is None:
-        buckets = min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, min(partitions, SMALL_BUCKETS), -(-(size["bytes"] or 0) // BUCKET_BYTES))
     placed = in_order(df, id_column, text, buckets)
     order = ["bucket", "borrowed", "id", "text"]
 
-    terms = placed.sortWithinPartitions(*order).mapInArrow(_bucket_terms, "bucket int, term long")
-    # Each term comes once for a bucket, hot ones too.
-    rows = terms.join(known.table, "term", "left").where(outside(F.col("n"), known.documents))
+    terms = placed.sortWithinPartitions(*order).mapInArrow(_bucket_terms, "bucket int, term long, n long")
+    if known is None:
+        # A term comes about once from each bucket, hot ones too, so its list is no longer than there are buckets.
+        counts = terms.groupBy("term").agg(F.sum("n").alias("n"), F.collect_list("bucket").alias("buckets"))
+        rows = counts.where(outside(F.col("n"), size["rows"])).select("term", F.explode("buckets").alias("bucket"))
+    else:
+        rows = terms.drop("n").join(known.table, "term", "left").where(outside(F.col("n"), known.documents))
     lists = rows.groupBy(F.col("bucket").alias("of")).agg(F.collect_list("term").alias("left_out"))
     ordered = placed.join(lists, (F.col("bucket") == F.col("of")) & F.col("borrowed").isNull(), "left")
     ordered = ordered.select(*order, "left_out").sortWithinPartitions(*order)
@@ -240,26 +248,31 @@ def _edits(rows: list[tuple]) -> tuple[list[int], list[str]]:
 
 
 def _bucket_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, term): the distinct terms of a bucket's texts, of the row after them and of the edited texts.
+    """(bucket, term, n): how many of a bucket's texts hold each term; 0 for terms of the row after them and of edited
+    texts only.
 
     A bucket with more than ``_HELD`` of them may repeat some.
     """
-    bucket, terms = None, np.zeros(0, np.uint64)
+    bucket, terms, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def given() -> Iterator[pa.RecordBatch]:
-        return _slices([pa.array(np.full(len(terms), bucket, np.int32)), pa.array(terms.view(np.int64))], ["bucket", "term"])
+        return _slices([pa.array(np.full(len(terms), bucket, np.int32)), pa.array(terms.view(np.int64)), pa.array(counts)], ["bucket", "term", "n"])
 
     for rows in _neighbours(batches):
         pairs, edited = _edits(rows)
-        of = np.array([r[0] for r in rows] + [rows[i][0] for i in pairs])
-        found = W.words_of([r[3] or "" for r in rows] + edited)
-        of = np.repeat(of, np.diff(found.first))
-        for b in np.unique(of):
+        for b in sorted({rows[i][0] for i in pairs}):
             if b != bucket or len(terms) > _HELD:
                 if len(terms):
                     yield from given()
-                bucket, terms = int(b), np.zeros(0, np.uint64)
-            terms = np.union1d(terms, found.hashes[of == b])
+                bucket, terms, counts = b, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            # Each row of a bucket is in one pair, so it counts once.
+            mine = [(rows[i], rows[i + 1], e) for i, e in zip(pairs, edited) if rows[i][0] == b]
+            asked = [e for _, _, e in mine] + [after[3] for _, after, _ in mine if after[1]]
+            found = W.words_of([own[3] for own, _, _ in mine] + asked)
+            each = [np.unique(found.hashes[x:y]) for x, y in zip(found.first[:-1], found.first[1:])]
+            weight = np.repeat(np.arange(len(each)) < len(mine), list(map(len, each))).astype(np.int64)
+            terms, at = np.unique(np.concatenate([terms, *each]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, weight]), len(terms)).astype(np.int64)
     if len(terms):
         yield from given()
 

@@ -123,7 +123,7 @@ ORACLES["op10_license_scan"] = oracles.LICENSES
 @query
 def op9_imatch(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return imatch.compare_with_next(docs, imatch.frequencies(docs))
+    return imatch.compare_with_next(docs)
 
 
 @query

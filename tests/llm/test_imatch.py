@@ -139,3 +139,31 @@ def test_fingerprints_of_rows(spark):
     want = {r.fingerprint for r in imatch.compare_with_next(df, known).collect()}
     rows = imatch.fingerprints(df, known).collect()
     assert len(rows) == len(DOCS) and {r.fingerprint for r in rows} == want
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_own_counts_equal_given_ones(spark, monkeypatch, buckets):
+    """Counted by ranges or looked up in a table, also where a range hands its terms on early."""
+    rng = np.random.default_rng(8)
+    docs = [(int(i), " ".join(f"w{int(k)}" for k in rng.zipf(1.4, rng.integers(0, 60)) % 400)) for i in rng.permutation(90)]
+    docs += [(3, "w1 w2 again"), (None, "w1 nothing else"), (None, None), (3, "w1 w2 again")]
+    df = frame(spark, docs).repartition(3)
+    given = sorted(map(str, imatch.compare_with_next(df, imatch.frequencies(df), buckets=buckets).collect()))
+    assert sorted(map(str, imatch.compare_with_next(df, buckets=buckets).collect())) == given
+    documents = [set(words.words_of([t or ""]).hashes.tolist()) for _, t in docs]
+    prints = {exact_fingerprint(t or "", documents) for _, t in docs}
+    assert {r.fingerprint for r in imatch.compare_with_next(df, buckets=buckets).collect()} == prints
+
+
+def test_likeness_of_rows_is_that_of_plain_fingerprints(spark):
+    docs = [(i, f"a{i % 3} b{i % 5} c{i % 7} d{i} shared words of all e{i // 2}") for i in range(40)]
+    out = {r.doc_id: r for r in imatch.compare_with_next(frame(spark, docs)).collect()}
+    documents = [set(words.words_of([t]).hashes.tolist()) for _, t in docs]
+    families = lambda p: [p[k : k + 5] for k in range(16, len(p), 5)]
+    for (i, text), (j, following) in zip(docs, docs[1:] + docs[:1]):
+        half = len(text) // 2
+        edited = exact_fingerprint(text[: len(text) - half] + following[:half], documents)
+        own, after = exact_fingerprint(text, documents), exact_fingerprint(following, documents)
+        for got, other in ((out[i].near_edited, edited), (out[i].near_next, after)):
+            same = sum(x == y for x, y in zip(families(own), families(other))) / imatch.FAMILIES
+            assert got == (1.0 if own[:16] == other[:16] else same)
