@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packetloom.llm.words import row_key
+
 GRAM = 3
 # Diagonals this close, with at most GAP words between their hits, belong to one span.
 BAND, GAP = 4, 40
@@ -102,11 +104,6 @@ def template_grams(spark: SparkSession, templates: list[Template]) -> DataFrame:
     )
 
 
-def text_key(df: DataFrame, id_column: str, text: str) -> Column:
-    """Equal for rows that are equal in id and text only (their findings are equal, too)."""
-    return F.unhex(F.md5(F.concat(F.coalesce(df[id_column].cast("string"), F.lit("-")), F.lit(" "), F.coalesce(df[text], F.lit(""))).cast("binary")))
-
-
 def hits(df: DataFrame, templates: list[Template], id_column: str, text: str) -> DataFrame:
     """Verified k-gram hits: key, p (word of the text), and the template's position."""
     spark = df.sparkSession
@@ -114,7 +111,7 @@ def hits(df: DataFrame, templates: list[Template], id_column: str, text: str) ->
     sizes = sorted({r["size"] for r in table})
     if min(sizes) < 2:
         raise ValueError("a template needs two words at least")
-    listed = df.select(text_key(df, id_column, text).alias("key"), words(df[text]).alias("w"))
+    listed = df.select(row_key(df[id_column], df[text]).alias("key"), words(df[text]).alias("w"))
     rows = listed.select("key", "w", F.posexplode_outer("w").alias("p", "word"))
     at = lambda j: F.get("w", F.col("p") + j)
     # All rolling pairs are hashed; only those that open some template gram go on to the join.
@@ -194,7 +191,7 @@ def scan(
         F.array_sort(F.collect_list(F.struct("start", "end", "label", "coverage", "whole"))).alias("spans")
     )
     rows = df.select(
-        df[id_column].alias("__id"), text_key(df, id_column, text).alias("key"), F.size(words(df[text])).alias("n_words")
+        df[id_column].alias("__id"), row_key(df[id_column], df[text]).alias("key"), F.size(words(df[text])).alias("n_words")
     )
     out = rows.join(per_text, "key", "left")
     none = F.array().cast("array<struct<start:int,end:int,label:string,coverage:double,whole:boolean>>")

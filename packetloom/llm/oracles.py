@@ -27,7 +27,8 @@ def _part(p: secrets.Part) -> str:
 where n is not null and {_KEPT.get(p.kind, 'true')}"""
 
 
-_NEAR = f"(o.a >= w.b and o.a - w.b <= {secrets.SCOPE} or o.b <= w.a and w.a - o.b <= {secrets.SCOPE})"
+_NEAR = f"""o.a - w.b <= {secrets.SCOPE} and w.a - o.b <= {secrets.SCOPE} and (o.a >= w.b or o.b <= w.a
+    or o.kind <> w.kind and 'address' in (o.kind, w.kind))"""
 _RANKS = " ".join(f"when '{p.kind}' then {i}" for i, p in enumerate(secrets.PARTS))
 _LISTED = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, rank){}, '')"
 _STRONG = " filter (where strong)"
@@ -60,11 +61,14 @@ dg as (select rid, size, p, {_GRAM.format('p')} as gram
 hit as (select rid, template, label, whole, length, size, pos, p from dg join tg using (size, gram)),
 vote as (select rid, template, label, whole, length, size, p - pos as diagonal, min(p) as a, max(p + size) as b, list(distinct pos) as ats
   from hit group by all),
-step as (select *, lag(diagonal) over o as last, max(b) over (o rows between unbounded preceding and 1 preceding) as reach
-  from vote window o as (partition by rid, template order by a, diagonal)),
-run as (select *, sum(case when whole or last is null or abs(diagonal - last) > {licenses.BAND} or a - reach > {licenses.GAP} then 1 else 0 end)
-  over (partition by rid, template order by a, diagonal rows unbounded preceding) as run from step),
-merged as (select rid, template, label, whole, length, size, run, min(a) as a, flatten(list(ats)) as ats from run group by all),
+step as (select *, lag(diagonal) over (partition by rid, template order by diagonal) as last from vote),
+band as (select *, sum(case when whole or last is null or diagonal - last > {licenses.BAND} then 1 else 0 end)
+  over (partition by rid, template order by diagonal rows unbounded preceding) as near from step),
+reached as (select *, max(b) over (partition by rid, template, near order by a, diagonal
+  rows between unbounded preceding and 1 preceding) as reach from band),
+run as (select *, sum(case when reach is null or a - reach > {licenses.GAP} then 1 else 0 end)
+  over (partition by rid, template, near order by a, diagonal rows unbounded preceding) as run from reached),
+merged as (select rid, template, label, whole, length, size, near, run, min(a) as a, flatten(list(ats)) as ats from run group by all),
 cover as (select *, len(list_distinct(flatten(list_transform(ats, lambda x: range(x, x + size))))) / length as coverage from merged),
 span as (select * from cover where coverage >= case when whole then 1 else {licenses.COVER} end),
 named as (select doc_id, d.rid, len(w) as n_words, a, label, whole, coverage from d left join span using (rid))

@@ -5,8 +5,10 @@ runs.  Weak parts (account names, mixed-case random-looking words, service addre
 reported only when the parts that complete it stand near by, found by an interval join of the parts of a text:
 
 * an account name needs a secret,
-* a random-looking word needs an identifier or an address,
-* an address needs an identifier and a secret.
+* a random-looking word needs an identifier or an address, also one that it is part of,
+* an address needs an identifier and a secret, also such as are part of it.
+
+Otherwise parts that overlap do not complete each other: one word is not evidence for itself.
 
 Positions are code points, ends exclusive.
 """
@@ -19,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.llm.words import row_key
+
 # Parts whose gap is at most this many code points complete each other.
 SCOPE = 240
 
@@ -82,12 +86,6 @@ PARTS = [
 _RANK = {p.kind: i for i, p in enumerate(PARTS)}
 
 
-def text_key(id_value: Column, text: Column) -> Column:
-    """Equal for rows equal in id and text only (their findings are equal, too)."""
-    joined = F.concat(F.coalesce(id_value.cast("string"), F.lit("-")), F.lit(" "), F.coalesce(text, F.lit("")))
-    return F.unhex(F.md5(joined.cast("binary")))
-
-
 _CELLS = "array<struct<kind:string,gap:int,size:int,ok:boolean>>"
 
 
@@ -110,7 +108,7 @@ def parts(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """
     body = F.coalesce(df[text], F.lit(""))
     found = [F.when(body.rlike(p.hint), _cells(body, p)).otherwise(F.array().cast(_CELLS)) for p in PARTS]
-    rows = df.select(text_key(df[id_column], df[text]).alias("key"), F.concat(*found).alias("cells"))
+    rows = df.select(row_key(df[id_column], df[text]).alias("key"), F.concat(*found).alias("cells"))
     # Equal rows fold into one before positions are summed.
     rows = rows.where(F.size("cells") > 0).groupBy("key").agg(F.first("cells").alias("cells"))
     rows = rows.select("key", F.posexplode("cells").alias("i", "c")).select("key", "i", "c.*")
@@ -129,7 +127,8 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     The interval join meets parts of a text by cells of ``scope`` code points: a part is listed in its cell, a weak
     one asks its own and the neighbouring cells.  Parts do not overlap within a kind, so a cell holds a bounded
-    number of them, whatever the length of the text.
+    number of them, whatever the length of the text.  Overlapping parts complete each other (with no gap) if one of
+    them is an address.
     """
     wide = F.greatest(F.lit(scope), F.lit(1))
     cells = lambda a, b: F.sequence(F.floor(a / wide), F.floor(b / wide))
@@ -140,18 +139,16 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.col("end").alias("b"),
         F.explode(cells(F.greatest(F.col("start") - scope, F.lit(0)), F.col("end") + scope)).alias("cell"),
     )
-    # A long part is found by its ends: what is near it is near one of them.
+    # A long part is found by its ends: what is near it is near one of them.  What an address holds can be anywhere in it.
+    ends = F.array_distinct(F.array(F.floor(F.col("start") / wide), F.floor((F.col("end") - 1) / wide)))
+    through = cells(F.col("start"), F.col("end") - 1)
     gives = found.select(
-        "key",
-        "role",
-        "start",
-        "end",
-        F.explode(F.array_distinct(F.array(F.floor(F.col("start") / wide), F.floor((F.col("end") - 1) / wide)))).alias("cell"),
-    )
-    near = asks.join(gives, ["key", "cell"]).where(
-        ((F.col("start") >= F.col("b")) & (F.col("start") - F.col("b") <= scope))
-        | ((F.col("end") <= F.col("a")) & (F.col("a") - F.col("end") <= scope))
+        "key", "role", "kind", "start", "end", F.explode(F.when(F.col("role") == "address", through).otherwise(ends)).alias("cell")
     )
+    apart = (F.col("start") >= F.col("b")) | (F.col("end") <= F.col("a"))
+    inside = (F.col("kind") != F.col("a_kind")) & ((F.col("role") == "address") | (F.col("a_kind") == "address"))
+    close = (F.col("start") - F.col("b") <= scope) & (F.col("a") - F.col("end") <= scope)
+    near = asks.join(gives, ["key", "cell"]).where(close & (apart | inside))
     has = lambda role: F.max(F.when(F.col("role") == role, 1).otherwise(0)) == 1
     seen = near.groupBy("key", "a_kind", "a", "b").agg(
         has("identifier").alias("i"), has("secret").alias("s"), has("address").alias("e")
@@ -180,7 +177,7 @@ def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text", keep: tup
     rows = df.select(
         df[id_column].alias("__id"),
         F.struct(*[df[c] for c in keep] or [F.lit(0).alias("none")]).alias("__kept"),
-        text_key(df[id_column], df[text]).alias("key"),
+        row_key(df[id_column], df[text]).alias("key"),
     )
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
@@ -191,26 +188,30 @@ def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text", keep: tup
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span (overlapping ones together) replaced by the mark.  Its time is spans x text length."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span (overlapping ones together) replaced by the mark; pieces are joined once."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda s, x: F.struct(
         F.greatest(s["at"], x["end"]).alias("at"),
         F.when(x["start"] < s["at"], s["out"])
-        .otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))
+        .otherwise(F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))))
         .alias("out"),
     )
-    done = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    done = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
 
 
 def redact_rows(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns, every found span of the text replaced by a mark.
+    """All rows and columns (whatever their names), every found span of the text replaced by a mark.
 
-    Only texts in which some kind of part may match are shuffled to meet their spans.
+    Only texts in which some kind of part may match are shuffled to meet their spans.  Null and empty texts stay as they
+    are, repeated rows are treated alike, an empty table stays empty.
     """
     maybe = F.lit(False)
     for p in PARTS:
         maybe = maybe | F.coalesce(df[text].rlike(p.hint), F.lit(False))
-    found = scan(df.where(maybe), id_column, text, keep=tuple(c for c in df.columns if c != id_column))
-    done = found.withColumn(text, redact(F.col(text), F.col("spans"))).select(*df.columns)
+    rows = df.where(maybe).select(df[id_column].alias("__doc"), df[text].alias("__text"), F.struct(*[df[c] for c in df.columns]).alias("__row"))
+    found = scan(rows, "__doc", "__text", keep=("__row",))
+    row = F.col("__row")
+    clean = redact(row[text], F.col("spans"))
+    done = found.select(*[(clean if c == text else row[c]).alias(c) for c in df.columns])
     return df.where(~maybe).unionByName(done)

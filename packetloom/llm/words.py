@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -125,3 +127,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
             n = max(1, int(np.searchsorted(upto, most_bytes, "right")))
             yield batch.slice(begin, n)
             begin += n
+
+
+def row_key(id_value: Column, text: Column) -> Column:
+    """16 bytes that are equal for rows of equal id and text only; a null text counts as empty, a null id is an id.
+
+    Copies of a text under different ids get different keys, so they spread over tasks.
+    """
+    name = id_value.cast("string")
+    head = F.coalesce(F.concat(F.octet_length(name).cast("string"), F.lit(":"), name), F.lit("-"))
+    return F.unhex(F.md5(F.concat(head, F.lit(" "), F.coalesce(text, F.lit(""))).cast("binary")))

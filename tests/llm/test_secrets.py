@@ -84,3 +84,43 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def scanned(spark, text, doc_id=1):
+    df = spark.createDataFrame([(doc_id, text)], "doc_id long, text string")
+    return [(s.kind, text[s.start : s.end]) for s in secrets.scan(df).first().spans]
+
+
+def test_parts_inside_an_address(spark):
+    key = "AKIA" + "Q7" * 8
+    url = f"https://host/?access_key_id={key}&secret=abcdefgh"
+    found = dict(scanned(spark, f"see {url} now"))
+    assert found["address"] == url and {"access", "assign"} <= set(found)
+    inside = f"https://host/{'p' * 700}?key={RANDOM}&{'z' * 700}"  # far from both ends
+    assert {k for k, _ in scanned(spark, inside)} == {"random"}
+    assert scanned(spark, "https://host/?page=2") == []
+    # One word is no evidence for itself.
+    assert scanned(spark, f"user={RANDOM}") == []
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    rows = [("a b", "token=abcdefgh"), ("a", "b token=abcdefgh"), (None, "token=abcdefgh"), ("-", "token=abcdefgh"), ("1:a", "x"), ("1", ":a x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r.doc_id, r.text): [(s.start, s.end) for s in r.spans] for r in secrets.scan(df, keep=("text",)).collect()}
+    assert got == {r: [(m.start(), m.end()) for m in ASSIGN.finditer(r[1])] for r in rows}
+
+
+def test_redacted_rows_keep_all_columns(spark):
+    rows = [(1, "a token=abcdefgh z", "s", 2, "k", 5), (1, "a token=abcdefgh z", "s", 2, "k", 5), (None, None, None, None, None, None), (2, "", "", 0, "", 0), (3, "clean", "s", 1, "k", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, start int, key string, __row int")
+    out = secrets.redact_rows(df)
+    assert out.columns == df.columns
+    want = [(d, t and t.replace("token=abcdefgh", "[SECRET]"), *rest) for d, t, *rest in rows]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert secrets.redact_rows(df.limit(0)).count() == 0
+
+
+def test_many_spans(spark):
+    text = "token=abcdefgh " * 5000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact_rows(df).first().text == "[SECRET] " * 5000
