@@ -8,7 +8,10 @@ tested for all passages of a text at once; passages that pass are walked through
 that cannot reach the threshold.  What is retrieved is verified word for word: enough runs of three words of the
 item's question and of its answer must stand around the passage.
 
-The last sentence of an item counts as its answer, what stands before it as its question.
+The last sentence of an item counts as its answer, what stands before it as its question; a side without words counts
+as found.  An item of fewer than five words is found where its words stand one after the other.  Items are searched by
+classes of length (up to 64 words, up to 128, ...), each with passages of twice that width, so what is found of an item
+does not depend on the other items.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ STRIDE = 64
 BLOCK = 4
 # Window by block bounds held at a time.
 MOST_BOUNDS = 1 << 22
-# Items with fewer words say nothing about where a text comes from; they are not searched for.
+# Items with fewer words are searched for as they stand.
 LEAST_WORDS = 5
 # An index part holds items of about this many bytes; larger benchmarks are searched part by part.
 PART_BYTES = 16 << 20
@@ -71,7 +74,7 @@ class Index:
 
     @property
     def stride(self) -> int:
-        return max(STRIDE, int(self.lengths.max(initial=0)))
+        return width_class(int(self.lengths.max(initial=0)))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The position of each hash among the terms, -1 for others."""
@@ -81,8 +84,63 @@ class Index:
         return np.where(self.terms[at] == hashes, at, -1)
 
 
+def width_class(words: int) -> int:
+    """The least power of two times ``STRIDE`` that holds so many words."""
+    width = STRIDE
+    while width < words:
+        width *= 2
+    return width
+
+
+@dataclass
+class Phrases:
+    """Items of fewer than ``LEAST_WORDS`` words: by number of words, their hashes (ascending) and the items."""
+
+    runs: dict[int, tuple[np.ndarray, list[int]]]
+
+    def find(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, words) of each item that stands in a text, at its first place."""
+        for size, (runs, ids) in self.runs.items():
+            if len(hashes) < size:
+                continue
+            found, first = np.unique(W.shingles(hashes, size), return_index=True)
+            at = np.minimum(np.searchsorted(found, runs), len(found) - 1)
+            for k in np.flatnonzero(found[at] == runs).tolist():
+                yield ids[k], int(first[at[k]]), size
+
+
+@dataclass
+class Searcher:
+    """One part of the benchmark: an index for each class of length, and the short items."""
+
+    indexes: list[Index]
+    phrases: Phrases
+
+    def find(self, hashes: np.ndarray, threshold: float) -> list[tuple]:
+        """(item id, score, first word, words, question and answer overlap) of each item retrieved from a text."""
+        out = [(i, 1.0, first, n, 1.0, 1.0) for i, first, n in self.phrases.find(hashes)]
+        for index in self.indexes:
+            out += [(index.ids[item], *found) for item, found in sorted(search_text(index, hashes, threshold).items())]
+        return out
+
+
+def build_searcher(items: list[tuple[int, str]], frequency: Callable[[np.ndarray], np.ndarray], documents: int, mean_length: float) -> Searcher:
+    found = W.words_of([t for _, t in items])
+    sizes = np.diff(found.first).tolist()
+    short: dict[int, list[tuple[int, int]]] = {}
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for i, size in enumerate(sizes):
+        if size >= LEAST_WORDS:
+            classes.setdefault(width_class(size), []).append(items[i])
+        elif size:
+            run = W.shingles(found.hashes[found.first[i] : found.first[i + 1]], size)
+            short.setdefault(size, []).append((int(run[0]), i))
+    runs = {n: (np.array([r for r, _ in sorted(s)], np.uint64), [items[i][0] for _, i in sorted(s)]) for n, s in short.items()}
+    return Searcher([build_index(classes[w], frequency, documents, mean_length) for w in sorted(classes)], Phrases(runs))
+
+
 def build_index(items: list[tuple[int, str]], frequency: Callable[[np.ndarray], np.ndarray], documents: int, mean_length: float) -> Index:
-    """An index of these items; term statistics are those of the whole benchmark."""
+    """An index of these items (shorter ones are left out); term statistics are those of the whole benchmark."""
     found = W.words_of([t for _, t in items])
     sizes = np.diff(found.first)
     kept = [i for i in range(len(items)) if sizes[i] >= LEAST_WORDS]
@@ -212,9 +270,12 @@ def promising(index: Index, numbers: np.ndarray, stride: int, threshold: float =
 def overlaps(index: Index, item: int, hashes: np.ndarray) -> tuple[float, float]:
     """Shares of the question's and of the answer's runs of words that stand among these words."""
     question, q_size, answer, a_size = index.grams[item]
-    share = lambda grams, size: (
-        float(np.isin(grams, W.shingles(hashes, size)).mean()) if len(grams) and len(hashes) >= size else 0.0
-    )
+
+    def share(grams: np.ndarray, size: int) -> float:
+        if len(grams) == 0:
+            return 1.0  # a side without words
+        return float(np.isin(grams, W.shingles(hashes, size)).mean()) if len(hashes) >= size else 0.0
+
     return share(question, q_size), share(answer, a_size)
 
 
@@ -233,8 +294,8 @@ def search_text(index: Index, hashes: np.ndarray, threshold: float = THRESHOLD)
     return best
 
 
-def indexes(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Index]:
-    """Indexes over all items, each of about ``part_bytes`` of text, one after the other.
+def indexes(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Searcher]:
+    """Searchers over all items, each of about ``part_bytes`` of text, one after the other.
 
     Repeated items stay; null texts have no words and match nothing.
     """
@@ -246,7 +307,7 @@ def indexes(benchmark: DataFrame, id_column: str = "item_id", text: str = "text"
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part) if parts > 1 else items
         rows = sorted((r["id"] is not None, r["id"] or 0, r["text"], r["id"]) for r in own.collect())
-        yield build_index([(r[3], r[2]) for r in rows], known.of, known.documents, max(1.0, words / max(1, known.documents)))
+        yield build_searcher([(r[3], r[2]) for r in rows], known.of, known.documents, max(1.0, words / max(1, known.documents)))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +329,8 @@ def find(
 
     Gives the id, ``item_id``, ``bm25`` (share of the item's own score), ``first_word``, ``n_words`` of the best
     passage, ``question_overlap``, ``answer_overlap`` and ``verified``.  Texts are scanned where they lie; nothing is
-    shuffled.  Null and empty texts give no rows, repeated rows give theirs each, a null id is kept.
+    shuffled.  Null and empty texts give no rows, repeated rows give theirs each, a null id is kept.  Items without any
+    word match nothing; repeated items and items of equal words give a row each.
     """
     given = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = ["id", "item_id", "bm25", "first_word", "n_words", "question_overlap", "answer_overlap", "verified"]
@@ -278,43 +340,45 @@ def find(
         " answer_overlap double, verified boolean"
     )
 
-    def scan(index: Index) -> Callable:
+    def scan(searcher: Searcher) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in W.chunks(batches, "text"):
                 found = W.words_of(batch.column(1))
                 rows = []
                 for i, doc in enumerate(batch.column(0).to_pylist()):
-                    hits = search_text(index, found.hashes[found.first[i] : found.first[i + 1]], threshold)
-                    for item, (score, begin, n, q, a) in sorted(hits.items()):
-                        rows.append((doc, index.ids[item], score, begin, n, q, a, q >= QUESTION and a >= ANSWER))
+                    for item, score, begin, n, q, a in searcher.find(found.hashes[found.first[i] : found.first[i + 1]], threshold):
+                        rows.append((doc, item, score, begin, n, q, a, q >= QUESTION and a >= ANSWER))
                 columns = zip(*rows) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
         return run
 
     out = None
-    for index in indexes(benchmark, item_column, text, part_bytes):
-        part = given.mapInArrow(scan(index), schema)
+    for searcher in indexes(benchmark, item_column, text, part_bytes):
+        part = given.mapInArrow(scan(searcher), schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("id", id_column)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows without a verified benchmark item, with all their columns, chosen inside the scan."""
+    """The rows without a verified benchmark item, with all their columns (whatever their names), chosen inside the scan.
+
+    Rows with a null or empty text stay, repeated rows are treated alike, ids are not read.
+    """
     at = docs.columns.index(text)
 
-    def clean(index: Index) -> Callable:
+    def clean(searcher: Searcher) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in W.chunks(batches, text):
                 found = W.words_of(batch.column(at))
                 kept = [
-                    not any(q >= QUESTION and a >= ANSWER for _, _, _, q, a in search_text(index, found.hashes[i:j], threshold).values())
+                    not any(q >= QUESTION and a >= ANSWER for *_, q, a in searcher.find(found.hashes[i:j], threshold))
                     for i, j in zip(found.first[:-1], found.first[1:])
                 ]
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
         return run
 
-    for index in indexes(benchmark):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+    for searcher in indexes(benchmark):
+        docs = docs.mapInArrow(clean(searcher), docs.schema)
     return docs

@@ -98,3 +98,41 @@ def test_real_tables_hold_exactly_the_verbatim_items(spark, medium):
         want |= {(d.doc_id, i) for i, t in joined if f" {t} " in body}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op6_decontaminate"](spark, medium).collect()}
     assert want <= got and len(got - want) <= 0.05 * len(want)
+
+
+def searched(spark, docs, items, **options):
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.find(rows, bench, **options).where("verified")
+    return sorted((r.doc_id, r.item_id, r.first_word, r.n_words) for r in out.collect())
+
+
+def test_short_items_are_found_as_they_stand(spark):
+    items = [(1, "the last green door"), (2, "Forty two!"), (3, "yes"), (4, "***"), (5, None), (6, "forty, TWO")]
+    docs = [
+        (1, "we saw the last green door there"), (2, "the green last door"), (3, "forty-two and forty two"), (4, "yes yes"),
+        (5, "the last green"), (6, ""), (7, "*** yes"),
+    ]
+    want = [(1, 1, 2, 4), (3, 2, 0, 2), (3, 6, 0, 2), (4, 3, 0, 1), (7, 3, 0, 1)]
+    assert searched(spark, docs, items) == want
+    assert searched(spark, docs, items, part_bytes=8) == want
+    kept = decontam.remove(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 6]
+
+
+def test_a_side_without_words_counts_as_found(spark):
+    text = "which of these rivers runs through the old town of the north\n***"
+    assert decontam.question_and_answer(text)[1] == "***"
+    assert [r[:2] for r in searched(spark, [(1, f"so {text} it is"), (2, "which of these rivers")], [(7, text)])] == [(1, 7)]
+
+
+def test_results_of_an_item_do_not_depend_on_the_others(spark):
+    rng = random.Random(6)
+    word = lambda: f"q{rng.randrange(4000)}"
+    short = [(i, " ".join(word() for _ in range(12)) + ". answer " + word()) for i in range(8)]
+    long = [(100 + i, " ".join(word() for _ in range(n))) for i, n in enumerate((70, 130, 700))]
+    docs = [(i, " ".join(word() for _ in range(300)) + " " + t + " " + " ".join(word() for _ in range(300))) for i, t in [*short, *long]]
+    alone = searched(spark, docs, short)
+    both = searched(spark, docs, [*short, *long])
+    assert [(d, i) for d, i, *_ in both] == sorted((i, i) for i, _ in [*short, *long])
+    assert [r for r in both if r[1] < 100] == alone and all(r[3] <= 2 * decontam.STRIDE for r in alone)
