@@ -10,6 +10,7 @@ seen, turns it into a probability.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.llm.words import chunks
+
 CHUNK = 2048
 DICTIONARY = 65_536
 LEVEL = 3
 # Compressed sizes are smoothed by this many bytes, so that a few words prove little.
 SMOOTH = 64
-# At most this many texts of each class are used for fitting, and of each text so many chunks go into a dictionary.
+# At most this many texts of each class are used for fitting.  Of each text so many chunks, picked by hash over its
+# whole length, go into a dictionary, so that a few very long texts do not make it up.
 PER_CLASS = 1500
 CHUNKS_PER_TEXT = 16
 
@@ -48,11 +52,20 @@ def chunks_of(text: str | None) -> list[bytes]:
 
 def train_dictionary(texts: list[str]) -> bytes:
     """A dictionary for texts like these; too few texts for training serve as the dictionary themselves."""
-    samples = [c for t in texts for c in chunks_of(t)[:CHUNKS_PER_TEXT] if c]
+    samples = [c for t in texts for c in picked(t)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY:]
+        return b"".join(sorted(samples, key=zlib.crc32))[:DICTIONARY]
+
+
+def picked(text: str | None) -> list[bytes]:
+    """The chunks of a text that go into a dictionary, in their order: all of a text of up to ``CHUNKS_PER_TEXT``."""
+    parts = [c for c in chunks_of(text) if c]
+    if len(parts) <= CHUNKS_PER_TEXT:
+        return parts
+    best = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i]), i))[:CHUNKS_PER_TEXT]
+    return [parts[i] for i in sorted(best)]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -132,7 +145,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, id_column: str = "doc_id", text: str = "text"
 ) -> Model:
-    """Fits on at most ``per_class`` labelled texts of each class (label 1 is good)."""
+    """Fits on at most ``per_class`` labelled texts of each class (label 1 is good).
+
+    Of labels that repeat an id the least counts, of rows that repeat one the greatest text; equal hashes are ordered by
+    id.  Labelled texts come to the driver whole.
+    """
     found = labelled_sample(docs, labels, label, per_class, id_column, text)
     return fit_texts(found[1], found[0])
 
@@ -149,7 +166,8 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     """All rows and columns with the probability of good quality (a column of that name is replaced).
 
     Every whole text is scored inside the scan, without a shuffle; the model (some 130 KB) goes along with the task.
-    Null and empty texts get the score of no evidence.
+    Null and empty texts get the score of no evidence; a score depends on the text alone, so repeated rows and copies
+    get the same.
     """
     df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
@@ -157,7 +175,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     at, names = df.columns.index(text), [*df.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, text):
             found = scores(model, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names)
 

@@ -89,3 +89,31 @@ def test_run(spark, stages):
     out = corpus_pipeline.run(spark, folder)
     lengths = lambda found: Counter((r["doc_id"], r["piece_start"], r["piece_length"]) for r in found)
     assert lengths([r.asDict() for r in out.collect()]) == lengths(rows[5])
+
+
+ODD = [
+    (1, None, "en", "a", None, "x", 1, 0.5), (2, "", "en", "a", 0, "x", 1, 0.5), (None, None, None, None, None, None, None, None),
+    (3, "few words", "en", "b", 9, "y", 2, 0.1), (3, "few words", "en", "b", 9, "y", 2, 0.1),
+    (4, "token=abcdefgh and more", "en", "b", 23, "y", 2, 0.1), (5, "long words " * 40_000, "en", "b", 440_000, "y", 2, 0.1),
+]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_take_odd_rows_and_clashing_columns(spark, small, rows):
+    """Null and empty texts, repeated rows, no rows at all; columns named like what the stages add."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, spans string, key int, score double"
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small)
+        got = out.collect()
+        assert len(got) <= 40 * len(rows)
+        if name == "best-fit packing":
+            assert not rows or {r.doc_id for r in got} == {r[0] for r in rows}
+            continue
+        assert out.columns == docs.columns
+        kept = {(r.doc_id, r.source, r.spans, r.key, r.score) for r in got}
+        assert kept <= {(r[0], r[3], *r[5:]) for r in rows}
+        if name in ("benchmark decontamination", "secret scans"):
+            assert len(got) == len(rows) and kept == {(r[0], r[3], *r[5:]) for r in rows}
+        if name == "secret scans" and rows:
+            assert {r.text for r in got if r.doc_id == 4} == {"[SECRET] and more"}
