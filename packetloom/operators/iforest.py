@@ -199,6 +199,10 @@ class WindowAnomalyModel:
 
 
 def flag_by_share(df: DataFrame, score: str = "raw_score", share: float = CONTAMINATION) -> DataFrame:
-    """Flag rows whose raw score lies below the ``share`` quantile."""
+    """Flag rows whose raw score lies below the ``share`` quantile.
+
+    The rows are written once: every round of the quantile and the flags read the same.
+    """
+    df = materialize(df, "scores")
     offset = exact_quantile(df, score, share)
     return df.withColumn("is_anomaly", F.col(score) < F.lit(offset))

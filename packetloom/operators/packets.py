@@ -58,20 +58,25 @@ def drop_own_traffic(packets: DataFrame, host: str, port: int) -> DataFrame:
     return packets.where(~is_own_traffic(host, port))
 
 
-def packet_counters(headers: DataFrame, host: str, port: int) -> DataFrame:
-    """packets, non_ip and own in one pass; ``errors`` are broken rows."""
+def packet_counts(host: str, port: int) -> dict[str, Column]:
+    """packets, non_ip, own and errors (broken rows) of header rows, as aggregates for ``agg`` or ``observe``."""
     broken = is_broken()
     own = (
         (F.col("ip_proto") == 6)
         & ((F.col("src_port") == port) | (F.col("dst_port") == port))
         & ((F.col("src_ip") == host) | (F.col("dst_ip") == host))
     )
-    return headers.agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.count_if(~broken & ~is_supported()).alias("non_ip"),
-        F.count_if(~broken & is_supported() & own).alias("own"),
-        F.count_if(broken).alias("errors"),
-    )
+    return {
+        "packets": F.count(F.lit(1)),
+        "non_ip": F.count_if(~broken & ~is_supported()),
+        "own": F.count_if(~broken & is_supported() & own),
+        "errors": F.count_if(broken),
+    }
+
+
+def packet_counters(headers: DataFrame, host: str, port: int) -> DataFrame:
+    """The counts of a table in one pass."""
+    return headers.agg(*[c.alias(n) for n, c in packet_counts(host, port).items()])
 
 
 def connection_counters(conns: DataFrame, now_us: int, idle_us: dict[str, int]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from packetloom.functions.labels import ATTACK_CATEGORY, ATTACK_CLASSES, FLOW_CATEGORY, FLOW_CLASSES
 from packetloom.functions.services import ICMP_SERVICES, TCP_SERVICES, UDP_SERVICES
 from packetloom.operators.windows import FAILED_FLAGS
-from packetloom.schemas import CONNECTION_FEATURES, CONTENT_FEATURES, FILE_ACTIVITY_COLUMNS
+from packetloom.schemas import CONNECTION_FEATURES, CONTENT_FEATURES, FILE_ACTIVITY_COLUMNS, NUMERIC_FEATURES, WINDOW_FEATURES
 
 
 def _case(value: str, names: dict, default: str) -> str:
@@ -374,14 +374,14 @@ select seq, category, {_index('category', FLOW_CLASSES)} as class_index from c""
     "packet_normalize": f"with {PACKETS}, {HEADERS} select * from norm",
     "own_traffic_filter": f"with {PACKETS} select * from pkt where not {_OWN}",
     "flow_meta": f"with {CONN} select seq, src_ip, dst_ip, dst_port, flag, bytes from conn",
-    "pipeline_counters": f"""with recursive {PACKETS}, {HEADERS}, seen as (select * from hdr where coalesce(us, 0) <= 1200000000),
-good as (select * from norm where us <= 1200000000), own as (select * from good where not {_OWN}), {_tcp_assign('own')},
+    "pipeline_counters": f"""with recursive {PACKETS}, {HEADERS}, as_of as (select max(us) * 4 // 5 as now_us from hdr), seen as (select * from hdr where coalesce(us, 0) <= (select now_us from as_of)),
+good as (select * from norm where us <= (select now_us from as_of)), own as (select * from good where not {_OWN}), {_tcp_assign('own')},
 lastp as (select flow_seq, any_value(proto) as proto, max(us) as last_us, count(*) > 1 and any_value(proto) = 'tcp' and (
     count(*) filter (contains(tcp_flags, 'R')) > 0 or (count(*) filter (contains(tcp_flags, 'F') and up = flow_up) > 0
     and count(*) filter (contains(tcp_flags, 'F') and up <> flow_up) > 0)) as closed
   from asg where flow_seq is not null group by 1),
-o as (select count(*) filter (not closed and 1200000000 - last_us <= {_IDLE}) as open,
-  count(*) filter (closed or 1200000000 - last_us > {_IDLE}) as finalized from lastp),
+o as (select count(*) filter (not closed and (select now_us from as_of) - last_us <= {_IDLE}) as open,
+  count(*) filter (closed or (select now_us from as_of) - last_us > {_IDLE}) as finalized from lastp),
 bad as (select *, us is null or src_ip is null or dst_ip is null as broken from seen)
 select (select count(*) from seen) as packets,
   (select count(*) from bad where not broken and not (ip_version = 4 and ip_proto in (1, 6, 17))) as non_ip,
@@ -527,3 +527,74 @@ select count(*) as count, count(*) filter (is_anomaly) as anomalies from v""",
 ORACLES["conn_features41_rounded"] = (
     f"select * replace ({_rounded([c for c in CONNECTION_FEATURES if c.endswith('_rate')], 2)}) from ({ORACLES['conn_features41']})"
 )
+
+# --- files, logs, models and streams ------------------------------------------------
+
+_BASELINE_COLUMNS = "src_ip, window_start_us / 1000000 as window_start, " + ", ".join(WINDOW_FEATURES)
+_ROUNDED_WINDOWS = f"""(select * replace ({_rounded(['failed_ratio', 'ports_per_host'], 4)}, {_rounded(['mean_bytes'], 2)},
+  total_bytes::double as total_bytes) from win)"""
+_KINDS = "case conn_id % 4 when 0 then 'BENIGN' when 1 then 'DoS Hulk' else 'PortScan' end as label"
+_CATEGORIES = "protocol_type", "service", "flag"
+_FITTED = "select vec_id, {0} as label, {0} as prediction from embeddings"
+_TUPLES_NOT_TCP = "proto <> 'tcp'"
+
+ORACLES |= {
+    # Trees without a depth limit and boosting over all rounds fit the rows that they have learnt from.
+    "dt_predict": _FITTED.format("label::int"),
+    "gbt_predict": _FITTED.format("(label >= 5)::int"),
+    "gbt_multiclass": _FITTED.format("(label % 5)::int"),
+    "predict_batch": f"""with {CONN} select seq, {_index(_CATEGORY, ATTACK_CLASSES)} as prediction, {_CATEGORY} as label,
+  label <> 'normal' as is_attack from conn""",
+    "labelled_file": f"""with {CONN} select seq::double as num_root, duration::double as duration, protocol_type, service, flag,
+  src_bytes::double as src_bytes, is_guest_login::double as is_guest_login, 0::double as hot, label from conn""",
+    "flow_files": f"""select * exclude (conn_id), {_KINDS} from (@FLOWS@) where conn_id % 7 <> 0 and conn_id % 11 <> 0""",
+    "baseline_log": f"with {CONN}, {WINDOWS} select {_BASELINE_COLUMNS} from {_ROUNDED_WINDOWS}",
+    "dated_log": f"""with {CONN} select seq, label, strftime(date '2024-01-01' + (ts_us // 100000000)::int, '%Y-%m-%d') as log_date
+from conn where label <> 'normal' and dst_ip = '192.168.0.3' order by ts_us // 100000000 desc, seq desc limit 70""",
+    "stored_metrics": f"""with {CONN}, {_PREDICTIONS}, two as (select label > 0 as l, prediction > 0 as p from pr where model = 'a'),
+c as (select count(*) filter (l and p) as tp, count(*) filter (p) as np, count(*) filter (l) as nl, count(*) filter (l = p) as hit,
+  count(*) as n from two)
+select 'binary' as phase, 'dt' as model, round(hit / n, 9) as accuracy, round(case when np = 0 then 0 else tp / np end, 9) as precision,
+  round(case when nl = 0 then 0 else tp / nl end, 9) as recall,
+  round(case when nl + np = 0 then 0 else 2 * tp / (nl + np) end, 9) as f1 from c""",
+    "encoder_names": f"""with {CONN}, seen as (
+  {' union all '.join(f"select distinct {i} as part, {c}::varchar as v, 'cat__{c}_' || {c} as name from conn" for i, c in enumerate(_CATEGORIES))}
+  union all select 3, lpad(i::varchar, 3, '0'), 'num__' || n from (select unnest(range({len(NUMERIC_FEATURES)})) as i,
+    unnest([{', '.join(f"'{c}'" for c in NUMERIC_FEATURES)}]) as n))
+select (row_number() over (order by part, v) - 1)::int as i, name from seen""",
+    "feature_matrix": f"""with {CONN}, {WINDOWS}, long as (
+  {' union all '.join(f"select src_ip, window_start_us, {i} as i, {c}::double as v from win" for i, c in enumerate(WINDOW_FEATURES))}),
+st as (select i, avg(v) as m, stddev_pop(v) as s from long group by 1)
+select src_ip, window_start_us, i, round((v - m) / case when s = 0 then 1 else s end, 6) as value from long join st using (i)""",
+    "trained_from_log": f"""with {CONN}, {WINDOWS}, r as (select * from {_ROUNDED_WINDOWS}), long as (
+  {' union all '.join(f"select '{c}' as feature, {c}::double as v from r" for c in WINDOW_FEATURES)})
+select feature, round(avg(v), 6) as mean, round(case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end, 6) as deviation,
+  count(*) as rows from long group by 1""",
+    "iforest_trees": f"""with {CONN}, {WINDOWS}, n as (select least(count(*), 256) as n from win)
+select t::int as tree, n as sample, n as leaf_rows, true as binary from range(200) r(t), n""",
+    "streamed_sessions": f"""with {PACKETS}, {_idle_assign()} select flow_seq, max(us) as last_us,
+  count(*) filter (up = flow_up) as fwd_pkts, count(*) filter (up <> flow_up) as bwd_pkts,
+  coalesce(sum(payload_len) filter (up = flow_up), 0)::bigint as src_bytes, coalesce(sum(payload_len) filter (up <> flow_up), 0)::bigint as dst_bytes,
+  coalesce(sum(ip_len) filter (up = flow_up), 0)::bigint as fwd_bytes, coalesce(sum(ip_len) filter (up <> flow_up), 0)::bigint as bwd_bytes
+from asg where {_TUPLES_NOT_TCP} group by 1""",
+    "streamed_windows": f"""with {CONN}, {WINDOWS} select {_BASELINE_COLUMNS} from {_ROUNDED_WINDOWS}
+where window_start_us + 60000000 <= (select max(ts_us) from conn) - 1000000""",
+    "streamed_scores": """with r as (select tot_fwd_pkts > 1 as bad from (@FLOWS@))
+select count(*) as count, count(*) filter (bad) as attacks, count(*) filter (bad) as logged, count(*) as counted,
+  count(*) filter (bad) as counted_attacks from r""",
+    "late_split": f"""with {CONN}, p as (select *, case when seq % 50 = 0 then 2 else least(2, seq * 3 // (select count(*) from conn)) end as part from conn),
+t as (select part, max(ts_us) as top from p group by 1), b as (select x.part, max(y.top) as top from t x join t y on y.part < x.part group by 1),
+j as (select p.*, coalesce(ts_us < top - 1000000, false) as late from p left join b using (part))
+select count(*) as rows, count(*) filter (late) as late, count(*) filter (not late) as in_time,
+  coalesce(sum(seq) filter (late), 0)::bigint as late_seqs, count(*) filter (late) as late_rows from j""",
+    "observed_counters": f"""with {PACKETS}, {HEADERS}, k as (select *, us is null or src_ip is null or dst_ip is null as broken,
+  ip_version = 4 and ip_proto in (1, 6, 17) as ok, ip_proto = 6 and 443 in (src_port, dst_port) and '192.168.0.3' in (src_ip, dst_ip) as own from hdr)
+select count(*) as packets, count(*) filter (not broken and not ok) as non_ip, count(*) filter (not broken and ok and own) as own,
+  count(*) filter (broken) as errors, count(*) filter (not broken and ok and not own) as kept from k""",
+    "hour_windows": f"""with {CONN} select src_ip, ts_us - ts_us % 600000000 as window_start_us, count(*) as flow_count,
+  sum(bytes)::bigint as total_bytes, count(*) filter (flag in ({_FAILED})) as failed, true as ports_near, true as hosts_near
+from conn where src_ip <> '' group by 1, 2""",
+}
+ORACLES["streamed_connections"] = ORACLES["connections"]
+for _name in ("flow_files", "streamed_scores"):
+    ORACLES[_name] = ORACLES[_name].replace("@FLOWS@", ORACLES["flow_features32"])

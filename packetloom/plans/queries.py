@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
@@ -36,8 +37,10 @@ from packetloom.plans.views import (
     table,
 )
 from packetloom.schemas import CONNECTION_FEATURES, FLOW_FEATURES, WINDOW_FEATURES
-from packetloom.session import materialize
+from packetloom.operators.layout import small_side
+from packetloom.session import materialize, run_dir
 from packetloom.sources import datasets, logs
+from packetloom.sources.artifacts import ArtifactStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -186,14 +189,17 @@ def flow_meta(spark, sf):
 
 @query
 def pipeline_counters(spark, sf):
-    headers = header_view(spark, sf).where(F.coalesce(F.col("us"), F.lit(0)) <= NOW_US)
+    """Counters as of the time when four fifths of the capture have passed."""
+    captured = header_view(spark, sf)
+    now_us = captured.agg(F.max("us")).first()[0] * 4 // 5
+    headers = captured.where(F.coalesce(F.col("us"), F.lit(0)) <= now_us)
     kept = packets.drop_own_traffic(packets.normalize_packets(headers), *COLLECTOR)
     seen = flows.flow_aggregates(flows.assign_flows(kept, "tcp"))
     # A first packet never closes its own connection.
     ended = (F.col("orig_fin") & F.col("resp_fin")) | F.col("orig_rst") | F.col("resp_rst")
     closed = (F.col("proto") == "tcp") & ended & (F.col("fwd_pkts") + F.col("bwd_pkts") > 1)
     conns = seen.select("proto", F.col("last_us").alias("ts_us"), closed.alias("closed"))
-    return packets.pipeline_counters(headers, conns, *COLLECTOR, NOW_US, flows.IDLE_US)
+    return packets.pipeline_counters(headers, conns, *COLLECTOR, now_us, flows.IDLE_US)
 
 
 # --- packets to connections ---------------------------------------------------
@@ -464,29 +470,53 @@ def gbt_predict(spark, sf):
     return _fit_predict(spark, sf, "gbt", "binary")
 
 
+@query
+def gbt_multiclass(spark, sf):
+    """One boosted model over five classes."""
+    rows = vector_rows(spark, sf).withColumn("label", F.col("label") % 5)
+    fitted = models.make_classifier("gbt", "multiclass").fit(rows)
+    return fitted.transform(rows).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
 def labelled_features(spark, sf) -> DataFrame:
     """The feature table that training jobs read: written once."""
     return materialize(rolling.connection_features(connection_view(spark, sf), keep=["label"]), "features")
 
 
-SMALL_SIZES = {"trees": 10, "rounds": 3, "depth": 8, "boost_depth": 3}
-
-
 @query
 def model_metrics(spark, sf):
+    """All models and phases at their full sizes."""
     train, test = sampling.stratified_split(labelled_features(spark, sf), "label", "seq")
-    return models.train_models(train, test, encode.connection_encoder(), "nsl", **SMALL_SIZES)
+    return models.train_models(train, test, encode.connection_encoder(), "nsl")
+
+
+@query
+def flow_model_metrics(spark, sf):
+    """The 32-feature path: seven classes of flow labels, one boosted model for all of them."""
+    rows = flows.flow_records(flows.connections(packet_view(spark, sf), "tcp"), ["conn_id"])
+    # Labels that the features tell: who talked, how often, how it went.
+    kind = F.expr(
+        "case when rst_flag_cnt > 1 then 'DoS Hulk' when syn_flag_cnt > 2 then 'PortScan' when fin_flag_cnt > 1 then 'Bot'"
+        " when dst_port = 22 then 'SSH-Patator' when dst_port = 80 then 'Web Attack - XSS' when dst_port = 53 then 'Heartbleed' else 'BENIGN' end"
+    )
+    named = materialize(rows.select("conn_id", *FLOW_FEATURES, kind.alias("label")), "labelled-flows")
+    train, test = sampling.stratified_split(named, "label", "conn_id")
+    return models.train_models(train, test, encode.flow_encoder(), "cic", models=("dt", "gbt"), phases=("multiclass",))
 
 
 @query
 def predict_batch(spark, sf):
+    """Encoder and model are saved and read back before they predict."""
     rows = labelled_features(spark, sf)
-    encoder = encode.connection_encoder().fit(rows)
+    store = ArtifactStore(spark, f"{run_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.save_encoder(encode.connection_encoder().fit(rows))
     target = models.labelled(rows, "nsl", "multiclass")
-    fitted = models.make_classifier("dt", "multiclass").fit(encoder.transform(target))
-    return models.predict(rows.select("seq", *CONNECTION_FEATURES), encoder, fitted, "nsl", "multiclass").select(
-        "seq", "prediction", "label", "is_attack"
+    fitted = models.make_classifier("dt", "multiclass").fit(store.load_encoder().transform(target))
+    store.save_model(fitted, "dt", "multiclass")
+    scored = models.predict(
+        rows.select("seq", *CONNECTION_FEATURES), store.load_encoder(), store.load_model("dt", "multiclass"), "nsl", "multiclass"
     )
+    return scored.select("seq", "prediction", "label", "is_attack")
 
 
 @query
@@ -502,7 +532,7 @@ def inertia_given_centers(spark, sf):
     means = rows.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
     centers = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
     centers = centers.select("label", F.col("c.m").alias("center"))
-    total = clusters.inertia(rows.join(F.broadcast(centers), "label"), F.col("embedding"), F.col("center"))
+    total = clusters.inertia(rows.join(small_side(materialize(centers, "centers")), "label"), F.col("embedding"), F.col("center"))
     return total.select(F.round("inertia", 6).alias("inertia"))
 
 
@@ -719,3 +749,6 @@ def anomaly_status(spark, sf):
     closed = windows.closed_windows(windows.source_windows(conns), NOW_US)
     still = windows.open_window_count(conns, NOW_US)
     return views.anomaly_status(closed, still, False, windows.WINDOW_SECONDS)
+
+
+from packetloom.plans import round_trips  # noqa: E402, F401  registers its queries

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +53,23 @@ def verify_split(df: DataFrame, split: str) -> DataFrame:
     return df
 
 
+def watched_split(df: DataFrame, split: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The split with its rows counted while it is first used, and a check to call after that.
+
+    Saves the scan that ``verify_split`` takes.
+    """
+    if split not in SPLIT_ROWS:
+        raise ValueError(f"{split!r} is none of the splits {', '.join(SPLIT_ROWS)}")
+    seen, columns = Observation(f"split-{split}"), len(df.columns)
+
+    def check() -> None:
+        rows = seen.get["rows"]
+        if (rows, columns) != (SPLIT_ROWS[split], RAW_COLUMNS):
+            raise ShapeError(f"split {split} has {rows} rows of {columns} columns, not {SPLIT_ROWS[split]} of {RAW_COLUMNS}")
+
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), check
+
+
 def _csv_files(spark: SparkSession, folder: str) -> list[str]:
     """The CSV files below ``folder`` in path order (names only; one per day)."""
     listed = (

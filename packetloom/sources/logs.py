@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,33 @@ def append_log(df: DataFrame, path: str, fmt: str = "json", partition: str | Non
     writer.save(path)
 
 
+def append_dated(df: DataFrame, path: str, date: str = "log_date", fmt: str = "parquet") -> None:
+    """Append to a log with one folder for each date, so that newest-first readers open few of them."""
+    append_log(df, path, fmt, partition=date)
+
+
+def read_newest(
+    spark: SparkSession, path: str, rows: int, order: list[str], date: str = "log_date", where: Column | None = None, fmt: str = "parquet"
+) -> DataFrame:
+    """The newest ``rows`` rows (that meet ``where``) of a dated log, newest first.
+
+    Reads back in time, twice as many dates in each step, until there are enough rows; earlier dates are not opened.
+    Dates come first in the order, then ``order``, each descending.
+    """
+    if rows < 1:
+        raise ValueError(f"a view shows one row at least, not {rows}")
+    log = spark.read.format(fmt).load(path)
+    log = log if where is None else log.where(where)
+    dates = [r[0] for r in spark.read.format(fmt).load(path).select(date).distinct().orderBy(F.desc(date)).collect()]
+    span = 1
+    while True:
+        # One date for each day of the log; they are literals, so that only their folders are read.
+        part = log.where(F.col(date).isin(dates[:span]) | (F.lit(None in dates[:span]) & F.col(date).isNull()))
+        if span >= len(dates) or part.limit(rows).count() == rows:
+            return part.orderBy(F.desc(date), *[F.desc(c) for c in order]).limit(rows)
+        span *= 2
+
+
 def append_baseline(windows: DataFrame, path: str) -> None:
     """Append window rows as JSON lines, ``window_start`` in epoch seconds."""
     append_log(baseline_rows(windows), path)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -285,3 +286,38 @@ def stream_flows(packets: DataFrame, delay: str, idle_us: dict[str, int] = IDLE_
 def stream_connections(packets: DataFrame, delay: str, idle_us: dict[str, int] = IDLE_US) -> DataFrame:
     """Connection records of a packet stream, as ``connections`` gives them for a table."""
     return of_sensors(connection_records(stream_flows(packets, delay, idle_us)), packets)
+
+
+def stream_sessions(packets: DataFrame, delay: str, idle_us: dict[str, int] = IDLE_US) -> DataFrame:
+    """Idle sessions of the protocols without a close rule (all but TCP), by Spark's own session windows.
+
+    No Python worker takes part and the state of a session is one row, whatever its packets.  A session ends when the
+    watermark has passed its last packet by more than the protocol's timeout.  Gives the tuple, the first packet
+    (``flow_us``, ``flow_seq``, ``flow_up``), ``last_us`` and packets and bytes by direction.
+    """
+    keyed = canonical_tuple(packets.where("proto <> 'tcp'").withWatermark("ts", delay))
+    # A gap of exactly the timeout does not end a session, hence the microsecond.
+    gap = lambda kind: F.lit(f"{idle_us[kind] + 1} microseconds")
+    session = F.session_window("ts", F.when(F.col("proto") == "udp", gap("udp")).otherwise(gap("icmp")))
+    sums = {f"{side}_{name}": value for side in ("up", "down") for name, value in (("pkts", F.lit(1)), ("payload", F.col("payload_len")), ("bytes", F.col("ip_len")))}
+    is_side = {"up": F.col("up"), "down": ~F.col("up")}
+    rows = keyed.groupBy(session, *TUPLE).agg(
+        F.min(F.struct("us", "seq", "up")).alias("first"),
+        F.max("us").alias("last_us"),
+        *[F.sum(F.when(is_side[c.split("_")[0]], v).otherwise(0)).alias(c) for c, v in sums.items()],
+    )
+    up = F.col("first.up")
+    pick = lambda name, forward: F.when(up == forward, F.col(f"up_{name}")).otherwise(F.col(f"down_{name}"))
+    return rows.select(
+        *TUPLE,
+        F.col("first.us").alias("flow_us"),
+        F.col("first.seq").alias("flow_seq"),
+        up.alias("flow_up"),
+        "last_us",
+        pick("pkts", True).alias("fwd_pkts"),
+        pick("pkts", False).alias("bwd_pkts"),
+        pick("payload", True).alias("src_bytes"),
+        pick("payload", False).alias("dst_bytes"),
+        pick("bytes", True).alias("fwd_bytes"),
+        pick("bytes", False).alias("bwd_bytes"),
+    )
