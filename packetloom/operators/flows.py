@@ -18,6 +18,7 @@ import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -179,30 +180,41 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Follow each tuple through sorted rows, one batch in memory at a time.
 
     ``head`` marks the first row of a group, where ``entry`` (null for a fresh
-    tuple) is the state to start from.
+    tuple) is the state to start from.  While a connection is open, rows up to the next that may change that (a FIN,
+    a reset, the start of a session or tuple) are its own and filled in together.
     """
     state = FRESH
     for batch in batches:
-        names = batch.schema.names
-        column = {n: batch.column(n).to_pylist() for n in ("us", "seq", "up", "syn", "fin", "rst", "head", "starts", "entry")}
-        found: list[tuple] = []
-        for us, seq, up, syn, fin, rst, head, starts, entry in zip(*column.values()):
-            if head:
-                state = Tuple5State(**entry) if entry else FRESH
-            if starts:
+        names, n = batch.schema.names, batch.num_rows
+        flag = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("up", "syn", "fin", "rst", "head", "starts")}
+        times, numbers = (batch.column(c).to_numpy().tolist() for c in ("us", "seq"))
+        up, syn, fin, rst, head, starts = (flag[c].tolist() for c in ("up", "syn", "fin", "rst", "head", "starts"))
+        entry = batch.column("entry")
+        turns = np.append(np.flatnonzero(flag["fin"] | flag["rst"] | flag["head"] | flag["starts"]), n).tolist()
+        flow_us, flow_seq = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        flow_up, owned = np.zeros(n, bool), np.zeros(n, bool)
+        i = turn = 0
+        while i < n:
+            if head[i]:
+                known = entry[i].as_py()
+                state = Tuple5State(**known) if known else FRESH
+            if starts[i]:
                 state = FRESH
             opened = state
-            state, kept = next_state(state, us, seq, up, syn, fin, rst)
-            owner = (state if opened.flow_seq is None else opened) if kept else FRESH
-            found.append(owner[:3])
-        fields = STATE_TYPE.fields[:3]
-        kinds = [pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64() for f in fields]
-        extra = [pa.array(values, kind) for values, kind in zip(zip(*found), kinds)] if found else [
-            pa.array([], kind) for kind in kinds
-        ]
-        kept_names = [n for n in names if n not in ("syn", "fin", "rst", "head", "entry")]
+            state, kept = next_state(state, times[i], numbers[i], up[i], syn[i], fin[i], rst[i])
+            end = i + 1
+            if state.flow_seq is not None and not state.reset:
+                while turns[turn] <= i:
+                    turn += 1
+                end = turns[turn]
+            if kept:
+                owner = state if opened.flow_seq is None else opened
+                flow_us[i:end], flow_seq[i:end], flow_up[i:end], owned[i:end] = owner.flow_us, owner.flow_seq, owner.flow_up, True
+            i = end
+        extra = [pa.array(values, mask=~owned) for values in (flow_us, flow_seq, flow_up)]
+        kept_names = [c for c in names if c not in ("syn", "fin", "rst", "head", "entry")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in kept_names] + extra, names=kept_names + [f.name for f in fields]
+            [batch.column(c) for c in kept_names] + extra, names=kept_names + [f.name for f in STATE_TYPE.fields[:3]]
         )
 
 

@@ -296,8 +296,8 @@ def stream_sessions(packets: DataFrame, delay: str, idle_us: dict[str, int] = ID
     (``flow_us``, ``flow_seq``, ``flow_up``), ``last_us`` and packets and bytes by direction.
     """
     keyed = canonical_tuple(packets.where("proto <> 'tcp'").withWatermark("ts", delay))
-    # A gap of exactly the timeout does not end a session, hence the microsecond.
-    gap = lambda kind: F.lit(f"{idle_us[kind] + 1} microseconds")
+    # A packet after exactly the timeout still belongs to the session.
+    gap = lambda kind: F.lit(f"{idle_us[kind]} microseconds")
     session = F.session_window("ts", F.when(F.col("proto") == "udp", gap("udp")).otherwise(gap("icmp")))
     sums = {f"{side}_{name}": value for side in ("up", "down") for name, value in (("pkts", F.lit(1)), ("payload", F.col("payload_len")), ("bytes", F.col("ip_len")))}
     is_side = {"up": F.col("up"), "down": ~F.col("up")}
