@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm import words as W
@@ -226,9 +226,17 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     Adds (or replaces) n_words and n_removed.
     """
+    return spread(df, kept_by_text(df, id_column, text, window), id_column, text, window)
+
+
+def kept_by_text(df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """For each distinct text and the least id that has it: key, first, kept, whole, n_words, n_removed.
+
+    ``kept`` are the words that stay in the row of that id, ``whole`` is all words, where rows with a null id need them.
+    ``spread`` gives every row of ``df`` what is its own; what only needs a digest of the words can take it in between.
+    """
     spark = df.sparkSession
-    ident = F.col(id_column).cast("long")
-    key = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    ident, key = _row_parts(id_column, text)
     rows = df.select(key.alias("key"), ident.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "text")).alias("r")
     distinct = rows.groupBy("key").agg(least, F.max(F.col("id").isNull()).alias("unnamed"))
@@ -285,18 +293,30 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names)
 
     done = texts.join(removed, "key", "left").select("key", "id", "text", "unnamed", "places")
-    done = done.mapInArrow(cut, "key string, first long, kept string, whole string, n_words long, n_removed long")
+    return done.mapInArrow(cut, "key string, first long, kept string, whole string, n_words long, n_removed long")
+
+
+def spread(df: DataFrame, done: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, empty: str = "") -> DataFrame:
+    """All rows and columns of ``df`` with the ``kept`` of their texts; rows that are removed whole get ``empty``.
+
+    No text of ``df`` moves, only what ``done`` has of each distinct one.
+    """
+    ident, key = _row_parts(id_column, text)
     own = [c for c in df.columns if c not in (text, "n_words", "n_removed")]
     carried = df.select(F.struct(*own).alias("row"), ident.alias("id"), key.alias("key"))
     both = carried.join(done, "key")
     first = F.col("id") == F.col("first")
     copy = ~first & (F.col("n_words") >= window)
-    out = F.when(F.col("id").isNull(), F.col("whole")).when(copy, F.lit("")).otherwise(F.col("kept"))
+    out = F.when(F.col("id").isNull(), F.col("whole")).when(copy, F.lit(empty)).otherwise(F.col("kept"))
     count = F.when(F.col("id").isNull(), F.lit(0)).when(copy, F.col("n_words")).otherwise(F.col("n_removed"))
     columns = [F.col("row")[c].alias(c) if c != text else out.alias(text) for c in df.columns if c not in ("n_words", "n_removed")]
     return both.select(*columns, F.col("n_words"), count.cast("long").alias("n_removed"))
 
 
+def _row_parts(id_column: str, text: str) -> tuple[Column, Column]:
+    return F.col(id_column).cast("long"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def kept_texts(texts: pa.Array, places: pa.Array | None, window: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Of each text the words outside the windows at ``places`` joined by blanks, its words, and how many went."""
     found = tokens(texts)
