@@ -2,7 +2,9 @@
 
 Packets wait in state until the watermark has passed them and are then taken in (time, arrival) order, as a table's
 packets are, so files out of order give the same connections as long as no packet is later than the delay.  Per tuple
-the state holds those packets, the summary of one open connection (or the time of the last close) and one timer.
+the state holds those packets by slices of time, the summary of one open connection (or the time of the last close) and
+one timer.  A batch reads and writes the slices that its packets fall into, a timer those that came due, so neither
+depends on how many packets wait.
 
 The close rule is ``next_state`` of the batch operator.  The packets of a connection that come due together are
 summed up by column operations, and summaries are merged; completed connections leave with the columns of
@@ -12,6 +14,7 @@ summed up by column operations, and summaries are merged; completed connections
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +69,11 @@ OUTPUT_SCHEMA = T.StructType(
 )
 
 
+# Width of a slice of waiting packets.
+SLICE_US = 1_000_000
+SLICE_KEY = T.StructType([T.StructField("slice", T.LongType())])
+SLICE_VALUE = T.StructType([T.StructField("packets", T.BinaryType())])
+
 PENDING_SCHEMA = T.StructType(
     [
         T.StructField("us", T.LongType()),
@@ -203,13 +211,13 @@ def _finished(key: tuple, c: dict) -> dict:
 class ConnectionAssembler(StatefulProcessor):
     """Follows one tuple."""
 
-    def __init__(self, idle_us: dict[str, int]):
-        self.idle_us = idle_us
+    def __init__(self, idle_us: dict[str, int], slice_us: int = SLICE_US):
+        self.idle_us, self.slice_us = idle_us, slice_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("connection", STATE_SCHEMA)
-        self.pending = handle.getListState("pending", PENDING_SCHEMA)
+        self.pending = handle.getMapState("pending", SLICE_KEY, SLICE_VALUE)
 
     def _load(self) -> dict:
         return dict(zip(STATE_NAMES, self.state.get())) if self.state.exists() else _blank()
@@ -231,32 +239,52 @@ class ConnectionAssembler(StatefulProcessor):
             self.handle.registerTimer(wake)
         self.state.update(tuple(c[n] for n in STATE_NAMES))
 
+    def _slice(self, number: int) -> list[tuple]:
+        return pickle.loads(self.pending.getValue((number,))[0]) if self.pending.containsKey((number,)) else []
+
+    def _keep(self, number: int, packets: list[tuple]) -> None:
+        self.pending.updateValue((number,), (pickle.dumps(packets),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first_us = None
         for frame in rows:
-            self.pending.appendList(list(frame[PENDING_SCHEMA.names].itertuples(index=False, name=None)))
+            for number, part in frame.groupby(frame["us"] // self.slice_us):
+                more = list(part[PENDING_SCHEMA.names].astype(object).itertuples(index=False, name=None))
+                self._keep(int(number), self._slice(int(number)) + more)
             low = int(frame["us"].min())
             first_us = low if first_us is None else min(first_us, low)
         idle = self.idle_us.get(key[1], self.idle_us["icmp"])
         self._store(idle, self._load(), timerValues.getCurrentWatermarkInMs(), first_us)
         yield pd.DataFrame([], columns=OUTPUT_SCHEMA.names)
 
+    def _due(self, now_us: int) -> tuple[pd.DataFrame, int | None]:
+        """The packets that the watermark has passed, in order, and when the next ones may come due."""
+        numbers = sorted(k[0] for k in self.pending.keys())
+        ready, waiting_us = [], None
+        for number in numbers:
+            if number * self.slice_us >= now_us:
+                waiting_us = number * self.slice_us
+                break
+            packets = self._slice(number)
+            rest = [p for p in packets if p[0] >= now_us]
+            ready += [p for p in packets if p[0] < now_us]
+            if rest:
+                self._keep(number, rest)
+                waiting_us = min(p[0] for p in rest)
+                break
+            self.pending.removeKey((number,))
+        found = pd.DataFrame(ready, columns=PENDING_SCHEMA.names)
+        return found.sort_values(["us", "seq"], ignore_index=True), waiting_us
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_ms = timerValues.getCurrentWatermarkInMs()
         c = self._load()
         if c["timer_ms"] is not None and c["timer_ms"] <= now_ms:
             c["timer_ms"] = None
-        idle, done, waiting_us = self.idle_us.get(key[1], self.idle_us["icmp"]), [], None
-        if self.pending.exists():
-            packets = pd.DataFrame(list(self.pending.get()), columns=PENDING_SCHEMA.names)
-            ready = packets["us"] < now_ms * 1000
-            if ready.any():
-                c, done = _advance(key, c, packets[ready].sort_values(["us", "seq"], ignore_index=True), idle)
-                rest = packets[~ready]
-                self.pending.clear()
-                if len(rest):
-                    self.pending.appendList(list(rest.itertuples(index=False, name=None)))
-            waiting_us = int(packets["us"][~ready].min()) if (~ready).any() else None
+        idle, done = self.idle_us.get(key[1], self.idle_us["icmp"]), []
+        packets, waiting_us = self._due(now_ms * 1000)
+        if len(packets):
+            c, done = _advance(key, c, packets, idle)
         if c["is_open"] and now_ms * 1000 > c["last_us"] + idle:
             done.append(_finished(key, c))
             c = _blank(timer_ms=c["timer_ms"])

@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from packetloom.plans.views import connection_view, packet_view
 from packetloom.schemas import PACKET_SCHEMA
 from packetloom.sources import datasets, logs
 from packetloom.streaming import late
-from packetloom.streaming.flows import stream_connections, stream_sessions
+from packetloom.streaming.flows import PENDING_SCHEMA, STATE_NAMES, ConnectionAssembler, stream_connections, stream_sessions
 from packetloom.streaming.progress import ProgressTotals, observed
 from packetloom.streaming.sinks import is_written, write_batch
 from packetloom.streaming.sources import packet_stream
@@ -152,3 +153,73 @@ def test_newest_rows_of_a_dated_log(spark):
     assert "PartitionFilters" in few._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError, match="one row at least"):
         logs.read_newest(spark, path, 0, ["seq"])
+
+
+class FakeValue:
+    def __init__(self):
+        self.row = None
+
+    def exists(self):
+        return self.row is not None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+    def clear(self):
+        self.row = None
+
+
+class FakeMap:
+    def __init__(self):
+        self.rows, self.reads = {}, 0
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.rows
+
+    def getValue(self, key):  # noqa: N802
+        self.reads += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.rows[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.rows[key]
+
+    def keys(self):
+        return iter(list(self.rows))
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.ms = ms
+
+
+@pytest.mark.parametrize("waiting", [10, 5000])
+def test_a_timer_reads_the_slices_that_came_due(waiting):
+    worker = ConnectionAssembler(flows.IDLE_US, slice_us=1000)
+    worker.handle, worker.state, worker.pending = At(0), FakeValue(), FakeMap()
+    key = ("", "udp", "a", 1, "b", 2)
+    row = lambda n, us: (us, n, True, 1, 41, "", -1, -1, -1, False)
+    rows = [row(n, n * 100 + 1) for n in range(waiting + 20)]
+    for begin in range(0, len(rows), 500):
+        frame = pd.DataFrame(rows[begin : begin + 500], columns=PENDING_SCHEMA.names)
+        list(worker.handleInputRows(key, iter([frame]), At(0)))
+    worker.pending.reads = 0
+    done = pd.concat(list(worker.handleExpiredTimer(key, At(2), None)))  # two slices and no more
+    assert worker.pending.reads == 2 and len(done) == 0
+    assert dict(zip(STATE_NAMES, worker.state.get()))["fwd_pkts"] == 20
+    assert (0,) not in worker.pending.rows and (2,) in worker.pending.rows
+    # The rest in one go, then silence ends the connection.
+    list(worker.handleExpiredTimer(key, At(10**6), None))
+    (last,) = [d for d in worker.handleExpiredTimer(key, At(10**8), None) if len(d)] or [pd.DataFrame()]
+    assert not worker.pending.rows and (last.empty or last.fwd_pkts[0] == len(rows))
