@@ -493,7 +493,7 @@ def model_metrics(spark, sf):
 @query
 def flow_model_metrics(spark, sf):
     """The 32-feature path: seven classes of flow labels, one boosted model for all of them."""
-    rows = flows.flow_records(flows.connections(packet_view(spark, sf), "tcp"), ["conn_id"])
+    rows = records.flow_records(flows.connections(packet_view(spark, sf), "tcp"), ["conn_id"])
     # Labels that the features tell: who talked, how often, how it went.
     kind = F.expr(
         "case when rst_flag_cnt > 1 then 'DoS Hulk' when syn_flag_cnt > 2 then 'PortScan' when fin_flag_cnt > 1 then 'Bot'"
