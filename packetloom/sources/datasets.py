@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +18,16 @@ from packetloom.schemas import FLOW_COLUMN_NAMES, FLOW_FEATURES, LABELLED_CONNEC
 # Published row counts of the two connection splits, column count.
 SPLIT_ROWS = {"train": 125_973, "test": 22_544}
 RAW_COLUMNS = 43
+# The JVM's name of latin1.
+_ENCODING = "ISO-8859-1"
 _NUMBERS = "__numbers"
+# Every file becomes one task, however large or small (1 PB), and its lines reach the task few at a time.
+_FILE_A_TASK = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 50),
+    "spark.sql.files.openCostInBytes": str(1 << 50),
+    "spark.sql.files.maxPartitionNum": str((1 << 31) - 1),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "16",
+}
 
 
 class ShapeError(ValueError):
@@ -70,41 +82,51 @@ def watched_split(df: DataFrame, split: str) -> tuple[DataFrame, Callable[[], No
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), check
 
 
-def _csv_files(spark: SparkSession, folder: str) -> list[str]:
-    """The CSV files below ``folder`` in path order (names only; one per day)."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path")
-    )
-    return [r.path for r in listed.orderBy("path").collect()]
+def first_lines(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, line): the first line that is not blank of every file below ``folder``; files without one are left out.
+
+    One job for any number of files: every file is one task, which ends after its first lines.
+    """
+    own = spark.newSession()
+    for key, value in _FILE_A_TASK.items():
+        own.conf.set(key, value)
+    lines = own.read.options(pathGlobFilter=pattern, recursiveFileLookup=True).text(folder)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, line in enumerate(batch.column(1).to_pylist()):
+                if line.strip():
+                    yield batch.slice(i, 1)
+                    return
+
+    # The text reader hands bytes on as they are.
+    line = F.decode(F.col("value").cast("binary"), _ENCODING).alias("line")
+    return lines.select(F.col("_metadata.file_path").alias("path"), line).mapInArrow(first, "path string, line string")
 
 
 def read_flows_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Daily flow CSVs as text columns named like the features, plus ``label`` and ``file``.
 
-    Columns are matched by trimmed header name in each file, so files may
-    order them differently.
+    Columns are matched by trimmed header name in each file, so files may order them differently; of columns of one name
+    the first counts.  Files of one header share a scan; a file without any line adds no rows.
     """
-    files = _csv_files(spark, folder)
-    if not files:
-        raise FileNotFoundError(f"no CSV files under {folder}")
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in files:
-        # Reads the header line only; files of one layout then share a scan.
-        layouts.setdefault(tuple(_flow_reader(spark).csv(path).columns), []).append(path)
+    # One row a file, as many as the scans below are given paths.
+    for found in first_lines(spark, folder).orderBy("path").collect():
+        header = next(csv.reader([found["line"]], skipinitialspace=True))
+        # File metadata give paths in their encoded form, readers take plain ones.
+        layouts.setdefault(tuple(c.strip() for c in header), []).append(unquote(found["path"]))
+    if not layouts:
+        raise FileNotFoundError(f"no CSV files with a header under {folder}")
     return functools.reduce(DataFrame.unionByName, [_read_days(spark, h, p) for h, p in layouts.items()])
 
 
 def _flow_reader(spark: SparkSession) -> DataFrameReader:
-    # ISO-8859-1 is the JVM's name of latin1.
-    return spark.read.options(header=True, encoding="ISO-8859-1", ignoreLeadingWhiteSpace=True)
+    return spark.read.options(header=True, encoding=_ENCODING, ignoreLeadingWhiteSpace=True)
 
 
 def _read_days(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
-    at = {c.strip(): i for i, c in reversed(list(enumerate(header)))}
+    at = {c: i for i, c in reversed(list(enumerate(header)))}
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
     return _flow_reader(spark).schema(schema).csv(paths).select(
         *[F.col(f"c{at[theirs]}").alias(ours) for ours, theirs in FLOW_COLUMN_NAMES.items()],

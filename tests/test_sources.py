@@ -51,6 +51,33 @@ def test_days_are_joined_by_name(spark, tmp_path):
         datasets.read_flows(spark, str(empty))
 
 
+def test_headers_of_all_files_take_one_job(spark, tmp_path):
+    """Few and many files, large ones, odd names, blank first lines, empty files, a name that occurs twice."""
+    reverse = list(reversed(FLOW_COLUMN_NAMES))
+    for i in range(24):
+        write(tmp_path / "many" / f"day {i}+1%.csv", daily_csv([("BENIGN", {"dst_port": i})], reverse if i % 3 else None))
+    write(tmp_path / "many" / "deep" / "blank.csv", "\n \n" + daily_csv([("Bot", {"dst_port": 99})]))
+    write(tmp_path / "many" / "empty.csv", "")
+    write(tmp_path / "many" / "notes.txt", "no flows")
+    twice = daily_csv([("Bot", {"dst_port": 98})]).split("\n")
+    write(tmp_path / "many" / "twice.csv", f"{twice[0]}, {FLOW_COLUMN_NAMES['dst_port']}\n{twice[1]},7\n")
+    write(tmp_path / "one" / "large.csv", daily_csv([("BENIGN", {})] * 200_000))
+
+    def jobs(folder):
+        spark.sparkContext.setJobGroup(f"headers-{folder}", "headers")
+        try:
+            rows = datasets.read_flows_raw(spark, str(tmp_path / folder))
+            return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers-{folder}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    many, many_jobs = jobs("many")
+    one, one_jobs = jobs("one")
+    assert many_jobs <= one_jobs + 2
+    assert sorted(int(r.dst_port) for r in many.collect()) == [*range(24), 98, 99]
+    assert many.select("file").distinct().count() == 26 and one.count() == 200_000
+
+
 def connection_line(label, difficulty=21):
     values = {"protocol_type": "tcp", "service": "http", "flag": "SF"}
     return ",".join([str(values.get(c, 0)) for c in CONNECTION_FEATURES] + [label, str(difficulty)])
