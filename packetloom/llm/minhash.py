@@ -41,6 +41,8 @@ _DRAW_BITS = 14
 _STEP, _LEVELS = 0.05, 256
 # Texts of a block in the comparison of whole groups.
 BLOCK_TEXTS = 256
+# Partners' shingles that a comparing task remembers (32 MB), apart from those of the text in hand.
+_KEPT_SHINGLES = 1 << 21
 # Cells of 64 bits of the filter that leaves out texts of no interest before texts are shuffled (1 MB).
 _FILTER_CELLS = 1 << 17
 
@@ -185,11 +187,15 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, known: Frequencies) -> Dat
         for batch in batches:
             a, text_a, b, text_b = batch.columns
             known_b: dict[str, tuple] = {}
-            found = []
+            kept, found = 0, []
             words = W.words_of(text_a)
             for i, node in enumerate(b.to_pylist()):
                 if node not in known_b:
+                    if kept > _KEPT_SHINGLES:
+                        known_b.clear()
+                        kept = 0
                     known_b[node] = weighted_shingles(W.words_of(text_b.slice(i, 1)).hashes, known)
+                    kept += len(known_b[node][0])
                 own = weighted_shingles(words.hashes[words.first[i] : words.first[i + 1]], known)
                 found.append(weighted_jaccard(own, known_b[node]))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], ["a", "b", "similarity"])
@@ -228,11 +234,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def join_roots(up: np.ndarray, x: int, y: int) -> bool:
+    """Unite the sets of two places in a forest of parents; False if they were one already."""
+    ends = []
+    for k in (x, y):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        ends.append(k)
+    up[ends[0]] = ends[1]
+    return ends[0] != ends[1]
+
+
 def rest_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, known: Frequencies, least: float) -> DataFrame | None:
-    """(a, b) links of nodes that are not in their pivot's class to any node of that pivot; None if there are no such nodes.
+    """(a, b) links that join nodes outside their pivot's class with nodes of that pivot; None if there are no such nodes.
 
     Both sides of a pivot's nodes are dealt into blocks of about ``BLOCK_TEXTS`` by hash; every pair of blocks is one
-    task's group.  No pairs are listed, only links come out.
+    task's group.  No pairs are listed: of the links that a group finds, those come out that join two of its classes so
+    far, which span the same classes as all of them and are fewer than its texts.
     """
     members = pairs.select(F.col("b").alias("pivot"), F.col("a").alias("node"))
     members = members.unionByName(members.select("pivot", F.col("pivot").alias("node")).distinct())
@@ -266,14 +285,19 @@ def rest_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, known: Fr
         pool = np.concatenate([features[g][0] for g in give]) if len(give) else np.zeros(0, np.uint64)
         weight = np.concatenate([features[g][1] for g in give]) if len(give) else np.zeros(0)
         owner = np.repeat(np.arange(len(give)), sizes)
-        found = []
+        found, up = [], np.arange(len(nodes))
+        by_node: dict[str, int] = {}
+        for k, node in enumerate(nodes):
+            up[k] = by_node.setdefault(node, k)
         for x in ask:
             shingles, weights = features[x]
             at = np.minimum(np.searchsorted(shingles, pool), len(shingles) - 1)
             hit = shingles[at] == pool
             common = np.bincount(owner[hit], np.minimum(weights[at[hit]], weight[hit]), minlength=len(give))
             similarity = common / (totals[x] + totals[give] - common)
-            found += [(nodes[x], nodes[give[k]]) for k in np.flatnonzero(similarity >= least) if nodes[give[k]] != nodes[x]]
+            for y in give[similarity >= least]:
+                if join_roots(up, x, y):
+                    found.append((nodes[x], nodes[y]))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return cells.groupBy("pivot", "i", "j").applyInPandas(compare, "a string, b string")

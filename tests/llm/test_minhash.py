@@ -81,6 +81,69 @@ def test_blocks_find_links_that_pivots_miss(spark, monkeypatch):
     assert sorted((repr(r.doc_id), r.class_id) for r in got) == plain_classes(docs)
 
 
+@pytest.mark.parametrize("block", [16, 256])
+def test_links_of_blocks_are_fewer_than_their_texts(spark, monkeypatch, block):
+    """A large class outside its pivot's class: every pair is similar, few links come out, none between classes is lost."""
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", block)
+    base = prose(150)
+    texts = {f"n{i:03d}": " ".join(edited(base, 0.005)) for i in range(200)} | {"pivot": " ".join(prose(150))}
+    texts |= {f"other{i}": " ".join(edited(base, 0.7)) for i in range(5)}
+    nodes = spark.createDataFrame(list(texts.items()), "node string, text string")
+    pairs = nodes.where("node <> 'pivot'").selectExpr("node as a", "'pivot' as b")
+    known = sketch.Frequencies(np.zeros((2, 1 << 17), np.float32), 1000, 17)
+    apart = spark.createDataFrame([], "node string, label string")
+    links = minhash.rest_links(pairs, apart, nodes, known, 0.8).collect()
+    cells = -(-205 // block) * -(-206 // block)
+    features = {n: minhash.weighted_shingles(words.words_of([t]).hashes, known) for n, t in texts.items()}
+    names = sorted(texts)
+    similar = [(a, b) for a in names for b in names if a < b and minhash.weighted_jaccard(features[a], features[b]) >= 0.8]
+    assert len(similar) > 10_000 and len(links) < min(len(similar) / 2, cells * 2 * 206)
+    assert {tuple(sorted((r.a, r.b))) for r in links} <= set(similar)
+
+    def partition(edges):
+        up = {n: n for n in names}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            up[root(a)] = root(b)
+        groups = defaultdict(list)
+        for n in names:
+            groups[root(n)].append(n)
+        return sorted(groups.values())
+
+    assert partition((r.a, r.b) for r in links) == partition(similar)
+    if block == 256:
+        assert len(links) == len(names) - len(partition(similar))
+
+
+def links_kept(spark, folder):
+    """(found, all) pairs of different texts that are similar by exact weights, among all rows; found: in one class."""
+    table = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    docs = [(r.doc_id, r.text or "") for r in table.collect()]
+    known = minhash.frequencies(table)
+    of = {r.doc_id: r.class_id for r in QUERIES["op5_minhash"](spark, folder).collect()}
+    features = [minhash.weighted_shingles(words.words_of([t]).hashes, known) for _, t in docs]
+    holders, found, total = defaultdict(list), 0, 0
+    for x, (shingles, _) in enumerate(features):
+        common = {y for s in shingles.tolist() for y in holders[s]}
+        for y in common:
+            if docs[x][1] != docs[y][1] and minhash.weighted_jaccard(features[x], features[y]) >= 0.8:
+                total += 1
+                found += of[docs[x][0]] == of[docs[y][0]]
+        for s in shingles.tolist():
+            holders[s].append(x)
+    return found, total
+
+
+def test_recall_on_whole_table(spark, medium):
+    found, total = links_kept(spark, medium)
+    assert total and found >= 0.9 * total
+
+
 def test_samples_agree_as_often_as_similar():
     sampler = minhash.Sampler(4096)
     known = sketch.Frequencies(np.zeros((2, 1 << 17), np.float32), 1000, 17)
