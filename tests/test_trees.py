@@ -117,6 +117,30 @@ def test_large_models_meet_rows_in_a_shuffle(spark, mixed, monkeypatch, tmp_path
         assert again.transform(df).orderBy("id").collect() == whole
 
 
+def shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()))
+
+
+def test_forests_take_their_trees_in_waves(spark, mixed, monkeypatch):
+    monkeypatch.setattr(trees, "HANDOVER", 50)
+    x, y = mixed
+    df = frame(spark, x, y)
+    whole = trees.fit_forest(df, 3, trees=15)
+    want = whole.transform(df).orderBy("id").collect()
+    monkeypatch.setattr(trees, "WAVE_ROWS", 0, raising=False)
+    monkeypatch.setattr(trees, "LEAST_WAVE", 4, raising=False)
+    monkeypatch.setattr(trees, "SHARED_NODES", 0)
+    before = shuffle_bytes(spark)
+    waves = trees.fit_forest(df, 3, trees=15)
+    got = waves.transform(df).orderBy("id").collect()
+    # Neither rows dealt to trees nor copies of nodes stay on disk.
+    assert shuffle_bytes(spark) - before < 300_000
+    assert sorted(map(str, waves.nodes.collect())) == sorted(map(str, whole.nodes.collect()))
+    assert [r.prediction for r in got] == [r.prediction for r in want]
+    assert np.allclose([r.probability for r in got], [r.probability for r in want])
+
+
 def plain_boost(x, y, classes, rounds, depth, rule):
     """Margins of a booster that sums gradients row by row over all cuts between bins."""
     outputs = classes if classes > 2 else 1
