@@ -21,6 +21,8 @@ MAX_GROUP_ROWS = 5_000_000
 BROADCAST_ROWS = 500_000
 
 BLOCK_ROWS = 16_384
+# Blocks that a task takes on average.
+TASK_BLOCKS = 4
 
 
 def small_side(table: DataFrame, values_per_row: int = 1) -> DataFrame:
@@ -70,19 +72,28 @@ def cuts_below(cuts: Column, value: Column, parts: int) -> Column:
 
 
 def sequence_blocks(
-    df: DataFrame, look_back: int, block_rows: int = BLOCK_ROWS, seq: str = "seq", by: list[str] | None = None
+    df: DataFrame,
+    look_back: int,
+    block_rows: int = BLOCK_ROWS,
+    seq: str = "seq",
+    by: list[str] | None = None,
+    task_blocks: int = TASK_BLOCKS,
 ) -> DataFrame:
     """Copy each row into every block whose rows may look back on it.
 
     Adds ``block`` and ``halo`` (true for context copies, to be dropped after
     the windows).  A group holds at most ``block_rows + look_back`` rows and
     one hash exchange on the block serves every window partitioned by the
-    block plus further keys.
+    block plus further keys.  Tasks grow in number with the rows, to some
+    ``task_blocks`` blocks each.
     """
     own = F.call_function("div", F.col(seq), F.lit(block_rows))
     last = F.call_function("div", F.col(seq) + look_back, F.lit(block_rows))
     placed = df.withColumn("block", F.explode(F.sequence(own, last))).withColumn("halo", F.col("block") != own)
-    return placed.repartition(*(by or []), "block")
+    # Not by the session's number of partitions alone: a task sorts its rows once for each kind of window.
+    rows = df.select(seq).count()
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / (task_blocks * block_rows)))
+    return placed.repartition(tasks, *(by or []), "block")
 
 
 def dense_sequence(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "seq") -> DataFrame:
