@@ -262,45 +262,63 @@ def inertia(df: DataFrame, point: Column, center: Column) -> DataFrame:
     return df.agg(F.sum(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("inertia"))
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``x`` to all of ``y``; near ones, in which products would cancel, by differences."""
+    of_x, of_y = (x**2).sum(1), (y**2).sum(1)
+    squares = (-2 * x) @ y.T
+    squares += of_x[:, None]
+    squares += of_y
+    near = np.nonzero(~(squares > 1e-4 * (of_x[:, None] + of_y.max(initial=0))))
+    for begin in range(0, len(near[0]), 1 << 14):
+        i, j = (n[begin : begin + (1 << 14)] for n in near)
+        squares[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+    return np.sqrt(squares, out=squares)
+
+
 def silhouette_rows(placed: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Euclidean silhouette value of each row (unique key, point array, cluster).
 
-    Each point needs its distance to all others: rows are dealt into blocks and every pair of blocks is one task's
-    group, which reduces its distances to one sum per point and cluster at once.  Pairs never become rows and nothing
-    passes through the driver, but time and the blocks' copies grow with the square of the rows: for a large table
-    hand over a ``fixed_sample``.
+    Each point needs its distance to all others: rows are written in blocks, one row a block, and every pair of blocks
+    is reduced at once to one sum per point and cluster, by matrix products.  A task keeps the sums of its own block over
+    all blocks it meets.  Neither pairs nor copies of blocks are written or shuffled, and nothing passes through the
+    driver, but time grows with the square of the rows: for a large table hand over a ``fixed_sample``.
     """
     blocks = max(1, -(-placed.count() // block_rows))
-    rows = placed.select(
-        F.col(key).alias("key"),
-        "cluster",
-        F.col("point").cast("array<double>").alias("point"),
-        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"),
-    )
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = rows.select("key", "cluster", "point", F.lit(True).alias("asks"), F.col("own").alias("i"), every.alias("j"))
-    gives = rows.select("key", "cluster", "point", F.lit(False).alias("asks"), every.alias("i"), F.col("own").alias("j"))
-
-    def sums(cell: pd.DataFrame) -> pd.DataFrame:
-        ask, give = cell[cell["asks"]], cell[~cell["asks"]]
-        if ask.empty or give.empty:
-            return pd.DataFrame([], columns=["key", "cluster", "other", "sum"])
-        names, of = np.unique(give["cluster"].to_numpy(), return_inverse=True)
-        theirs, member = np.stack(give["point"].to_numpy()), np.eye(len(names))[of]
-        found = np.stack([np.sqrt(((theirs - p) ** 2).sum(axis=1)) @ member for p in ask["point"]])
-        return pd.DataFrame(
-            {
-                "key": np.repeat(ask["key"].to_numpy(), len(names)),
-                "cluster": np.repeat(ask["cluster"].to_numpy(), len(names)),
-                "other": np.tile(names, len(ask)),
-                "sum": found.ravel(),
-            }
-        )
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    parts = asks.unionByName(gives).groupBy("i", "j").applyInPandas(
-        sums, f"key {kinds['key']}, cluster {kinds['cluster']}, other {kinds['cluster']}, sum double"
-    )
+    rows = placed.select(F.struct(F.col(key).alias("key"), "cluster", F.col("point").cast("array<double>").alias("point")).alias("r"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["r"].dataType.fields}
+    tasks = min(blocks, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = materialize(rows.repartition(tasks, "own").groupBy("own").agg(F.collect_list("r").alias("asks")), "blocks")
+
+    def unpacked(block: pa.ListScalar) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        names, of, points = (block.values.field(c) for c in ("key", "cluster", "point"))
+        return names, of, np.stack(points.to_numpy(zero_copy_only=False))
+
+    def reduced(ask: tuple, found: dict) -> pa.RecordBatch:
+        count = len(ask[0])
+        at = pa.array(np.tile(np.arange(count), len(found)))
+        other = pa.array(list(found), ask[1].type).take(pa.array(np.repeat(np.arange(len(found)), count)))
+        return pa.RecordBatch.from_arrays([ask[0].take(at), ask[1].take(at), other, pa.array(np.concatenate(list(found.values())))], ["key", "cluster", "other", "sum"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ask, found = None, None, {}
+        for batch in batches:
+            for number, asks, gives in zip(batch.column("own").to_pylist(), batch.column("asks"), batch.column("gives")):
+                if number != own:
+                    if found:
+                        yield reduced(ask, found)
+                    own, ask, found = number, unpacked(asks), {}
+                _, of, theirs = unpacked(gives)
+                names = of.dictionary_encode("encode")
+                member = np.eye(len(names.dictionary))[names.indices.to_numpy(zero_copy_only=False)]
+                total = np.concatenate([distances(ask[2][i : i + 256], theirs) @ member for i in range(0, len(ask[2]), 256)])
+                for name, column in zip(names.dictionary.to_pylist(), total.T):
+                    found[name] = found[name] + column if name in found else column
+        if found:
+            yield reduced(ask, found)
+
+    # Each task of the product reads its two portions of the written blocks.
+    pairs = packed.hint("shuffle_replicate_nl").crossJoin(packed.select(F.col("asks").alias("gives")))
+    parts = pairs.mapInArrow(sums, f"key {kinds['key']}, cluster {kinds['cluster']}, other {kinds['cluster']}, sum double")
     # One row per cluster.
     sizes = small_side(materialize(placed.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("n")), "cluster-sizes"))
     far = parts.groupBy("key", "cluster", "other").agg(F.sum("sum").alias("sum")).join(sizes, "other")

@@ -272,3 +272,26 @@ def test_cluster_model_round_trip(spark, tmp_path):
     assert np.array_equal(again.centers, model.centers) and again.inertia == 1.5
     df = frame(spark, [[0, 0], [9, 9]], [0, 0])
     assert [r.prediction for r in again.transform(df).orderBy("id").collect()] == [0, 1]
+
+
+def test_distances_of_near_rows():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)) + 1e3
+    y = np.vstack([x[:40], x[40:80] + 1e-9, rng.normal(size=(50, 5))])
+    assert np.allclose(clusters.distances(x, y), np.sqrt(((x[:, None] - y) ** 2).sum(2)), rtol=1e-11, atol=0)
+
+
+def test_blocks_of_a_silhouette_are_not_copied(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 1, (100, 40)) for c in (0, 1, 4)])
+    placed = frame(spark, x, np.arange(300) // 100).select("id", F.col("vector").alias("point"), F.col("label").alias("cluster"))
+    before = shuffle_bytes(spark)
+    got = clusters.silhouette_rows(placed, "id", block_rows=5).orderBy("id").collect()
+    assert shuffle_bytes(spark) - before < 5_000_000
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    own = np.arange(300) // 100
+    means = np.stack([far[:, own == c].sum(1) / (100 - (own == c)) for c in range(3)], 1)
+    within = means[np.arange(300), own]
+    means[np.arange(300), own] = np.inf
+    near = means.min(1)
+    assert np.allclose([r.silhouette for r in got], (near - within) / np.maximum(near, within))
