@@ -295,3 +295,38 @@ def test_blocks_of_a_silhouette_are_not_copied(spark):
     means[np.arange(300), own] = np.inf
     near = means.min(1)
     assert np.allclose([r.silhouette for r in got], (near - within) / np.maximum(near, within))
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_boosting_over_levels_equals_the_plain_one(spark, mixed, monkeypatch, classes):
+    monkeypatch.setattr(trees, "HANDOVER", 8)
+    x, y = mixed
+    y = np.minimum(y, classes - 1)
+    df = frame(spark, x, y)
+    margins = plain_boost(x, y, classes, 2, 4, Newton())
+    p = trees.softmax(margins) if classes > 2 else np.hstack([1 - trees.sigmoid(margins), trees.sigmoid(margins)])
+    model = trees.fit_boosted(df, classes, 2, 4)
+    assert model.nodes.where("next > 0").count() > 0
+    got = np.array([r.probability for r in model.transform(df).orderBy("id").collect()])
+    assert np.allclose(got, p, atol=1e-9)
+
+
+def test_bins_are_handed_over_with_more_rows(spark, mixed, monkeypatch):
+    monkeypatch.setattr(trees, "HANDOVER", 60)
+    x, y = mixed
+    levels, level = [], trees._level
+    monkeypatch.setattr(trees, "_level", lambda *a: levels.append(1) or level(*a))
+    trees.fit_boosted(frame(spark, x, y), 3, 2, 4)
+    assert not levels  # 260 rows of bins are fewer than 60 of doubles
+
+
+def test_smaller_children_give_the_larger_ones():
+    rng = np.random.default_rng(8)
+    bins = np.minimum(rng.integers(0, 400, (4000, 3)), 255).astype(np.uint8)
+    g = np.rint(rng.normal(size=4000) * trees._EXACT / 4) / trees._EXACT
+    stats = np.stack([g + (bins[:, 0] > 90) * 0.5, np.full(4000, 0.25), np.ones(4000)], 1)
+    plan = trees.Plan(Newton(), 3, 6)
+    nodes = trees.finish(plan, 0, 1, 0, bins, stats)
+    # Doubles are sorted instead; their cuts are midpoints of the same two bins.
+    other = trees.finish(plan, 0, 1, 0, bins.astype(float), stats)
+    assert nodes.feature == other.feature and nodes.rows == other.rows and nodes.value == other.value and len(nodes.feature) > 20
