@@ -330,3 +330,63 @@ def test_smaller_children_give_the_larger_ones():
     # Doubles are sorted instead; their cuts are midpoints of the same two bins.
     other = trees.finish(plan, 0, 1, 0, bins.astype(float), stats)
     assert nodes.feature == other.feature and nodes.rows == other.rows and nodes.value == other.value and len(nodes.feature) > 20
+
+
+@pytest.mark.parametrize("rule", [Newton(), Gini(3)])
+def test_cells_add_up_rows_by_slot_and_bin(rule):
+    rng = np.random.default_rng(9)
+    cuts = [np.arange(1.0), np.zeros(0), np.arange(255.0), np.arange(1.0), np.arange(4.0)]
+    layout = trees.Layout.of(cuts)
+    n = trees.CHUNK + 1000  # the packed sums of a chunk are full
+    bins = np.stack([rng.integers(0, size, n) for size in layout.sizes]).astype(np.uint8)
+    if rule.groups == 1:
+        g = np.rint(rng.uniform(-1, 1, n) * trees._EXACT) / trees._EXACT
+        stats = np.stack([np.where(np.arange(n) < trees.CHUNK, -1, g), np.abs(g), np.ones(n)], 1)
+    else:
+        stats = np.zeros((n, 4))
+        stats[np.arange(n), rng.integers(0, 3, n)] = np.where(np.arange(n) < trees.CHUNK, 17, rng.integers(1, 18, n))
+        stats[:, 3] = 1
+    for slots in (1, 2, 40):
+        slot = rng.integers(0, slots, n)
+        got = trees.cells(bins, slot, slots, stats, rule, layout)
+        for place, (begin, size) in enumerate(zip(layout.begins, layout.sizes)):
+            for c in range(rule.channels):
+                want = np.bincount(slot * size + bins[place], stats[:, c], slots * size).reshape(slots, size)
+                assert (got[c, :, begin : begin + size] == want).all()
+
+
+def test_parts_of_a_round_do_not_share_a_task(spark, mixed):
+    # Equal shares of the rows for each task, whatever the hash of (tree, part).
+    x, y = mixed
+    df = frame(spark, x, y)
+    shares = trees._shares(df, {(tree, 1): 100.0 for tree in range(5)}, 1000)
+    assert sorted(shares.values()) == list(range(5))
+    some = trees._shares(df, {(0, part): float(size) for part, size in enumerate([90, 10, 10, 10, 10] * 8)}, 1000)
+    loads = np.bincount(list(some.values()), [[90, 10, 10, 10, 10][part % 5] for _, part in some])
+    assert loads.max() < 2 * loads.mean()
+
+
+def test_features_of_one_value_have_no_bins(spark, monkeypatch):
+    x = np.array([[1.0, 5.0, float(i % 3)] for i in range(90)])
+    df = frame(spark, x, np.arange(90) % 3)
+    cuts = trees.cut_points(df, F.col("vector"))
+    assert [len(c) for c in cuts] == [0, 0, 2]
+    assert trees.Layout.of(cuts).cells == 3
+    model = trees.fit_boosted(df, 3, 8, 3)
+    assert (predicted(model, df) == np.arange(90) % 3).all()
+    none = frame(spark, x[:, :2], np.arange(90) % 3)
+    for handover in (20_000, 5):  # in one task, and by levels
+        monkeypatch.setattr(trees, "HANDOVER", handover)
+        assert trees.fit_boosted(none, 3, 2, 3).nodes.where("feature >= 0").count() == 0
+
+
+def test_margins_are_kept_once(spark, mixed, monkeypatch):
+    x, y = mixed
+    written, removed = [], []
+    path_of, remove = trees.table_path, trees.remove_path
+    monkeypatch.setattr(trees, "table_path", lambda s, n: written.append(path_of(s, n)) or written[-1])
+    monkeypatch.setattr(trees, "remove_path", lambda s, p: removed.append(p) or remove(s, p))
+    monkeypatch.setattr(trees, "WRITE_EVERY", 2)
+    trees.fit_boosted(frame(spark, x, y), 3, 7, 3)
+    margins = [p for p in written if "/margins-" in p]
+    assert len(margins) == 3 and removed == margins[:-1]
