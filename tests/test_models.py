@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from packetloom.operators import clusters, encode, evaluate, models, sampling
+from packetloom.operators import clusters, encode, evaluate, models, sampling, trees
 from packetloom.schemas import CATEGORICAL_FEATURES, CONNECTION_FEATURES, FLOW_FEATURES, NUMERIC_FEATURES
 from packetloom.sources.artifacts import ArtifactStore, MissingArtifactError
 
@@ -211,3 +211,31 @@ def test_null_class_gets_its_share_of_test_rows(spark):
     rows = spark.range(100).selectExpr("id", "case when id % 2 = 0 then 'a' end as label")
     train, test = sampling.stratified_split(rows, "label", "id")
     assert test.where("label is null").count() == 15 and train.where("label is null").count() == 35
+
+
+def test_all_fits_share_one_table(spark, train, test, encoder, monkeypatch):
+    cuts, whole, order = [], [], []
+    of = {name: getattr(trees, name) for name in ("cut_points", "_whole")}
+    monkeypatch.setattr(trees, "cut_points", lambda *a, **b: cuts.append(1) or of["cut_points"](*a, **b))
+    monkeypatch.setattr(trees, "_whole", lambda *a, **b: whole.append(1) or of["_whole"](*a, **b))
+    sizes = {"trees": 2, "rounds": 2, "boost_depth": 2}
+    scores = models.train_models(train, test, encoder, "nsl", lambda model, name, phase: order.append((phase, name)), **sizes)
+    assert len(cuts) == 1  # six fits of trees
+    assert len(whole) == 4  # of each boosted model's rounds: few rows are not shuffled
+    assert order == [(phase, name) for phase in models.PHASES for name in models.MODEL_NAMES]
+    assert [(r.phase, r.model) for r in scores.collect()] == order
+    # Each as fitted by itself.
+    rows = models.labelled(train, "nsl", "multiclass")
+    alone = models.make_classifier("gbt", "multiclass", **sizes).fit(encoder.transform(rows))
+    tested = alone.transform(encoder.transform(models.labelled(test, "nsl", "multiclass")))
+    want = evaluate.metrics(tested.select("label", F.col("prediction").cast("int")), "multiclass").first()
+    got = scores.where("phase = 'multiclass' and model = 'gbt'").first()
+    assert np.allclose([got[c] for c in ("accuracy", "precision", "recall", "f1")], list(want))
+
+
+def test_split_is_written_once(spark, monkeypatch):
+    names, write = [], sampling.materialize
+    monkeypatch.setattr(sampling, "materialize", lambda df, name: names.append(name) or write(df, name))
+    rows = spark.range(100).select("id", (F.col("id") % 3).alias("label"))
+    train, test = sampling.stratified_split(rows, "label", "id")
+    assert "split" in names and (train.count(), test.count()) == (70, 30)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom import session
 from packetloom.operators import clusters, trees
 from packetloom.operators.trees import Gini, Newton
 
@@ -390,3 +391,41 @@ def test_margins_are_kept_once(spark, mixed, monkeypatch):
     trees.fit_boosted(frame(spark, x, y), 3, 7, 3)
     margins = [p for p in written if "/margins-" in p]
     assert len(margins) == 3 and removed == margins[:-1]
+
+
+@pytest.mark.parametrize("tried", [None, 2])
+def test_coded_values_give_the_trees_of_doubles(tried):
+    rng = np.random.default_rng(3)
+    # Few values, one value, many values; more rows than are sorted.
+    x = np.stack([rng.integers(-5, 6, 3000) / 4, np.full(3000, 2.0), rng.normal(size=3000), rng.integers(0, 200, 3000) ** 2.0], 1)
+    label = ((x[:, 0] > 0.3).astype(int) + (x[:, 2] * x[:, 3] > 900)) % 3
+    stats = np.zeros((3000, 4))
+    stats[np.arange(3000), label], stats[:, -1] = rng.integers(1, 4, 3000), 1
+    features = trees.Features.of([np.unique(c) if len(np.unique(c)) <= trees.BINS else None for c in x.T])
+    assert features.coded.tolist() == [0, 3] and features.wide.tolist() == [2] and features.bytes_of_row == 10
+    plan = trees.Plan(Gini(3), 4, tried=tried)
+    got = trees.finish_values(plan, 5, 1, 0, trees.Rows(features, *features.packed(x)), stats)
+    want = trees.finish(plan, 5, 1, 0, x, stats)
+    assert got == want and len(got.feature) > 50
+
+
+def test_values_of_features(spark):
+    x = np.array([[float(i % 7), float(i), -0.0 if i % 2 else 0.0, float("nan") if i == 3 else 1.0] for i in range(600)])
+    known = trees.few_values(frame(spark, x, np.zeros(600, int)).repartition(3), F.col("vector"))
+    assert known[0].tolist() == list(range(7)) and known[1] is None and known[2].tolist() == [0.0] and known[3] is None
+    # Features of one value need no cuts; those of no rows have none.
+    cuts = trees.cut_points(frame(spark, x[:, :3], np.zeros(600, int)), F.col("vector"), single={2})
+    assert [len(c) > 0 for c in cuts] == [True, True, False]
+    assert trees.few_values(frame(spark, x[:0], []), F.col("vector")) == []
+
+
+def test_threads_share_the_removal_of_shuffles(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    first, second = session.shuffles_removed(spark), session.shuffles_removed(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(key) == "true"  # one is still inside
+    second.__exit__(None, None, None)
+    assert spark.conf.get(key) == before
